@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tagshift.constants import BASE_RADIUS
 from tagshift.operators.emd import best_orientation, unpack
+from tagshift.operators.norms import scalar
+from tagshift.operators.ordered import ordered_scan
+from tagshift.sources.store import materialize
 
 CELL_FLOOR = 1e-12  # below this a cell is rounding noise of the cumulative sums
 
@@ -46,6 +49,38 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return cells.where(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull() & (F.col("value") > CELL_FLOOR))
 
 
+def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """``monotone_coupling`` for a single block of any size; inputs are (id, x, w).
+
+    Break points are placed by ordered scans. Each break point finds its source and target by the
+    number of earlier break points of either kind, so the lookups are equi joins on a rank.
+    """
+
+    def cumulative(df: DataFrame, kind: int) -> DataFrame:
+        scan = materialize(ordered_scan(df.where(F.col("w") > 0), ["x", "id"], running={"before": "w"}), "mass")
+        total = scalar(scan.agg(F.sum("w").alias("t")), "t")
+        return scan.select(
+            F.lit(kind).alias("kind"), "id", "rank", ((F.col("before") + F.col("w")) / total).alias("hi")
+        )
+
+    points = cumulative(sources, 0).unionByName(cumulative(targets, 1)).withColumn(
+        "is_source", (1 - F.col("kind")).cast("long")
+    )
+    merged = materialize(
+        ordered_scan(points, ["hi", "kind", "rank"], running={"n_src": "is_source"}, rank="place"), "breaks"
+    )
+    # a source's own break point closes a cell of that source, so the count of earlier ones is its rank
+    merged = merged.withColumn("n_tgt", F.col("place") - F.col("n_src"))
+    src = merged.where(F.col("kind") == 0).select(F.col("n_src"), F.col("id").alias("src_id"))
+    tgt = merged.where(F.col("kind") == 1).select(F.col("n_tgt"), F.col("id").alias("tgt_id"))
+    prev = merged.select((F.col("place") + 1).alias("place"), F.col("hi").alias("_lo"))
+    cells = merged.select("place", "hi", "n_src", "n_tgt").join(prev, "place", "left").join(src, "n_src").join(tgt, "n_tgt")
+    value = F.col("hi") - F.coalesce("_lo", F.lit(0.0))
+    return cells.select(F.lit(0).cast("long").alias("block"), "src_id", "tgt_id", value.alias("value")).where(
+        F.col("value") > CELL_FLOOR
+    )
+
+
 def given_source(coupling: DataFrame) -> DataFrame:
     """Adds ``conditional``: the share of a source's mass that goes to each target."""
     total = coupling.groupBy("block", "src_id").agg(F.sum("value").alias("_mass"))
