@@ -25,7 +25,7 @@ def _same(names) -> dict[str, str]:
 def cartesian(spark, d):
     v = J.with_vectors(fx.jet_events(spark, d))
     return v.select("event_id", *[
-        r(F.col(f"v{i}")[c], 3).alias(f"{c}{i}" if c != "e" else f"e{i}") for i in range(4) for c in ("px", "py", "pz", "e")
+        r(f"{c}{i}", 3).alias(f"{c}{i}") for i in range(4) for c in ("px", "py", "pz", "e")
     ])
 
 
@@ -40,7 +40,7 @@ def energy_from_mass(spark, d):
 @query("c03_jet_mass", _cols({f"m{i}": mass_of(str(i)) for i in range(4)}, "vec"))
 def jet_mass(spark, d):
     v = J.with_vectors(fx.jet_events(spark, d))
-    return v.select("event_id", *[r(fv.mass(F.col(f"v{i}")), 3).alias(f"m{i}") for i in range(4)])
+    return v.select("event_id", *[r(fv.mass(fv.stored(str(i))), 3).alias(f"m{i}") for i in range(4)])
 
 
 @query("c04_dijet_mass", _cols(_same([f"m{p}" for p in PAIRS]), "dij"))
@@ -92,9 +92,9 @@ def four_jet_mass(spark, d):
 
 def _pairing(rule):
     def run(spark, d):
-        p = with_pairing(J.with_dijets(fx.events(spark, d)), rule).select("event_id", "pairing.*")
-        return p.where(F.col("idx").isNotNull()).select(
-            "event_id", big("idx").alias("idx"), *[r(c, 3).alias(c) for c in ("gap", "lead_m", "subl_m")]
+        p = with_pairing(J.with_dijets(fx.events(spark, d)), rule)
+        return p.where(F.col("pairing").isNotNull()).select(
+            "event_id", big("pairing").alias("idx"), r("mass_gap", 3).alias("gap"), *[r(c, 3).alias(c) for c in ("lead_m", "subl_m")]
         )
 
     return run

@@ -96,7 +96,7 @@ def one_hot(spark, d):
 @query("b11_mass_window", sql("pair_plane", f"""SELECT {B('event_id')} AS event_id, {R('lead_m', 3)} AS lead_m, {R('subl_m', 3)} AS subl_m
     FROM pair_plane WHERE lead_m BETWEEN 90 AND 400 AND subl_m BETWEEN 60 AND 400"""))
 def mass_window(spark, d):
-    p = with_pairing(J.with_dijets(fx.events(spark, d)), MASS_PLANE).select("event_id", "pairing.*")
+    p = with_pairing(J.with_dijets(fx.events(spark, d)), MASS_PLANE)
     return p.where(F.col("lead_m").between(90, 400) & F.col("subl_m").between(60, 400)).select(
         "event_id", r("lead_m", 3).alias("lead_m"), r("subl_m", 3).alias("subl_m")
     )

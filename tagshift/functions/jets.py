@@ -90,26 +90,28 @@ def flat_to_array(df: DataFrame, n: int = 4, out: str = "jets") -> DataFrame:
 
 
 def with_vectors(df: DataFrame, jets: str = "jets", n: int = 4) -> DataFrame:
+    """Adds the Cartesian components px0, py0, pz0, e0, ... of the leading jets."""
     j = F.col(jets)
-    return df.select(
-        "*", *[fv.cartesian(j[i]["pt"], j[i]["eta"], j[i]["phi"], j[i]["e"]).alias(f"v{i}") for i in range(n)]
-    )
+    return df.select("*", *[
+        c for i in range(n)
+        for c in fv.columns(fv.cartesian(j[i]["pt"], j[i]["eta"], j[i]["phi"], j[i]["e"]), str(i))
+    ])
 
 
 def with_dijets(df: DataFrame, jets: str = "jets") -> DataFrame:
-    """Adds ``v0..v3``, the six dijet vectors and their mass, pt and opening distance.
+    """Adds the jet vectors, the six dijet vectors and their mass, pt and opening distance.
 
     Each stage is its own projection so that Catalyst evaluates a shared term once.
     """
     j = F.col(jets)
     df = with_vectors(df, jets)
-    df = df.select("*", *[fv.add(F.col(f"v{p[0]}"), F.col(f"v{p[1]}")).alias(f"d{p}") for p in PAIRS])
+    df = df.select("*", *[c for p in PAIRS for c in fv.columns(fv.add(fv.stored(p[0]), fv.stored(p[1])), p)])
     cols = []
     for p in PAIRS:
         a, b = j[int(p[0])], j[int(p[1])]
         cols += [
-            fv.mass(F.col(f"d{p}")).alias(f"m{p}"),
-            fv.transverse(F.col(f"d{p}")).alias(f"pt{p}"),
+            fv.mass(fv.stored(p)).alias(f"m{p}"),
+            fv.transverse(fv.stored(p)).alias(f"pt{p}"),
             fv.delta_r(a["eta"], a["phi"], b["eta"], b["phi"]).alias(f"dR{p}"),
         ]
     return df.select("*", *cols)
@@ -117,24 +119,24 @@ def with_dijets(df: DataFrame, jets: str = "jets") -> DataFrame:
 
 def with_quadjets(df: DataFrame) -> DataFrame:
     """Distance between the two dijets of each pairing and the mass after scaling both to the Z."""
-    dirs = [x for p in PAIRS for x in (fv.eta(F.col(f"d{p}")).alias(f"eta{p}"), fv.phi(F.col(f"d{p}")).alias(f"phi{p}"))]
+    dirs = [x for p in PAIRS for x in (fv.eta(fv.stored(p)).alias(f"eta{p}"), fv.phi(fv.stored(p)).alias(f"phi{p}"))]
     df = df.select("*", *dirs)
     cols = []
     for a, b in PAIRINGS:
         cols.append(
             fv.delta_r(F.col(f"eta{a}"), F.col(f"phi{a}"), F.col(f"eta{b}"), F.col(f"phi{b}")).alias(f"dR{a}{b}")
         )
-        scaled = [fv.rescale(F.col(f"d{p}"), F.lit(Z_MASS) / F.col(f"m{p}")) for p in (a, b)]
+        scaled = [fv.rescale(fv.stored(p), F.lit(Z_MASS) / F.col(f"m{p}")) for p in (a, b)]
         cols.append(fv.mass(fv.add(*scaled)).alias(f"mZZ{a}{b}"))
     return df.select("*", *cols)
 
 
 def trijet_mass(triple: str) -> Column:
-    return fv.mass(fv.add(*[F.col(f"v{i}") for i in triple]))
+    return fv.mass(fv.add(*[fv.stored(i) for i in triple]))
 
 
 def four_jet_mass() -> Column:
-    return fv.mass(fv.add(*[F.col(f"v{i}") for i in range(4)]))
+    return fv.mass(fv.add(*[fv.stored(str(i)) for i in range(4)]))
 
 
 def feature_vector(jets: str = "jets") -> Column:

@@ -42,33 +42,34 @@ MASS_PLANE = PairingRule(
 )
 
 
-def with_pairing(df: DataFrame, rule: PairingRule, m4j: str = "m4j", jets: str = "jets", out: str = "pairing") -> DataFrame:
-    """Adds STRUCT<gap, idx, lead_m, subl_m, mhh>, null when no pairing is allowed.
+def with_pairing(df: DataFrame, rule: PairingRule, m4j: str = "m4j", jets: str = "jets") -> DataFrame:
+    """Adds ``pairing`` (0, 1, 2 or null), ``mass_gap``, ``lead_m``, ``subl_m`` and ``pair_mhh``.
 
-    Needs the columns of ``with_dijets``. The smallest mass gap wins, then the earlier pairing.
+    Needs the columns of ``with_dijets``. Of the allowed pairings the smallest mass gap wins, then
+    the earlier pairing. All five are null when no pairing is allowed. The winner is unpacked by
+    ``inline_outer``: a later filter on it is evaluated on the finished columns instead of being
+    pushed into, and repeating, the whole kinematics.
     """
     j, m = F.col(jets), F.col(m4j)
+    df = df.select("*", *[
+        (st_b >= st_a if rule.second_leads_on_tie else st_b > st_a).alias(f"_swap{a}")
+        for a, b in PAIRINGS
+        for st_a, st_b in [[j[int(p[0])]["pt"] + j[int(p[1])]["pt"] for p in (a, b)]]
+    ])
     candidates = []
     for idx, (a, b) in enumerate(PAIRINGS):
-        st_a, st_b = (j[int(p[0])]["pt"] + j[int(p[1])]["pt"] for p in (a, b))
-        swap = st_b >= st_a if rule.second_leads_on_tie else st_b > st_a
-        lead_dr = F.when(swap, F.col(f"dR{b}")).otherwise(F.col(f"dR{a}"))
-        subl_dr = F.when(swap, F.col(f"dR{a}")).otherwise(F.col(f"dR{b}"))
-        lead_m = F.when(swap, F.col(f"m{b}")).otherwise(F.col(f"m{a}"))
-        subl_m = F.when(swap, F.col(f"m{a}")).otherwise(F.col(f"m{b}"))
-        scaled = [fv.rescale(F.col(f"d{p}"), F.lit(HIGGS_MASS) / F.col(f"m{p}")) for p in (a, b)]
-        candidates.append(
-            F.when(
-                rule.lead_window(m, lead_dr) & rule.subl_window(m, subl_dr),
-                F.struct(
-                    F.abs(F.col(f"m{a}") - F.col(f"m{b}")).alias("gap"),
-                    F.lit(idx).alias("idx"),
-                    lead_m.alias("lead_m"),
-                    subl_m.alias("subl_m"),
-                    fv.mass(fv.add(*scaled)).alias("mhh"),
-                ),
-            ).alias(f"_pairing{idx}")
-        )
-    staged = df.select("*", *candidates)
-    names = [f"_pairing{i}" for i in range(len(PAIRINGS))]
-    return staged.withColumn(out, F.least(*names)).drop(*names)
+        swap = F.col(f"_swap{a}")
+        pick = lambda c, first, second: F.when(swap, F.col(c + second)).otherwise(F.col(c + first))  # noqa: B023, E731
+        scaled = [fv.rescale(fv.stored(p), F.lit(HIGGS_MASS) / F.col(f"m{p}")) for p in (a, b)]
+        candidates.append(F.when(
+            rule.lead_window(m, pick("dR", a, b)) & rule.subl_window(m, pick("dR", b, a)),
+            F.struct(
+                F.abs(F.col(f"m{a}") - F.col(f"m{b}")).alias("mass_gap"),
+                F.lit(idx).alias("pairing"),
+                pick("m", a, b).alias("lead_m"),
+                pick("m", b, a).alias("subl_m"),
+                fv.mass(fv.add(*scaled)).alias("pair_mhh"),
+            ),
+        ))
+    best = F.array(F.array_min(F.array(*candidates)))
+    return df.select("*", F.inline_outer(best)).drop(*[f"_swap{a}" for a, _ in PAIRINGS])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagshift.functions import fourvec as fv
 from tagshift.functions import jets as J
+from tagshift.functions.pairing import SELECTION, with_pairing
 
 _LINE_ORDER = [F.desc, F.asc, F.asc, F.asc, F.asc]
 _LINE_KEYS = ["l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -98,7 +99,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(J.scalar_pt_sum(j), 5).alias("sT"),
         J.longitudinal_sum(j).alias("sum_pz"),
         J.four_jet_mass().alias("m4j"),
-    ).drop("v0", "v1", "v2", "v3")
+    ).drop(*[f"{c}{i}" for c in fv.Vec._fields for i in range(4)])
     return df.select(
         "*",
         F.round(1 / (1 + F.exp(-(F.col("sT") - 618) / 200)), 3).alias("h"),
@@ -108,23 +109,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` plus the close and other dijet distance, mean |eta| and the two-Higgs mass."""
-    from tagshift.functions.pairing import SELECTION, with_pairing
-
     df = with_pairing(J.with_dijets(events(spark, sf_dir)), SELECTION)
-    close = F.least(*[
-        x
-        for a, b in J.PAIRINGS
-        for x in (
-            F.struct(F.col(f"dR{a}").alias("near"), F.col(f"dR{b}").alias("other")),
-            F.struct(F.col(f"dR{b}").alias("near"), F.col(f"dR{a}").alias("other")),
-        )
-    ])
-    return df.withColumn("_close", close).select(
+    near = F.least(*[f"dR{p}" for p in J.PAIRS])
+    df = df.withColumn("_near", near)
+    other = None
+    for a, b in [x for a, b in J.PAIRINGS for x in ((a, b), (b, a))]:
+        hit = F.col("_near") == F.col(f"dR{a}")
+        other = F.when(hit, F.col(f"dR{b}")) if other is None else other.when(hit, F.col(f"dR{b}"))
+    return df.select(
         *events_columns(),
-        F.col("_close.near").alias("dRjjClose"),
-        F.col("_close.other").alias("dRjjOther"),
+        F.col("_near").alias("dRjjClose"),
+        other.alias("dRjjOther"),
         J.mean_abs_eta(F.col("jets")).alias("aveAbsEta"),
-        F.coalesce(F.col("pairing.mhh"), F.lit(0.0)).alias("mHH"),
+        F.coalesce("pair_mhh", F.lit(0.0)).alias("mHH"),
     )
 
 
