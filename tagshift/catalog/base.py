@@ -142,12 +142,13 @@ CTES: dict[str, tuple[list[str], str]] = {
     "pair_plane": (["quad"], pairing_cte(
         "(CASE WHEN m4j < 1250 THEN {dr} > 360 / m4j - 0.5 AND {dr} < 653 / m4j + 0.977 ELSE {dr} < 1 END)",
         "(CASE WHEN m4j < 1250 THEN {dr} > 235 / m4j AND {dr} < 875 / m4j + 0.8 ELSE {dr} < 1 END)", ">=")),
-    "wide": (["quad", "pair_sel"], """SELECT q.*, coalesce(p.mhh, 0) AS mHH,
-            least(dR01, dR23, dR02, dR13, dR03, dR12) AS dRjjClose,
-            CASE least(dR01, dR23, dR02, dR13, dR03, dR12) WHEN dR01 THEN dR23 WHEN dR23 THEN dR01 WHEN dR02 THEN dR13
-                WHEN dR13 THEN dR02 WHEN dR03 THEN dR12 ELSE dR03 END AS dRjjOther,
+    "near": (["quad"], "SELECT event_id, " + ", ".join(f"round(dR{p}, 9) AS r{p}" for p in PAIRS) + " FROM quad"),
+    "wide": (["quad", "pair_sel", "near"], """SELECT q.*, coalesce(p.mhh, 0) AS mHH,
+            least(r01, r23, r02, r13, r03, r12) AS dRjjClose,
+            CASE least(r01, r23, r02, r13, r03, r12) WHEN r01 THEN r23 WHEN r23 THEN r01 WHEN r02 THEN r13
+                WHEN r13 THEN r02 WHEN r03 THEN r12 ELSE r03 END AS dRjjOther,
             (abs(eta0) + abs(eta1) + abs(eta2) + abs(eta3)) / 4 AS aveAbsEta
-        FROM quad q LEFT JOIN pair_sel p ON q.event_id = p.event_id"""),
+        FROM quad q JOIN near n ON q.event_id = n.event_id LEFT JOIN pair_sel p ON q.event_id = p.event_id"""),
     "signal": ([], """SELECT o_orderkey AS event_id,
             CASE WHEN o_orderkey % 10 < 3 THEN 'SR' WHEN o_orderkey % 10 < 7 THEN 'CR' WHEN o_orderkey % 10 < 9 THEN 'SB' ELSE 'none' END AS region,
             CASE WHEN o_orderkey % 3 = 0 THEN 'zz' ELSE 'zh' END AS signal_class, o_totalprice / 100000 AS weight

@@ -110,12 +110,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` plus the close and other dijet distance, mean |eta| and the two-Higgs mass."""
     df = with_pairing(J.with_dijets(events(spark, sf_dir)), SELECTION)
-    near = F.least(*[f"dR{p}" for p in J.PAIRS])
-    df = df.withColumn("_near", near)
+    # rounded, so that equal distances are equal numbers and bin edges are hit or missed for certain
+    df = df.select("*", *[F.round(f"dR{p}", 9).alias(f"_dr{p}") for p in J.PAIRS])
+    df = df.withColumn("_near", F.least(*[f"_dr{p}" for p in J.PAIRS]))
     other = None
     for a, b in [x for a, b in J.PAIRINGS for x in ((a, b), (b, a))]:
-        hit = F.col("_near") == F.col(f"dR{a}")
-        other = F.when(hit, F.col(f"dR{b}")) if other is None else other.when(hit, F.col(f"dR{b}"))
+        hit = F.col("_near") == F.col(f"_dr{a}")
+        other = F.when(hit, F.col(f"_dr{b}")) if other is None else other.when(hit, F.col(f"_dr{b}"))
     return df.select(
         *events_columns(),
         F.col("_near").alias("dRjjClose"),
