@@ -171,27 +171,31 @@ def exact_coupling(
         empty = pd.DataFrame({"block": [], "src_id": [], "tgt_id": [], "value": [], "distance": []})
         if n == 0 or m == 0:
             return empty
-        a, b = unpack(np.vstack(src["packed"])), unpack(np.vstack(tgt["packed"]))
+        a, b = unpack(np.vstack(src["src_packed"])), unpack(np.vstack(tgt["tgt_packed"]))
         cost = np.empty((n, m))
         for i in range(n):
             one = tuple(np.repeat(c[i : i + 1], m, axis=0) for c in a)
             cost[i] = best_orientation(
                 one, b, radius, "thrust",
-                np.full(m, src["axis"].iloc[i]), tgt["axis"].to_numpy(),
-                np.full(m, src["pz"].iloc[i]), tgt["pz"].to_numpy(),
+                np.full(m, src["src_axis"].iloc[i]), tgt["tgt_axis"].to_numpy(),
+                np.full(m, src["src_pz"].iloc[i]), tgt["tgt_pz"].to_numpy(),
             )[0]
-        p, q = src["w"].to_numpy(), tgt["w"].to_numpy()
+        p, q = src["src_w"].to_numpy(), tgt["tgt_w"].to_numpy()
         plan = solve_transport(p / p.sum(), q / q.sum(), cost)
         i, j = np.nonzero(plan > CELL_FLOOR)
         return pd.DataFrame({
             "block": np.full(len(i), key[0]),
-            "src_id": src["id"].to_numpy()[i],
-            "tgt_id": tgt["id"].to_numpy()[j],
+            "src_id": src["src_id"].to_numpy()[i],
+            "tgt_id": tgt["tgt_id"].to_numpy()[j],
             "value": plan[i, j],
             "distance": cost[i, j],
         })
 
+    # both sides often come from one table; fresh names keep their columns apart
+    names = ["block", "id", "w", "packed", "axis", "pz"]
+    src = sources.select(*[F.col(c).alias(f"src_{c}") for c in names])
+    tgt = targets.select(*[F.col(c).alias(f"tgt_{c}") for c in names])
     return (
-        sources.groupBy("block").cogroup(targets.groupBy("block"))
+        src.groupBy("src_block").cogroup(tgt.groupBy("tgt_block"))
         .applyInPandas(solve, "block long, src_id long, tgt_id long, value double, distance double")
     )
