@@ -19,6 +19,7 @@ from tagshift.plans import report as RP
 from tagshift.sources import fixtures as fx
 from tagshift.sources.store import materialize, new_path
 
+FOUR_TAG = "tag = '4b'"
 _3B = "SELECT event_id, region, weight FROM events4 WHERE tag = '3b'"
 define("m_benchmark", ["events4", "norms"], "SELECT event_id, region, weight * pi AS mw FROM events4, norms WHERE tag = '3b'")
 define("m_fvt", ["events4", "norms"], "SELECT event_id, region, weight * h / (1 - h) * pi AS mw FROM events4, norms WHERE tag = '3b' AND region IN ('CR', 'SR')")
@@ -134,18 +135,23 @@ def model_registry(spark, d):
 
 define("weights_wide", ["all_weights", "wide"], "SELECT w.* EXCLUDE (weight), a.mw AS weight, a.method AS method FROM all_weights a JOIN wide w ON w.event_id = a.event_id WHERE w.region IN ('CR', 'SR')")
 define("model_hist", ["weights_wide"], f"SELECT method AS sample, region, variable, bin, sum(w) AS den, sqrt(sum(w * w)) AS den_err FROM ({_cells('weights_wide', 'true', 'method, region')}) c GROUP BY 1, 2, 3, 4")
-define("truth_hist", ["wide"], f"SELECT region, variable, bin, {PI_4B_LARGE} * sum(w) AS num, {PI_4B_LARGE} * sqrt(sum(w * w)) AS num_err FROM ({_cells('wide', chr(116) + 'ag = ' + chr(39) + '4b' + chr(39))}) c GROUP BY 1, 2, 3")
+define("truth_hist", ["wide"], f"SELECT region, variable, bin, {PI_4B_LARGE} * sum(w) AS num, {PI_4B_LARGE} * sqrt(sum(w * w)) AS num_err FROM ({_cells('wide', FOUR_TAG)}) c GROUP BY 1, 2, 3")
 _BINS = "(VALUES " + ", ".join(f"('{n}', {H.bin_count(b)})" for n, (_, b) in HISTOGRAM_VARIABLES.items()) + ") nb(variable, n)"
 
 
-@query("i14_model_against_truth", sql("model_hist truth_hist", f"""SELECT m.sample, m.region, m.variable, {B('m.bin')} AS bin, {R('den', 4)} AS model, {R('coalesce(num, 0)', 5)} AS truth,
+define("bench_wide", ["m_benchmark", "wide"], "SELECT w.* EXCLUDE (weight), a.mw AS weight FROM m_benchmark a JOIN wide w ON w.event_id = a.event_id WHERE w.region IN ('CR', 'SR')")
+define("bench_hist", ["bench_wide"], f"SELECT 'benchmark' AS sample, region, variable, bin, sum(w) AS den, sqrt(sum(w * w)) AS den_err FROM ({_cells('bench_wide')}) c GROUP BY 1, 2, 3, 4")
+
+
+def _against_truth_sql(view):
+    return sql(f"{view} truth_hist", f"""SELECT m.sample, m.region, m.variable, {B('m.bin')} AS bin, {R('den', 4)} AS model, {R('coalesce(num, 0)', 5)} AS truth,
       {R('CASE WHEN den <> 0 THEN coalesce(num, 0) / den ELSE 0 END', 5)} AS ratio,
       {R('CASE WHEN den <> 0 THEN sqrt((coalesce(num_err, 0) / den) ** 2 + (den_err * coalesce(num, 0) / (den * den)) ** 2) ELSE 0 END', 5)} AS ratio_err
-    FROM model_hist m LEFT JOIN truth_hist t ON t.region = m.region AND t.variable = m.variable AND t.bin = m.bin
-    JOIN {_BINS} ON nb.variable = m.variable AND m.bin BETWEEN 1 AND nb.n"""))
-def model_against_truth(spark, d):
-    e = materialize(fx.wide_events(spark, d), "wide")
-    weights = M.long_weights(all_models(e))
+    FROM {view} m LEFT JOIN truth_hist t ON t.region = m.region AND t.variable = m.variable AND t.bin = m.bin
+    JOIN {_BINS} ON nb.variable = m.variable AND m.bin BETWEEN 1 AND nb.n""")
+
+
+def _against_truth(e, weights):
     out = RP.model_against_truth(RP.sample_histograms(e, weights), RP.truth_histograms(e, PI_4B_LARGE))
     return out.select(
         "sample", "region", "variable", big("bin").alias("bin"), r("den", 4).alias("model"), r("num", 5).alias("truth"),
@@ -153,6 +159,18 @@ def model_against_truth(spark, d):
     )
 
 
+@query("i14_benchmark_against_truth", _against_truth_sql("bench_hist"))
+def benchmark_against_truth(spark, d):
+    e = materialize(fx.wide_events(spark, d), "wide")
+    return _against_truth(e, M.long_weights({"benchmark": M.benchmark(e)}))
+
+
+@query("i14_model_against_truth", _against_truth_sql("model_hist"))
+def model_against_truth(spark, d):
+    e = materialize(fx.wide_events(spark, d), "wide")
+    return _against_truth(e, M.long_weights(all_models(e)))
+
+
 @query("d19_weight_diagnostics", sql("m_ot5", f"""SELECT region, {R('sum(mw)', 4)} AS total, {R('max(mw)', 5)} AS largest, {R('avg(CASE WHEN mw <> 0 THEN 1.0 ELSE 0 END)', 6)} AS filled,
     {B('count(DISTINCT round(mw, 5))')} AS different FROM m_ot5 GROUP BY region"""))
 def weight_diagnostics(spark, d):

@@ -48,66 +48,73 @@ def transport_cost(a: Event, b: Event, radius: float) -> tuple[np.ndarray, np.nd
     """Distances and 4 x 4 flows of a batch of event pairs.
 
     A fifth place on each side takes the difference in total pt. The 5 x 5 problems of the batch
-    advance together: each round finds every pair's cheapest augmenting path and fills it.
+    advance together, batch axis last: each round finds every pair's cheapest augmenting path and
+    fills it; pairs that are done leave the batch.
     """
     rows = len(a[0])
     diff = a[0].sum(axis=1) - b[0].sum(axis=1)
-    supply = np.column_stack([a[0], np.maximum(-diff, 0.0)])
-    demand = np.column_stack([b[0], np.maximum(diff, 0.0)])
-    deta = a[1][:, :, None] - b[1][:, None, :]
-    dphi = (a[2][:, :, None] - b[2][:, None, :] + math.pi) % (2 * math.pi) - math.pi
-    cost = np.ones((rows, 5, 5))
-    cost[:, :4, :4] = np.sqrt(deta * deta + dphi * dphi) / radius
-    cost[:, 4, 4] = 0.0
-    flow = np.zeros((rows, 5, 5))
-    tol = _EPS * np.maximum(supply.sum(axis=1), 1.0)
-    live = np.arange(rows)
+    supply = np.vstack([a[0].T, np.maximum(-diff, 0.0)])
+    demand = np.vstack([b[0].T, np.maximum(diff, 0.0)])
+    deta = a[1].T[:, None] - b[1].T[None]
+    dphi = np.abs(a[2].T[:, None] - b[2].T[None]) % (2 * math.pi)
+    dphi = np.minimum(dphi, 2 * math.pi - dphi)
+    cost = np.ones((5, 5, rows))
+    cost[:4, :4] = np.sqrt(deta * deta + dphi * dphi) / radius
+    cost[4, 4] = 0.0
+    full_cost, full_flow = cost, np.zeros((5, 5, rows))
+    tol = _EPS * np.maximum(supply.sum(axis=0), 1.0)
+    live, flow = np.arange(rows), np.zeros((5, 5, rows))
     while len(live):
-        active = (supply[live].max(axis=1) > tol[live]) & (demand[live].max(axis=1) > tol[live])
-        live = live[active]
-        if not len(live):
-            break
-        _augment(live, supply, demand, cost, flow, tol)
-    return (flow * cost).sum(axis=(1, 2)), flow[:, :4, :4]
-
-
-def _augment(live, supply, demand, cost, flow, tol) -> None:
-    """One cheapest augmenting path for each live pair."""
-    c, f, t = cost[live], flow[live], tol[live]
-    k = np.arange(len(live))
-    ds = np.where(supply[live] > t[:, None], 0.0, np.inf)
+        active = (supply.max(axis=0) > tol) & (demand.max(axis=0) > tol)
+        if not active.all():
+            full_flow[:, :, live[~active]] = flow[:, :, ~active]
+            live, tol = live[active], tol[active]
+            supply, demand, cost, flow = supply[:, active], demand[:, active], cost[:, :, active], flow[:, :, active]
+            if not len(live):
+                break
+        _augment(supply, demand, cost, flow, tol)
+    return (full_flow * full_cost).sum(axis=(0, 1)), np.moveaxis(full_flow[:4, :4], 2, 0)
+
+
+def _augment(supply, demand, cost, flow, tol) -> None:
+    """One cheapest augmenting path for every pair of the batch."""
+    k = np.arange(supply.shape[1])
+    ds = np.where(supply > tol, 0.0, np.inf)
     dt = np.full_like(ds, np.inf)
-    ps, pt = np.full(ds.shape, -1), np.full(ds.shape, -1)
-    back = f > t[:, None, None]
+    ps, pt = np.full(ds.shape, -1, np.int8), np.full(ds.shape, -1, np.int8)
+    blocked = np.where(flow > tol, 0.0, np.inf)
     for _ in range(9):
-        out = ds[:, :, None] + c
-        best, frm = out.min(axis=1), out.argmin(axis=1)
-        better_t = best < dt - _EPS
-        dt, pt = np.where(better_t, best, dt), np.where(better_t, frm, pt)
-        ret = np.where(back, dt[:, None, :] - c, np.inf)
-        best, frm = ret.min(axis=2), ret.argmin(axis=2)
-        better_s = best < ds - _EPS
-        ds, ps = np.where(better_s, best, ds), np.where(better_s, frm, ps)
-        if not better_s.any():
+        for i in range(5):
+            out = ds[i] + cost[i]
+            better = out < dt - _EPS
+            np.copyto(dt, out, where=better)
+            pt[better] = i
+        shorter = False
+        for j in range(5):
+            ret = dt[j] - cost[:, j] + blocked[:, j]
+            better = ret < ds - _EPS
+            if better.any():
+                shorter = True
+                np.copyto(ds, ret, where=better)
+                ps[better] = j
+        if not shorter:
             break
-    end = np.where(demand[live] > t[:, None], dt, np.inf).argmin(axis=1)
-    amount = demand[live, end]
-    steps, j, walking = [], end.copy(), np.ones(len(live), bool)
-    while walking.any() and len(steps) < 5:
-        i = pt[k, j]
-        prev = ps[k, i]
-        inner = walking & (prev >= 0)
-        steps.append((walking.copy(), i.copy(), j.copy(), inner.copy(), prev.copy()))
-        amount = np.where(inner, np.minimum(amount, f[k, i, np.maximum(prev, 0)]), amount)
-        amount = np.where(walking & ~inner, np.minimum(amount, supply[live, i]), amount)
-        j = np.where(inner, prev, j)
-        walking = inner
+    end = np.where(demand > tol, dt, np.inf).argmin(axis=0)
+    amount = demand[end, k]
+    steps, j, on = [], end, k
+    while len(on) and len(steps) < 5:
+        i = pt[j, on]
+        prev = ps[i, on]
+        inner = prev >= 0
+        steps.append((on, i, j, inner, prev))
+        amount[on] = np.minimum(amount[on], np.where(inner, flow[i, np.maximum(prev, 0), on], supply[i, on]))
+        on, j = on[inner], prev[inner]
     for on, i, j, inner, prev in steps:
-        flow[live[on], i[on], j[on]] += amount[on]
-        flow[live[inner], i[inner], prev[inner]] -= amount[inner]
-        first = on & ~inner
-        supply[live[first], i[first]] -= amount[first]
-    demand[live, end] -= amount
+        flow[i, j, on] += amount[on]
+        flow[i[inner], prev[inner], on[inner]] -= amount[on[inner]]
+        first = on[~inner]
+        supply[i[~inner], first] -= amount[first]
+    demand[end, k] -= amount
 
 
 def variants(kind: str, steps: int = 15) -> list[tuple[bool, bool, float]]:
@@ -190,8 +197,14 @@ def event_distance(
 
 
 def attach(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Joins the per-event columns of both sides (from ``with_alignment``) to (src_id, tgt_id) pairs."""
+    """Joins the per-event columns of both sides (from ``with_alignment``) to (src_id, tgt_id) pairs.
+
+    Distances are much work for few bytes, so the shuffle on the target has a fixed number of
+    partitions, which adaptive execution does not merge by size.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda df, p: df.select(
         F.col("event_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("packed", "axis", "pz")]
     )
-    return pairs.join(side(sources, "src"), "src_id").join(side(targets, "tgt"), "tgt_id")
+    with_source = pairs.join(side(sources, "src"), "src_id").repartition(parts, "tgt_id")
+    return with_source.join(side(targets, "tgt"), "tgt_id")

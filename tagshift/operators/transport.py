@@ -17,6 +17,7 @@ from tagshift.operators.norms import scalar
 from tagshift.operators.ordered import ordered_scan
 from tagshift.sources.store import materialize
 
+PAIRS_AT_ONCE = 20_000  # event pairs per distance batch inside a block
 CELL_FLOOR = 1e-12  # below this a cell is rounding noise of the cumulative sums
 
 
@@ -172,14 +173,15 @@ def exact_coupling(
         if n == 0 or m == 0:
             return empty
         a, b = unpack(np.vstack(src["src_packed"])), unpack(np.vstack(tgt["tgt_packed"]))
-        cost = np.empty((n, m))
-        for i in range(n):
-            one = tuple(np.repeat(c[i : i + 1], m, axis=0) for c in a)
-            cost[i] = best_orientation(
-                one, b, radius, "thrust",
-                np.full(m, src["src_axis"].iloc[i]), tgt["tgt_axis"].to_numpy(),
-                np.full(m, src["src_pz"].iloc[i]), tgt["tgt_pz"].to_numpy(),
+        cost = np.concatenate([
+            best_orientation(
+                tuple(c[i] for c in a), tuple(c[j] for c in b), radius, "thrust",
+                src["src_axis"].to_numpy()[i], tgt["tgt_axis"].to_numpy()[j],
+                src["src_pz"].to_numpy()[i], tgt["tgt_pz"].to_numpy()[j],
             )[0]
+            for lot in np.array_split(np.arange(n * m), 1 + n * m // PAIRS_AT_ONCE)
+            for i, j in [np.divmod(lot, m)]
+        ]).reshape(n, m)
         p, q = src["src_w"].to_numpy(), tgt["tgt_w"].to_numpy()
         plan = solve_transport(p / p.sum(), q / q.sum(), cost)
         i, j = np.nonzero(plan > CELL_FLOOR)
@@ -191,11 +193,14 @@ def exact_coupling(
             "distance": cost[i, j],
         })
 
-    # both sides often come from one table; fresh names keep their columns apart
+    # both sides often come from one table; fresh names keep their columns apart. Blocks are little
+    # data but much work, so the number of partitions is given and not merged by size.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["block", "id", "w", "packed", "axis", "pz"]
     src = sources.select(*[F.col(c).alias(f"src_{c}") for c in names])
     tgt = targets.select(*[F.col(c).alias(f"tgt_{c}") for c in names])
     return (
-        src.groupBy("src_block").cogroup(tgt.groupBy("tgt_block"))
+        src.repartition(parts, "src_block").groupBy("src_block")
+        .cogroup(tgt.repartition(parts, "tgt_block").groupBy("tgt_block"))
         .applyInPandas(solve, "block long, src_id long, tgt_id long, value double, distance double")
     )

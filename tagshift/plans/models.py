@@ -89,7 +89,7 @@ def ot_knn(
     ).fillna(0.0, ["nn_weight"])
     cr = materialize(cr, "nn_weights")
     moved = push(
-        given_source(couple(blocks)), cr.select(F.col("event_id").alias("id"), F.col("nn_weight").alias("w")), "conditional"
+        given_source(materialize(couple(blocks), "coupling")), cr.select(F.col("event_id").alias("id"), F.col("nn_weight").alias("w")), "conditional"
     )
     sr = materialize(moved.select(F.col("tgt_id").alias("event_id"), F.col("pushed").alias("raw")), "moved")
     sum_sr = scalar(sr.agg(F.sum("raw").alias("s")), "s")
