@@ -43,9 +43,9 @@ def jet_selection_counts(spark, d):
 
 
 @query("b05_preselection", sql("events4", f"""SELECT {B('event_id')} AS event_id, region, {R('h', 3)} AS h FROM events4
-    WHERE event_id % 3 <> 0 AND tag = '4b' AND region IN ('SB', 'CR', 'SR') AND h > 0.2"""))
+    WHERE sT > 450 AND tag = '4b' AND region IN ('SB', 'CR', 'SR') AND h > 0.2"""))
 def preselection(spark, d):
-    e = fx.events(spark, d).withColumn("trigger", F.col("event_id") % 3 != 0)
+    e = fx.events(spark, d).withColumn("trigger", F.col("sT") > 450)
     return e.where(
         F.col("trigger") & (F.col("tag") == "4b") & F.col("region").isin("SB", "CR", "SR") & (F.col("h") > 0.2)
     ).select("event_id", "region", r("h", 3).alias("h"))

@@ -104,14 +104,14 @@ def errors(hist: DataFrame, norm: float | None = None, keys: list[str] | None =
     if norm is None:
         return out
     total = F.sum("sumw").over(W.partitionBy(*(keys or []), "variable"))
-    return out.withColumn("n", F.col("n") / total * F.lit(float(norm))).withColumn(
-        "error", F.col("error") / total * F.lit(float(norm))
+    return out.withColumn("n", F.try_divide("n", total) * F.lit(float(norm))).withColumn(
+        "error", F.try_divide("error", total) * F.lit(float(norm))
     )
 
 
 def unit_area(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Content per total of the inner bins, and density = that divided by the bin width."""
-    share = F.col("sumw") / F.sum("sumw").over(W.partitionBy(*keys, "variable"))
+    share = F.try_divide("sumw", F.sum("sumw").over(W.partitionBy(*keys, "variable")))
     return hist.withColumn("share", share).withColumn("density", share / (F.col("hi") - F.col("lo")))
 
 

@@ -33,12 +33,17 @@ def cumulative_scores(df: DataFrame, score: str, label: str, weight: str | None)
 
 
 def auc(df: DataFrame, score: str, label: str, weight: str | None = "weight", keys: list[str] | None = None) -> DataFrame:
-    """Probability that a positive scores above a negative, ties counting one half."""
+    """Probability that a positive scores above a negative, ties counting one half.
+
+    Null where a class is missing or its weights cancel.
+    """
     keys = keys or []
     grouped = per_score(df, score, label, weight, keys)
     scan = ordered_scan(grouped, ["score"], by=keys, running={"below0": "w0"}, rank=None)
     return scan.groupBy(*keys).agg(
-        (F.sum(F.col("w1") * (F.col("below0") + 0.5 * F.col("w0"))) / (F.sum("w0") * F.sum("w1"))).alias("auc")
+        F.try_divide(
+            F.sum(F.col("w1") * (F.col("below0") + 0.5 * F.col("w0"))), F.sum("w0") * F.sum("w1")
+        ).alias("auc")
     )
 
 
@@ -49,8 +54,8 @@ def roc_curve(df: DataFrame, score: str, label: str, weight: str | None = "weigh
     totals = scan.agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"))
     return scan.select(
         F.col("score").alias("threshold"),
-        ((F.col("above0") + F.col("w0")) / scalar(totals, "t0")).alias("fpr"),
-        ((F.col("above1") + F.col("w1")) / scalar(totals, "t1")).alias("tpr"),
+        F.try_divide(F.col("above0") + F.col("w0"), scalar(totals, "t0")).alias("fpr"),
+        F.try_divide(F.col("above1") + F.col("w1"), scalar(totals, "t1")).alias("tpr"),
         "rank",
     )
 
@@ -113,7 +118,7 @@ def _placements(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.col("w0") * F.col("v_x") * F.col("v_x")).alias("s_vx2"),
         F.sum(F.col("w1") * F.col("v_y") * F.col("v_y")).alias("s_vy2"),
         F.sum(F.col("w0") * F.col("w1")).alias("ties"),
-    ).withColumn("auc", F.col("s_v") / (F.col("nx") * F.col("ny")))
+    ).withColumn("auc", F.try_divide("s_v", F.col("nx") * F.col("ny")))
 
 
 def _wald(df: DataFrame, alpha: float) -> DataFrame:
@@ -125,10 +130,11 @@ def bamber_interval(df: DataFrame, score: str, label: str, alpha: float = 0.05)
     """Bamber (1975) interval of the unweighted AUC, with P(x != y) taken as 1."""
     p = _placements(df, score, label)
     nx, ny = F.col("nx"), F.col("ny")
-    b_xxy = F.col("s_xxy") / (nx * (nx - 1) * ny)
-    b_yyx = F.col("s_yyx") / (ny * (ny - 1) * nx)
+    b_xxy = F.try_divide("s_xxy", nx * (nx - 1) * ny)
+    b_yyx = F.try_divide("s_yyx", ny * (ny - 1) * nx)
     centred = F.col("auc") - 0.5
-    v = (1 + (nx - 1) * b_xxy + (ny - 1) * b_yyx - 4 * (nx + ny - 1) * centred * centred) / (4 * (nx - 1) * (ny - 1))
+    spread = 1 + (nx - 1) * b_xxy + (ny - 1) * b_yyx - 4 * (nx + ny - 1) * centred * centred
+    v = F.try_divide(spread, 4 * (nx - 1) * (ny - 1))
     return _wald(p.withColumn("variance", v), alpha)
 
 
@@ -136,10 +142,11 @@ def hanley_mcneil_interval(df: DataFrame, score: str, label: str, alpha: float =
     """Hanley and McNeil interval of the unweighted AUC with squared placements."""
     p = _placements(df, score, label)
     nx, ny, a = F.col("nx"), F.col("ny"), F.col("auc")
-    q1 = F.col("s_vx2") / (nx * ny * ny)
-    q2 = F.col("s_vy2") / (ny * nx * nx)
-    tied = F.col("ties") / (nx * ny)
-    v = (a * (1 - a) - 0.25 * tied + (ny - 1) * (q1 - a * a) + (nx - 1) * (q2 - a * a)) / ((nx - 1) * (ny - 1))
+    q1 = F.try_divide("s_vx2", nx * ny * ny)
+    q2 = F.try_divide("s_vy2", ny * nx * nx)
+    tied = F.try_divide("ties", nx * ny)
+    spread = a * (1 - a) - 0.25 * tied + (ny - 1) * (q1 - a * a) + (nx - 1) * (q2 - a * a)
+    v = F.try_divide(spread, (nx - 1) * (ny - 1))
     return _wald(p.withColumn("variance", v), alpha)
 
 
@@ -199,7 +206,7 @@ def overtraining(train_roc: DataFrame, valid_roc: DataFrame, train_auc: DataFram
         F.sum((F.col("x1") - F.col("x")) * (F.col("gap") + F.col("gap1")) / 2).alias("area")
     )
     gain = F.greatest(scalar(train_auc, "auc") - 0.5, F.lit(0.0))
-    return area.withColumn("gain", gain).select("area", (100 * F.col("area") / (F.col("area") + F.col("gain"))).alias("percent"))
+    return area.withColumn("gain", gain).select("area", F.try_divide(100 * F.col("area"), F.col("area") + F.col("gain")).alias("percent"))
 
 
 def calibration(df: DataFrame, label: str, p1: str, weight: str) -> DataFrame:
@@ -209,10 +216,10 @@ def calibration(df: DataFrame, label: str, p1: str, weight: str) -> DataFrame:
         F.sum(w).alias("w"), F.sum(w * p).alias("wp"), F.sum(F.when(y == 1, w).otherwise(0.0)).alias("w1")
     )
     rows = F.array(
-        F.struct(F.lit("4b").alias("class"), (F.col("wp") / F.col("w")).alias("mean_p"), (F.col("w1") / F.col("w")).alias("expected")),
-        F.struct(F.lit("3b").alias("class"), (1 - F.col("wp") / F.col("w")).alias("mean_p"), (1 - F.col("w1") / F.col("w")).alias("expected")),
+        F.struct(F.lit("4b").alias("class"), F.try_divide("wp", "w").alias("mean_p"), F.try_divide("w1", "w").alias("expected")),
+        F.struct(F.lit("3b").alias("class"), (1 - F.try_divide("wp", "w")).alias("mean_p"), (1 - F.try_divide("w1", "w")).alias("expected")),
     )
-    return s.select(F.explode(rows).alias("r")).select("r.*").withColumn("scale", F.col("expected") / F.col("mean_p"))
+    return s.select(F.explode(rows).alias("r")).select("r.*").withColumn("scale", F.try_divide("expected", "mean_p"))
 
 
 def closure(df: DataFrame, label: str, p1: str, weight: str) -> DataFrame:
@@ -222,4 +229,4 @@ def closure(df: DataFrame, label: str, p1: str, weight: str) -> DataFrame:
         F.sum(F.when((y == 0) & (p < 1), w * p / (1 - p)).otherwise(0.0)).alias("norm_b"),
         F.sum(F.when(y == 1, w).otherwise(0.0)).alias("w4"),
     )
-    return s.select("norm_b", (F.col("w4") / F.col("norm_b")).alias("d4_over_b"))
+    return s.select("norm_b", F.try_divide("w4", "norm_b").alias("d4_over_b"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagshift.constants import SIGNAL_FRACTION
+from tagshift.sources.store import broadcast_if_small
 
 
 def scalar(one_row: DataFrame, column: str) -> Column:
@@ -40,22 +41,22 @@ def training_weights(df: DataFrame, region: str = "CR") -> DataFrame:
         F.sum(F.when(F.col("tag") == "4b", 1.0)).alias("n4b"),
         F.sum(F.when(F.col("tag") == "3b", F.col("weight"))).alias("w3b"),
     )
-    factor = scalar(sums, "n4b") / scalar(sums, "w3b")
+    factor = F.try_divide(scalar(sums, "n4b"), scalar(sums, "w3b"))
     return sub.withColumn("train_weight", F.when(F.col("tag") == "4b", 1.0).otherwise(F.col("weight") * factor))
 
 
 def signal_to_background(signal: DataFrame, background: DataFrame, by_class: str | None = None) -> DataFrame:
     """Signal weights scaled to the background sum, as a whole or for each signal class.
 
-    The class table has one row per class and is joined without forcing a physical strategy.
+    The class table is broadcast when it is small, as it is for a handful of classes.
     """
     target = background.agg(F.sum("weight").alias("w"))
     if by_class is None:
         own = signal.agg(F.sum("weight").alias("w"))
-        return signal.withColumn("scaled", F.col("weight") * scalar(target, "w") / scalar(own, "w"))
+        return signal.withColumn("scaled", F.try_divide(F.col("weight") * scalar(target, "w"), scalar(own, "w")))
     own = signal.groupBy(by_class).agg(F.sum("weight").alias("_own"))
-    return signal.join(own, by_class).withColumn(
-        "scaled", F.col("weight") * scalar(target, "w") / F.col("_own")
+    return signal.join(broadcast_if_small(own, "classes"), by_class).withColumn(
+        "scaled", F.try_divide(F.col("weight") * scalar(target, "w"), F.col("_own"))
     ).drop("_own")
 
 
@@ -69,7 +70,7 @@ def signal_to_four_tag(signal: DataFrame, four_tag: DataFrame) -> DataFrame:
     own = signal.where(F.col("region").isin(regions)).groupBy("region").agg(F.sum("weight").alias("_sig"))
     ref = four_tag.groupBy("region").agg(F.sum("weight").alias("_ref"))
     factors = own.join(ref, "region").select(
-        "region", (F.col("_ref") * fractions[F.col("region")] / F.col("_sig")).alias("_f")
+        "region", F.try_divide(F.col("_ref") * fractions[F.col("region")], F.col("_sig")).alias("_f")
     )
     # at most one row per region: three rows
     return signal.join(F.broadcast(factors), "region", "left").withColumn(

@@ -32,7 +32,7 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
     def cumulative(df: DataFrame, role: str) -> DataFrame:
         block = W.partitionBy("block")
         upto = block.orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-        hi = F.sum("w").over(upto) / F.sum("w").over(block)
+        hi = F.try_divide(F.sum("w").over(upto), F.sum("w").over(block))
         other = "tgt_id" if role == "src_id" else "src_id"
         return df.where(F.col("w") > 0).select(
             "block", hi.alias("hi"), F.col("id").alias(role), F.lit(None).cast("long").alias(other)
@@ -85,7 +85,7 @@ def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame
 def given_source(coupling: DataFrame) -> DataFrame:
     """Adds ``conditional``: the share of a source's mass that goes to each target."""
     total = coupling.groupBy("block", "src_id").agg(F.sum("value").alias("_mass"))
-    return coupling.join(total, ["block", "src_id"]).withColumn("conditional", F.col("value") / F.col("_mass")).drop("_mass")
+    return coupling.join(total, ["block", "src_id"]).withColumn("conditional", F.try_divide("value", "_mass")).drop("_mass")
 
 
 def push(coupling: DataFrame, weights: DataFrame, value: str = "value", out: str = "pushed") -> DataFrame:

@@ -96,9 +96,9 @@ def ot_knn(
     sum_cr = scalar(cr.agg(F.sum("nn_weight").alias("s")), "s")
     pi = scalar(norms, "pi")
     parts = sr.select(
-        "event_id", (F.col("raw") * scalar(norms, "w3b_SR") * pi / sum_sr).alias("model_weight")
+        "event_id", F.try_divide(F.col("raw") * scalar(norms, "w3b_SR") * pi, sum_sr).alias("model_weight")
     ).unionByName(cr.select(
-        "event_id", (F.col("nn_weight") * scalar(norms, "w3b_CR") * pi / sum_cr).alias("model_weight")
+        "event_id", F.try_divide(F.col("nn_weight") * scalar(norms, "w3b_CR") * pi, sum_cr).alias("model_weight")
     ))
     return _assemble(events, parts)
 
@@ -124,10 +124,12 @@ def ot_classifier(
     own = cr.join(block_sums, "block")
     parts = sr.select(
         F.col("tgt_id").alias("event_id"),
-        (pi * F.col("pushed") / n_blocks * scalar(norms, "w3b_SR")).alias("model_weight"),
+        (F.try_divide(pi * F.col("pushed"), n_blocks) * scalar(norms, "w3b_SR")).alias("model_weight"),
     ).unionByName(own.select(
         "event_id",
-        (pi * F.col("odds") * F.col("weight") / F.col("_sum") / n_blocks * scalar(norms, "w3b_CR")).alias("model_weight"),
+        (
+            F.try_divide(F.try_divide(pi * F.col("odds") * F.col("weight"), F.col("_sum")), n_blocks) * scalar(norms, "w3b_CR")
+        ).alias("model_weight"),
     ))
     return _assemble(events, parts)
 
@@ -141,7 +143,7 @@ def single_coupling(events: DataFrame, scores: DataFrame, score: str = "score",
     counts = events.where(F.col("region") == "SB").agg(
         F.sum((F.col("tag") == "4b").cast("double")).alias("n4"), F.sum((F.col("tag") == "3b").cast("double")).alias("n3")
     )
-    pi = scalar(counts, "n4") / scalar(counts, "n3")
+    pi = F.try_divide(scalar(counts, "n4"), scalar(counts, "n3"))
     rows = three_tag(events)
     side = lambda r: rows.where(F.col("region") == r).select(
         F.col("event_id").alias("id"), F.col("sT").alias("x"), F.col("weight").alias("w")
