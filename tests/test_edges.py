@@ -90,7 +90,7 @@ def test_blocks_drop_the_remainder(spark):
     df = spark.createDataFrame(rows, "event_id long, region string, sT double")
     got = BL.round_robin_blocks(df, 3).toPandas()
     assert len(got[got.region == "SR"]) == 9 and len(got[got.region == "CR"]) == 9
-    assert sorted(got[got.block == 0][got.region == "SR"].event_id) == [0, 3, 6]
+    assert sorted(got[(got.block == 0) & (got.region == "SR")].event_id) == [0, 3, 6]
 
 
 def test_models_without_four_tag_events(spark, sf_dir):
