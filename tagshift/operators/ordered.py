@@ -16,10 +16,6 @@ from tagshift.sources.store import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_scan(
     df: DataFrame,
     order: list[str],
@@ -33,11 +29,11 @@ def ordered_scan(
     is summed over all earlier rows of the group.
     """
     by, running = list(by or []), dict(running or {})
-    n = _partitions(df)
     keys = [*by, *order]
     slot = F.monotonically_increasing_id()
+    # without a given number, adaptive execution merges small neighbouring ranges, still in order
     staged = materialize(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_slot", slot), "ordered"
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_slot", slot), "ordered"
     )
     staged = staged.withColumn("_part", F.shiftright("_slot", _LOCAL_BITS).cast("int"))
 
@@ -60,6 +56,7 @@ def ordered_scan(
 
     local = W.partitionBy("_part", *by).orderBy("_slot")
     earlier = local.rowsBetween(W.unboundedPreceding, -1)
+    n = (staged.agg(F.max("_part")).first()[0] or 0) + 1
     placed = staged.repartitionById(n, F.col("_part"))
     placed = placed.select(
         "*", F.row_number().over(local).cast("long").alias("_k"),
