@@ -194,7 +194,7 @@ def radius_change(spark, d):
 
 @query("f08_global_norms", sql("events4 norms", f"SELECT {B('event_id')} AS event_id, {R('weight * pi / w3b_CR', 10)} AS scaled FROM events4, norms WHERE tag = '3b'"))
 def global_norms(spark, d):
-    e = fx.events(spark, d).select("event_id", "tag", "region", "weight")
+    e = materialize(fx.events(spark, d).select("event_id", "tag", "region", "weight"), "labels")
     n = N.transfer_norms(e)
     return e.where("tag = '3b'").select("event_id", r(F.col("weight") * N.scalar(n, "pi") / N.scalar(n, "w3b_CR"), 10).alias("scaled"))
 

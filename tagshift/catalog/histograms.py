@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tagshift.catalog.base import B, R, big, query, r, sql
 from tagshift.constants import HISTOGRAM_VARIABLES, MASS_EDGES, MASS_PLANE_BINS, PI_4B_LARGE, SIGNAL_FRACTION
 from tagshift.functions import jets as J
+from tagshift.functions import scores as S
 from tagshift.functions.pairing import MASS_PLANE, with_pairing
 from tagshift.operators import hist as H
 from tagshift.operators import norms as N
 from tagshift.operators import split as SP
 from tagshift.sources import fixtures as fx
+from tagshift.sources.store import broadcast_if_small, materialize
 
 
 def bin_sql(x: str, binning) -> str:
@@ -109,7 +111,7 @@ def _ratio_sql(num: str, den: str, view: str) -> str:
 def _ratio(spark, d):
     e = fx.events(spark, d).where("region IN ('CR', 'SR')")
     v = {"sT": ("sT", (40, 150.0, 550.0))}
-    h = H.fill(e, v, ["region", "tag"])
+    h = materialize(H.fill(e, v, ["region", "tag"]), "hist")
     pick = lambda t: h.where(F.col("tag") == t).drop("tag")
     c = H.compare(pick("4b"), pick("3b"), ["region"])
     return c.select("region", big("bin").alias("bin"), *[r(x, 4).alias(x) for x in ("num", "den")], r("ratio").alias("ratio"), r("ratio_err").alias("ratio_err"))
@@ -118,11 +120,11 @@ def _ratio(spark, d):
 query("d08_bin_ratio", _ratio_sql("tag = '4b'", "tag = '3b'", "events4"))(_ratio)
 
 
-@query("f06_histogram_join", sql("events4", f"""SELECT region, {B('bin')} AS bin, {R('sum(CASE WHEN tag = ' + chr(39) + '4b' + chr(39) + ' THEN weight ELSE 0 END)', 4)} AS h4b,
-      {R('sum(CASE WHEN tag = ' + chr(39) + '3b' + chr(39) + ' THEN weight ELSE 0 END)', 4)} AS h3b FROM
+@query("f06_histogram_join", sql("events4", f"""SELECT region, {B('bin')} AS bin, {R("sum(CASE WHEN tag = '4b' THEN weight ELSE 0 END)", 4)} AS h4b,
+      {R("sum(CASE WHEN tag = '3b' THEN weight ELSE 0 END)", 4)} AS h3b FROM
       (SELECT *, {bin_sql('m4j', MASS_EDGES)} AS bin FROM events4) c GROUP BY region, bin"""))
 def histogram_join(spark, d):
-    h = H.fill(fx.events(spark, d), {"m4j": HISTOGRAM_VARIABLES["m4j"]}, ["region", "tag"])
+    h = materialize(H.fill(fx.events(spark, d), {"m4j": HISTOGRAM_VARIABLES["m4j"]}, ["region", "tag"]), "hist")
     pick = lambda t, n: h.where(F.col("tag") == t).select("region", "bin", F.col("sumw").alias(n))
     return pick("4b", "h4b").join(pick("3b", "h3b"), ["region", "bin"], "full").select(
         "region", big("bin").alias("bin"), *[r(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("h4b", "h3b")]
@@ -147,7 +149,7 @@ def mass_plane(spark, d):
            FROM events4 WHERE region = 'SR' AND tag = '3b') a) b GROUP BY 1, 2"""))
 def weight_plane(spark, d):
     """30 x 30 bins over the observed range of two score columns, upper edge included."""
-    e = fx.events(spark, d).where("region = 'SR' AND tag = '3b'").select("h", "svb")
+    e = materialize(fx.events(spark, d).where("region = 'SR' AND tag = '3b'").select("h", "svb"), "scores")
     ends = e.agg(*[f(c).alias(f"{n}_{c}") for c in ("h", "svb") for n, f in (("lo", F.min), ("hi", F.max))])
 
     def index(c):
@@ -183,14 +185,31 @@ def class_probabilities(spark, d):
         )).alias("c"),
     ).select("split", "true_class", "weight", "c.prob_class", (F.floor((F.col("c.p") + 5 / 21) * 21) + 1).alias("bin")).where(F.col("bin").between(1, 25))
     h = binned.groupBy("split", "true_class", "prob_class", "bin").agg(F.sum("weight").alias("w"))
-    return h.join(total, "split").select("split", "true_class", "prob_class", big("bin").alias("bin"), r(F.col("w") / F.col("total"), 8).alias("share"))
+    return h.join(broadcast_if_small(total, "totals"), "split").select("split", "true_class", "prob_class", big("bin").alias("bin"), r(F.col("w") / F.col("total"), 8).alias("share"))
+
+
+@query("d12_ratio_by_class", sql("events4", f"""SELECT split, sample, {B('bin')} AS bin, {R('sum(w / tot)', 8)} AS share FROM
+    (SELECT split, sample, floor((ratio + 0.5) * 20) + 1 AS bin, CASE WHEN sample = 'model' THEN w * ratio ELSE w END AS w, tot FROM
+      (SELECT split, CASE WHEN tag = '4b' THEN 'd4' ELSE 'model' END AS sample, round(h / (1 - h), 9) AS ratio, weight AS w, sum(weight) OVER (PARTITION BY split) AS tot FROM
+        (SELECT *, CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 3 < 2 THEN 'train' ELSE 'valid' END AS split FROM events4 WHERE region = 'CR') x) y) z
+    WHERE bin BETWEEN 1 AND 70 GROUP BY 1, 2, 3"""))
+def ratio_by_class(spark, d):
+    """Class ratio of 4b events and of the reweighted 3b model, in 0.05 wide bins from -0.5 to 3."""
+    e = fx.events(spark, d).where("region = 'CR'").select("event_id", "tag", "weight", "h")
+    s = materialize(SP.modular_split(e), "split").withColumn("ratio", F.round(S.class_ratio(F.col("h"), 1 - F.col("h")), 9))
+    total = s.groupBy("split").agg(F.sum("weight").alias("total"))
+    s = s.withColumn("sample", F.when(F.col("tag") == "4b", "d4").otherwise("model")).withColumn(
+        "w", F.when(F.col("tag") == "4b", F.col("weight")).otherwise(F.col("weight") * F.col("ratio"))
+    )
+    h = H.fill(s, {"ratio": ("floor((ratio + 0.5D) * 20D)", (70, 0.0, 70.0))}, ["split", "sample"], weight="w").where(F.col("bin").between(1, 70))
+    return h.join(broadcast_if_small(total, "totals"), "split").select("split", "sample", big("bin").alias("bin"), r(F.col("sumw") / F.col("total"), 8).alias("share"))
 
 
 @query("i07_training_weights", sql("events4", f"""SELECT tag, {B('count(*)')} AS n, {R('sum(tw)', 4)} AS sumw, {R('max(tw)', 6)} AS largest FROM
     (SELECT tag, CASE WHEN tag = '4b' THEN 1.0 ELSE weight * n4 / w3 END AS tw FROM
       (SELECT *, count(*) FILTER (WHERE tag = '4b') OVER () AS n4, sum(weight) FILTER (WHERE tag = '3b') OVER () AS w3 FROM events4 WHERE region = 'CR') a) b GROUP BY tag"""))
 def training_weights(spark, d):
-    t = N.training_weights(fx.events(spark, d).select("event_id", "tag", "region", "weight"))
+    t = N.training_weights(materialize(fx.events(spark, d).select("event_id", "tag", "region", "weight"), "labels"))
     return t.groupBy("tag").agg(big(F.count(F.lit(1))).alias("n"), r(F.sum("train_weight"), 4).alias("sumw"), r(F.max("train_weight")).alias("largest"))
 
 

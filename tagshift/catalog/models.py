@@ -55,7 +55,7 @@ def _model_sql(view):
 
 @query("i01_benchmark_model", _model_sql("m_benchmark"))
 def benchmark_model(spark, d):
-    return _out(M.benchmark(fx.events(spark, d).select("event_id", "tag", "region", "weight")))
+    return _out(M.benchmark(materialize(fx.events(spark, d).select("event_id", "tag", "region", "weight"), "labels")))
 
 
 @query("i02_classifier_model", _model_sql("m_fvt"))

@@ -108,7 +108,7 @@ def weight_vector(spark, d):
     return fx.events(spark, d).select("event_id", r("weight", 4).alias("weight"))
 
 
-@query("a10_replace_column", sql("events4", f"""SELECT region, {B('count(*)')} AS n, {R('sum(CASE WHEN region IN (' + chr(39) + 'CR' + chr(39) + ', ' + chr(39) + 'SR' + chr(39) + ') THEN h ELSE 0 END)', 4)} AS sum_score
+@query("a10_replace_column", sql("events4", f"""SELECT region, {B('count(*)')} AS n, {R("sum(CASE WHEN region IN ('CR', 'SR') THEN h ELSE 0 END)", 4)} AS sum_score
     FROM events4 GROUP BY region"""))
 def replace_column(spark, d):
     e = fx.events(spark, d)

@@ -29,16 +29,17 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
     target whose own cumulative weight is next. No pair of events is formed that gets no mass.
     """
 
-    def cumulative(df: DataFrame, role: str) -> DataFrame:
-        block = W.partitionBy("block")
-        upto = block.orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-        hi = F.try_divide(F.sum("w").over(upto), F.sum("w").over(block))
-        other = "tgt_id" if role == "src_id" else "src_id"
-        return df.where(F.col("w") > 0).select(
-            "block", hi.alias("hi"), F.col("id").alias(role), F.lit(None).cast("long").alias(other)
-        )
-
-    points = cumulative(sources, "src_id").unionByName(cumulative(targets, "tgt_id"))
+    side = lambda df, role: df.where(F.col("w") > 0).select("block", "x", "w", "id", F.lit(role).alias("role"))
+    # one shuffle: both windows below are satisfied by a partitioning on the block
+    rows = side(sources, 0).unionByName(side(targets, 1)).repartition("block")
+    own = W.partitionBy("block", "role")
+    upto = own.orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    points = rows.select(
+        "block",
+        F.try_divide(F.sum("w").over(upto), F.sum("w").over(own)).alias("hi"),
+        F.when(F.col("role") == 0, F.col("id")).alias("src_id"),
+        F.when(F.col("role") == 1, F.col("id")).alias("tgt_id"),
+    )
     down = W.partitionBy("block").orderBy(F.desc("hi"), F.desc("src_id"), F.desc("tgt_id"))
     seen = down.rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = points.select(

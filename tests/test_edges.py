@@ -17,7 +17,7 @@ from tagshift.operators import metrics as X
 from tagshift.operators.norms import transfer_norms
 from tagshift.plans import models as M
 from tagshift.sources import fixtures as fx
-from tagshift.sources.store import materialize
+from tagshift.sources.store import broadcast_if_small, materialize, shared_root
 from tagshift.sources.tables import optional_columns
 
 
@@ -141,3 +141,16 @@ def test_method_names():
     assert method_name("FvT", classifier_id="np799_l0_01_e10") == METHOD_IDS["fvt"]
     assert method_name("Comb-FvT", "emd_p1_R0_4", "np799_l0_01_e10") == METHOD_IDS["comb"]
     assert method_name("benchmark") == "benchmark"
+
+
+def test_intermediates_go_to_the_shared_folder(spark):
+    root = shared_root(spark)
+    assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert materialize(spark.range(3), "probe").inputFiles()[0].removeprefix("file://").startswith(root)
+
+
+def test_size_is_checked_before_a_broadcast(spark):
+    big = spark.range(1000)
+    plan = lambda small: big.join(small, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(broadcast_if_small(spark.range(10), max_rows=100))
+    assert "broadcast" not in plan(broadcast_if_small(spark.range(500), max_rows=100))
