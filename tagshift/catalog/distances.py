@@ -117,7 +117,7 @@ def index_gather(spark, d):
     FROM blk s JOIN blk t ON s.block = t.block AND s.region = 'CR' AND t.region = 'SR' GROUP BY s.block"""))
 def block_pair_moments(spark, d):
     b = blocks(spark, d)
-    m = P.gap_moments(M._side(b, "CR"), M._side(b, "SR"))
+    m = P.gap_moments(M.block_side(b, "CR"), M.block_side(b, "SR"))
     return m.select(big("block").alias("block"), big("n_pairs").alias("n_pairs"), r("mean_gap", 5).alias("mean_gap"), r("mean_square", 3).alias("mean_square"))
 
 
@@ -178,7 +178,7 @@ def coupling_in_order(spark, d):
 def block_gaps(spark, d):
     """Plain and standardised |delta sT| of the coupled pairs; the spread covers the whole block."""
     b, c = coupling(spark, d)
-    spread = P.pooled_spread(M._side(b, "CR"), M._side(b, "SR"))
+    spread = P.pooled_spread(M.block_side(b, "CR"), M.block_side(b, "SR"))
     x = b.select("event_id", "sT")
     cells = c.join(x.toDF("src_id", "s"), "src_id").join(x.toDF("tgt_id", "t"), "tgt_id").join(spread, "block")
     gap = F.abs(F.col("s") - F.col("t"))

@@ -43,7 +43,7 @@ def _placed(events: DataFrame, block_targets: int) -> DataFrame:
     return materialize(round_robin_blocks(rows, block_targets), "blocks")
 
 
-def _side(blocks: DataFrame, region: str) -> DataFrame:
+def block_side(blocks: DataFrame, region: str) -> DataFrame:
     return blocks.where(F.col("region") == region).select(
         "block", F.col("event_id").alias("id"), F.col("sT").alias("x"), F.col("weight").alias("w")
     )
@@ -51,7 +51,7 @@ def _side(blocks: DataFrame, region: str) -> DataFrame:
 
 def region_coupling(blocks: DataFrame) -> DataFrame:
     """CR to SR coupling of each block that moves mass in sT order."""
-    return monotone_coupling(_side(blocks, "CR"), _side(blocks, "SR"))
+    return monotone_coupling(block_side(blocks, "CR"), block_side(blocks, "SR"))
 
 
 def _assemble(events: DataFrame, parts: DataFrame) -> DataFrame:
