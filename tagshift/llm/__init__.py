@@ -1,6 +1,6 @@
 """Training-data operators over documents and pages; nothing else in the library imports this package."""
 
-from tagshift.llm import decontamination, line_dedup, packing, quality_knn, quality_rules, sharding, token_counts, toxicity, url_filter  # noqa: F401
+from tagshift.llm import decontamination, line_dedup, ngram_join, packing, quality_knn, quality_rules, sharding, token_counts, toxicity, url_filter  # noqa: F401
 from tagshift.llm.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
