@@ -21,15 +21,15 @@ BLOCK = 200  # SR events per block at test size
 
 define("ranked", ["events4"], "SELECT *, row_number() OVER (PARTITION BY tag, region ORDER BY sT, event_id) - 1 AS rk, count(*) OVER (PARTITION BY tag, region) AS n FROM events4")
 define("blk", ["ranked"], f"""SELECT event_id, region, sT AS x, weight AS w, h, rk, rk % nb AS block, rk // nb AS pos FROM
-    (SELECT r.*, b.nb, CASE WHEN region = 'SR' THEN {BLOCK} ELSE n // b.nb END AS k FROM ranked r,
-       (SELECT max(n) // {BLOCK} AS nb FROM ranked WHERE tag = '3b' AND region = 'SR') b WHERE tag = '3b' AND region IN ('CR', 'SR')) t WHERE rk < nb * k""")
-define("cum", ["blk"], """SELECT block, event_id, region, x, w, sum(w) OVER (PARTITION BY block, region ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY block, region) AS hi,
-    w / sum(w) OVER (PARTITION BY block, region) AS p FROM blk""")
-define("coupling", ["cum"], """SELECT s.block, s.event_id AS src_id, t.event_id AS tgt_id, s.x AS src_x, t.x AS tgt_x, s.p AS src_mass, least(s.hi, t.hi) - greatest(s.hi - s.p, t.hi - t.p) AS value
-    FROM cum s JOIN cum t ON s.block = t.block AND s.region = 'CR' AND t.region = 'SR' WHERE least(s.hi, t.hi) - greatest(s.hi - s.p, t.hi - t.p) > 1e-12""")
-define("steps", ["ranked"], "SELECT event_id, tag, sT AS x, rk, n, greatest(1, n // 35) AS size, CASE WHEN rk // greatest(1, n // 35) < 35 THEN rk // greatest(1, n // 35) END AS step FROM ranked WHERE region = 'CR'")
+    (SELECT r.*, b.nb FROM ranked r, (SELECT greatest(1, coalesce(max(n), 0) // {BLOCK}) AS nb FROM ranked WHERE tag = '3b' AND region = 'SR') b
+     WHERE tag = '3b' AND region IN ('CR', 'SR')) t""")
+define("cum", ["blk"], """SELECT *, m / total AS p FROM (SELECT *, sum(m) OVER (PARTITION BY block, region) AS total, sum(m) OVER (PARTITION BY block, region ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM (SELECT block, event_id, region, x, w, CAST(round(w * 1000000) AS BIGINT) AS m FROM blk) a) b""")
+define("coupling", ["cum"], """SELECT s.block, s.event_id AS src_id, t.event_id AS tgt_id, s.x AS src_x, t.x AS tgt_x, s.p AS src_mass, (least(s.upto * t.total, t.upto * s.total) - greatest((s.upto - s.m) * t.total, (t.upto - t.m) * s.total))::DOUBLE / (s.total * t.total)::DOUBLE AS value
+    FROM cum s JOIN cum t ON s.block = t.block AND s.region = 'CR' AND t.region = 'SR' WHERE s.upto * t.total > (t.upto - t.m) * s.total AND t.upto * s.total > (s.upto - s.m) * t.total""")
+define("steps", ["ranked"], "SELECT event_id, tag, sT AS x, rk, n, greatest(1, n // 35) AS size, least(34, rk // greatest(1, n // 35)) AS step FROM ranked WHERE region = 'CR'")
 define("band", ["steps"], """SELECT t.event_id AS tgt_id, s.event_id AS src_id, abs(t.x - s.x) AS d, s.rk AS src_rank,
-      greatest(greatest(0, t.step - 1) * s.size, least(least(35, t.step + 2) * s.size, p.place)) AS centre
+      greatest(greatest(0, t.step - 1) * s.size, least(CASE WHEN t.step >= 33 THEN s.n ELSE (t.step + 2) * s.size END, p.place)) AS centre
     FROM steps t JOIN steps s ON t.tag = '4b' AND s.tag = '3b' AND abs(t.step - s.step) <= 1
     JOIN (SELECT t.event_id, count(s.event_id) AS place FROM steps t LEFT JOIN steps s ON s.tag = '3b' AND s.x <= t.x WHERE t.tag = '4b' GROUP BY 1) p ON p.event_id = t.event_id""")
 for _k in (1, 5, 10, 20):
@@ -63,7 +63,7 @@ def round_robin_blocks(spark, d):
 
 
 @query("e03_half_step_blocks", sql("steps", f"""SELECT {B('event_id')} AS event_id, {B('b')} AS block, {B('rk - b * size')} AS pos FROM
-    (SELECT event_id, rk, size, unnest([step - 1, step]) AS b FROM steps WHERE tag = '3b' AND step IS NOT NULL) t WHERE b BETWEEN 0 AND 33"""))
+    (SELECT event_id, rk, size, unnest([step - 1, step]) AS b FROM steps WHERE tag = '3b') t WHERE b BETWEEN 0 AND 33"""))
 def half_step_blocks(spark, d):
     e = three(spark, d).where("region = 'CR'")
     return BL.half_step_blocks(e).select("event_id", big("block").alias("block"), big("pos").alias("pos"))
@@ -209,14 +209,19 @@ def index_membership(spark, d):
 # ---- event distances: no SQL twin, tested against brute force in tests/ ----
 
 
-def aligned(spark, d):
-    return materialize(E.with_alignment(fx.events(spark, d)).select("event_id", "tag", "region", "sT", "packed", "axis", "pz"), "aligned")
+def aligned(events):
+    return materialize(E.with_alignment(events).select("event_id", "tag", "region", "sT", "packed", "axis", "pz"), "aligned")
+
+
+def _sides(rows):
+    cr = rows.where("region = 'CR'").select("tag", F.col("event_id").alias("id"), F.col("sT").alias("x"))
+    return cr.where("tag = '4b'"), cr.where("tag = '3b'")
 
 
 def _pairs(spark, d):
     """Each 4b CR event with its nearest source by sT, with the per-event columns attached."""
-    a = aligned(spark, d)
-    k = NN.knn_by_gap(*cr_pair(spark, d), 1).select("tgt_id", "src_id", F.col("distance").alias("gap"))
+    a = aligned(fx.events(spark, d))
+    k = NN.knn_by_gap(*_sides(a), 1).select("tgt_id", "src_id", F.col("distance").alias("gap"))
     return E.attach(k, a, a)
 
 
@@ -239,10 +244,10 @@ query("h05_thrust_aligned_minimum")(_distance_query("thrust"))
 query("h06_best_flow")(_distance_query("thrust", with_flow=True))
 
 
-def distance_neighbours(spark, d, k, radius=KNN_RADIUS):
-    """k nearest 3b CR events of every 4b CR event by aligned event distance at ``radius``."""
-    a = aligned(spark, d)
-    t, s = cr_pair(spark, d)
+def neighbours_by_distance(events, k, radius=KNN_RADIUS):
+    """k nearest 3b CR events of every 4b CR event of ``events`` by aligned event distance at ``radius``."""
+    a = aligned(events)
+    t, s = _sides(a)
 
     def measure(pairs):
         near = E.event_distance(E.attach(pairs, a, a), "thrust", BASE_RADIUS)
@@ -253,27 +258,10 @@ def distance_neighbours(spark, d, k, radius=KNN_RADIUS):
 
 @query("h09_nearest_by_distance")
 def nearest_by_distance(spark, d):
-    k = distance_neighbours(spark, d, 5)
+    k = neighbours_by_distance(fx.events(spark, d), 5)
     return k.select("tgt_id", "src_id", big("nn").alias("nn"), r("distance", 5).alias("distance"))
 
 
-def exact_block_coupling(spark, d, block_targets=40):
-    """Couplings of small blocks at the event distance: one block per task."""
-    a = aligned(spark, d).where("tag = '3b'")
-    w = fx.events(spark, d).select("event_id", "weight")
-    b = BL.round_robin_blocks(a.join(w, "event_id"), block_targets)
-    side = lambda g: b.where(F.col("region") == g).select("block", F.col("event_id").alias("id"), F.col("weight").alias("w"), "packed", "axis", "pz")
-    return T.exact_coupling(side("CR"), side("SR"))
-
-
-@query("h10_exact_block_coupling")
-def exact_coupling(spark, d):
-    c = exact_block_coupling(spark, d)
-    return c.groupBy("block").agg(
-        big(F.count(F.lit(1))).alias("cells"), r(F.sum("value")).alias("mass"), r(F.sum(F.col("value") * F.col("distance")), 4).alias("cost")
-    )
-
-
 @query("h13_alignment_quality")
 def alignment_quality(spark, d):
     """Aligned distance against the minimum of a 100-step scan of all orientations."""

@@ -13,7 +13,7 @@ from tagshift.operators import hist as H
 from tagshift.operators import norms as N
 from tagshift.operators import split as SP
 from tagshift.sources import fixtures as fx
-from tagshift.sources.store import broadcast_if_small, materialize
+from tagshift.sources.store import materialize
 
 
 def bin_sql(x: str, binning) -> str:
@@ -77,11 +77,11 @@ def all_histograms(spark, d):
 
 @query("d06_histogram_errors", sql("", f"""SELECT event_type, {B('bin')} AS bin, {R('n / sum(n) OVER (PARTITION BY event_type)', 8)} AS n,
       {R('e / sum(n) OVER (PARTITION BY event_type)', 8)} AS error
-    FROM (SELECT event_type, CASE WHEN value = 200 THEN 40 ELSE floor(value * 40 / 200) + 1 END AS bin, sum(w) AS n, sqrt(sum(w * w)) AS e
-          FROM (SELECT event_type, value, 1 + user_id % 3 AS w FROM events WHERE value <= 200) x GROUP BY 1, 2) t"""))
+    FROM (SELECT event_type, CASE WHEN value = 200 THEN 40 ELSE least(41, greatest(0, floor(value * 40 / 200) + 1)) END AS bin, sum(w) AS n, sqrt(sum(w * w)) AS e
+          FROM (SELECT event_type, value, 1 + user_id % 3 AS w FROM events) x GROUP BY 1, 2) t"""))
 def histogram_errors(spark, d):
-    """Closed last bin; rows outside the edges are not binned."""
-    e = fx.table(spark, d, "events").where("value <= 200").select("event_type", "value", (1 + F.col("user_id") % 3).cast("double").alias("w"))
+    """Closed last bin; rows outside the edges are bins 0 and 41."""
+    e = fx.table(spark, d, "events").select("event_type", "value", (1 + F.col("user_id") % 3).cast("double").alias("w"))
     h = H.fill(e, {"value": ("value", (40, 0.0, 200.0))}, ["event_type"], weight="w", closed_last=True)
     return H.errors(h, norm=1.0, keys=["event_type"]).select("event_type", big("bin").alias("bin"), r("n", 8).alias("n"), r("error", 8).alias("error"))
 
@@ -168,13 +168,13 @@ def univariate_by_tag(spark, d):
 
 
 @query("d12_class_probabilities", sql("events4", f"""SELECT split, true_class, prob_class, {B('bin')} AS bin, {R('sum(w) / max(tot)', 8)} AS share FROM
-    (SELECT s.split, s.true_class, c.prob_class, s.w, s.tot, floor((CASE WHEN c.prob_class = 'd4' THEN h ELSE 1 - h END + 5 / 21) * 21) + 1 AS bin
+    (SELECT s.split, s.true_class, c.prob_class, s.w, s.tot, least(26, greatest(0, floor((CASE WHEN c.prob_class = 'd4' THEN h ELSE 1 - h END + 5 / 21) * 21) + 1)) AS bin
      FROM (SELECT *, sum(w) OVER (PARTITION BY split) AS tot FROM
              (SELECT h, weight AS w, CASE WHEN tag = '4b' THEN 'd4' ELSE 'd3' END AS true_class,
                 CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 3 < 2 THEN 'train' ELSE 'valid' END AS split FROM events4 WHERE region = 'CR') x) s,
-          (VALUES ('d4'), ('d3')) c(prob_class)) t WHERE bin BETWEEN 1 AND 25 GROUP BY 1, 2, 3, 4"""))
+          (VALUES ('d4'), ('d3')) c(prob_class)) t GROUP BY 1, 2, 3, 4"""))
 def class_probabilities(spark, d):
-    """Probability of each class by true class, in 1/21 wide bins from -5/21 to 20/21."""
+    """Probability of each class by true class, in 1/21 wide bins from -5/21 to 20/21; bins 0 and 26 are what lies outside."""
     e = fx.events(spark, d).where("region = 'CR'").select("event_id", "tag", "weight", "h")
     s = SP.modular_split(e).withColumn("true_class", F.when(F.col("tag") == "4b", "d4").otherwise("d3"))
     total = s.groupBy("split").agg(F.sum("weight").alias("total"))
@@ -183,26 +183,26 @@ def class_probabilities(spark, d):
         F.explode(F.array(
             F.struct(F.lit("d4").alias("prob_class"), F.col("h").alias("p")), F.struct(F.lit("d3").alias("prob_class"), (1 - F.col("h")).alias("p"))
         )).alias("c"),
-    ).select("split", "true_class", "weight", "c.prob_class", (F.floor((F.col("c.p") + 5 / 21) * 21) + 1).alias("bin")).where(F.col("bin").between(1, 25))
+    ).select("split", "true_class", "weight", "c.prob_class", F.least(F.lit(26), F.greatest(F.lit(0), F.floor((F.col("c.p") + 5 / 21) * 21) + 1)).alias("bin"))
     h = binned.groupBy("split", "true_class", "prob_class", "bin").agg(F.sum("weight").alias("w"))
-    return h.join(broadcast_if_small(total, "totals"), "split").select("split", "true_class", "prob_class", big("bin").alias("bin"), r(F.col("w") / F.col("total"), 8).alias("share"))
+    return h.join(total, "split").select("split", "true_class", "prob_class", big("bin").alias("bin"), r(F.col("w") / F.col("total"), 8).alias("share"))
 
 
 @query("d12_ratio_by_class", sql("events4", f"""SELECT split, sample, {B('bin')} AS bin, {R('sum(w / tot)', 8)} AS share FROM
-    (SELECT split, sample, floor((ratio + 0.5) * 20) + 1 AS bin, CASE WHEN sample = 'model' THEN w * ratio ELSE w END AS w, tot FROM
+    (SELECT split, sample, least(71, greatest(0, floor((ratio + 0.5) * 20) + 1)) AS bin, CASE WHEN sample = 'model' THEN w * ratio ELSE w END AS w, tot FROM
       (SELECT split, CASE WHEN tag = '4b' THEN 'd4' ELSE 'model' END AS sample, round(h / (1 - h), 9) AS ratio, weight AS w, sum(weight) OVER (PARTITION BY split) AS tot FROM
         (SELECT *, CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 3 < 2 THEN 'train' ELSE 'valid' END AS split FROM events4 WHERE region = 'CR') x) y) z
-    WHERE bin BETWEEN 1 AND 70 GROUP BY 1, 2, 3"""))
+    GROUP BY 1, 2, 3"""))
 def ratio_by_class(spark, d):
-    """Class ratio of 4b events and of the reweighted 3b model, in 0.05 wide bins from -0.5 to 3."""
+    """Class ratio of 4b events and of the reweighted 3b model, in 0.05 wide bins from -0.5 to 3, with what lies outside in bins 0 and 71."""
     e = fx.events(spark, d).where("region = 'CR'").select("event_id", "tag", "weight", "h")
     s = materialize(SP.modular_split(e), "split").withColumn("ratio", F.round(S.class_ratio(F.col("h"), 1 - F.col("h")), 9))
     total = s.groupBy("split").agg(F.sum("weight").alias("total"))
     s = s.withColumn("sample", F.when(F.col("tag") == "4b", "d4").otherwise("model")).withColumn(
         "w", F.when(F.col("tag") == "4b", F.col("weight")).otherwise(F.col("weight") * F.col("ratio"))
     )
-    h = H.fill(s, {"ratio": ("floor((ratio + 0.5D) * 20D)", (70, 0.0, 70.0))}, ["split", "sample"], weight="w").where(F.col("bin").between(1, 70))
-    return h.join(broadcast_if_small(total, "totals"), "split").select("split", "sample", big("bin").alias("bin"), r(F.col("sumw") / F.col("total"), 8).alias("share"))
+    h = H.fill(s, {"ratio": ("floor((ratio + 0.5D) * 20D)", (70, 0.0, 70.0))}, ["split", "sample"], weight="w")
+    return h.join(total, "split").select("split", "sample", big("bin").alias("bin"), r(F.col("sumw") / F.col("total"), 8).alias("share"))
 
 
 @query("i07_training_weights", sql("events4", f"""SELECT tag, {B('count(*)')} AS n, {R('sum(tw)', 4)} AS sumw, {R('max(tw)', 6)} AS largest FROM

@@ -218,11 +218,11 @@ def class_ratio(spark, d):
     return fx.events(spark, d).select("event_id", r(S.class_ratio(F.col("h"), 1 - F.col("h")), 5).alias("ratio"))
 
 
-@query("c25_reweighting_curve", sql("", f"""SELECT {B('b')} AS bin, {R('c / (1 - c)', 6)} AS expected, {B('n')} AS n
-    FROM (SELECT b, (b - 0.5) / 20 AS c, n FROM (SELECT floor(value / 25) + 1 AS b, count(*) AS n FROM events WHERE value < 500 GROUP BY 1) t) u"""))
+@query("c25_reweighting_curve", sql("", f"""SELECT {B('b')} AS bin, {R('CASE WHEN b <= 20 THEN c / (1 - c) END', 6)} AS expected, {B('n')} AS n
+    FROM (SELECT b, (b - 0.5) / 20 AS c, n FROM (SELECT CASE WHEN value < 500 THEN floor(value / 25) + 1 ELSE 21 END AS b, count(*) AS n FROM events GROUP BY 1) t) u"""))
 def reweighting_curve(spark, d):
-    """Expected odds at the centre of each filled score bin (the score is value / 500)."""
-    e = fx.table(spark, d, "events").where(F.col("value") < 500)
-    bins = e.groupBy((F.floor(F.col("value") / 25) + 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Expected odds at the centre of each filled score bin (the score is value / 500); bin 21 is the overflow, without odds."""
+    e = fx.table(spark, d, "events")
+    bins = e.groupBy(F.when(F.col("value") < 500, F.floor(F.col("value") / 25) + 1).otherwise(21).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     centre = (F.col("bin") - 0.5) / 20
-    return bins.select(big("bin").alias("bin"), r(S.odds(centre)).alias("expected"), big("n").alias("n"))
+    return bins.select(big("bin").alias("bin"), r(F.when(F.col("bin") <= 20, S.odds(centre))).alias("expected"), big("n").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagshift.catalog.base import B, R, big, define, query, r, sql
-from tagshift.catalog.distances import BLOCK, distance_neighbours, exact_block_coupling
+from tagshift.catalog.distances import BLOCK, neighbours_by_distance
 from tagshift.catalog.histograms import _cells
 from tagshift.constants import HISTOGRAM_VARIABLES, METHOD_IDS, PI_4B_LARGE
 from tagshift.operators import hist as H
@@ -77,12 +77,9 @@ for _k in (1, 5, 10, 20):
 
 @query("i03_transport_knn_distance")
 def transport_knn_distance(spark, d):
-    """Neighbours by event distance, couplings exact at the event distance in small blocks."""
-    m = M.ot_knn(
-        events(spark, d), 5, 40,
-        neighbours=lambda e: distance_neighbours(spark, d, 5),
-        couple=lambda b: exact_block_coupling(spark, d, 40).drop("distance"),
-    )
+    """Neighbours by event distance at the design radius, couplings in sT order."""
+    e = events(spark, d)
+    m = M.ot_knn(e, 5, BLOCK, neighbours=lambda rows: neighbours_by_distance(rows, 5))
     return m.groupBy("region").agg(
         big(F.count(F.lit(1))).alias("n"), r(F.sum("model_weight"), 4).alias("sumw"), big(F.count_if(F.col("model_weight") > 0)).alias("filled")
     )
@@ -94,15 +91,15 @@ def transport_classifier(spark, d):
     return _out(M.ot_classifier(e, scores(e), block_targets=BLOCK))
 
 
-define("whole", ["events4"], """SELECT event_id, region, w, h, sum(w) OVER (PARTITION BY region ORDER BY sT, event_id ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY region) AS hi, w / sum(w) OVER (PARTITION BY region) AS p
-    FROM (SELECT event_id, region, sT, weight AS w, h FROM events4 WHERE tag = '3b') t""")
+define("whole", ["events4"], """SELECT *, sum(m) OVER (PARTITION BY region ORDER BY sT, event_id ROWS UNBOUNDED PRECEDING) AS upto, sum(m) OVER (PARTITION BY region) AS total
+    FROM (SELECT event_id, region, sT, CAST(round(weight * 1000000) AS BIGINT) AS m, h FROM events4 WHERE tag = '3b') t""")
 define("sb_pi", ["events4"], "SELECT count(*) FILTER (WHERE tag = '4b') / count(*) FILTER (WHERE tag = '3b') AS pi FROM events4 WHERE region = 'SB'")
 
 
 @query("i05_single_coupling_model", sql("whole sb_pi", f"""SELECT {B('event_id')} AS event_id, region, {R('mw', 4)} AS model_weight FROM
     (SELECT event_id, region, 10000 * pi * h / (1 - h) AS mw FROM whole, sb_pi WHERE region = 'SB' UNION ALL
-     SELECT t.event_id, t.region, 10000 * max(pi) * sum((least(s.hi, t.hi) - greatest(s.hi - s.p, t.hi - t.p)) * s.h / (1 - s.h)) FROM whole s JOIN whole t ON s.region = 'SB' AND t.region IN ('CR', 'SR')
-       AND s.hi - s.p < t.hi AND t.hi - t.p < s.hi, sb_pi GROUP BY t.event_id, t.region) x"""))
+     SELECT t.event_id, t.region, 10000 * max(pi) * sum((least(s.upto * t.total, t.upto * s.total) - greatest((s.upto - s.m) * t.total, (t.upto - t.m) * s.total))::DOUBLE / (s.total * t.total)::DOUBLE * s.h / (1 - s.h)) FROM whole s JOIN whole t ON s.region = 'SB' AND t.region IN ('CR', 'SR')
+       AND s.upto * t.total > (t.upto - t.m) * s.total AND t.upto * s.total > (s.upto - s.m) * t.total, sb_pi GROUP BY t.event_id, t.region) x"""))
 def single_coupling_model(spark, d):
     e = events(spark, d)
     m = M.single_coupling(e, scores(e))
@@ -110,8 +107,8 @@ def single_coupling_model(spark, d):
 
 
 @query("h11_whole_region_coupling", sql("whole", f"""SELECT {B('src_id')} AS src_id, {B('tgt_id')} AS tgt_id, {R('v', 9)} AS value FROM
-    (SELECT s.event_id AS src_id, t.event_id AS tgt_id, least(s.hi, t.hi) - greatest(s.hi - s.p, t.hi - t.p) AS v FROM whole s JOIN whole t
-     ON s.region = 'CR' AND t.region = 'SR' AND s.hi - s.p < t.hi AND t.hi - t.p < s.hi) x WHERE v > 1e-12"""))
+    (SELECT s.event_id AS src_id, t.event_id AS tgt_id, (least(s.upto * t.total, t.upto * s.total) - greatest((s.upto - s.m) * t.total, (t.upto - t.m) * s.total))::DOUBLE / (s.total * t.total)::DOUBLE AS v FROM whole s JOIN whole t
+     ON s.region = 'CR' AND t.region = 'SR' AND s.upto * t.total > (t.upto - t.m) * s.total AND t.upto * s.total > (s.upto - s.m) * t.total) x"""))
 def whole_region_coupling(spark, d):
     rows = events(spark, d).where("tag = '3b'")
     side = lambda g: rows.where(F.col("region") == g).select(F.col("event_id").alias("id"), F.col("sT").alias("x"), F.col("weight").alias("w"))
@@ -144,11 +141,14 @@ define("bench_hist", ["bench_wide"], f"SELECT 'benchmark' AS sample, region, var
 
 
 def _against_truth_sql(view):
-    return sql(f"{view} truth_hist", f"""SELECT m.sample, m.region, m.variable, {B('m.bin')} AS bin, {R('den', 4)} AS model, {R('coalesce(num, 0)', 5)} AS truth,
-      {R('CASE WHEN den <> 0 THEN coalesce(num, 0) / den ELSE 0 END', 5)} AS ratio,
-      {R('CASE WHEN den <> 0 THEN sqrt((coalesce(num_err, 0) / den) ** 2 + (den_err * coalesce(num, 0) / (den * den)) ** 2) ELSE 0 END', 5)} AS ratio_err
-    FROM {view} m LEFT JOIN truth_hist t ON t.region = m.region AND t.variable = m.variable AND t.bin = m.bin
-    JOIN {_BINS} ON nb.variable = m.variable AND m.bin BETWEEN 1 AND nb.n""")
+    return sql(f"{view} truth_hist", f"""SELECT m.sample, m.region, m.variable, {B('m.bin')} AS bin, {R('den', 4)} AS model, {R('num', 5)} AS truth,
+      {R('CASE WHEN den <> 0 THEN num / den ELSE 0 END', 5)} AS ratio,
+      {R('CASE WHEN den <> 0 THEN sqrt((num_err / den) ** 2 + (den_err * num / (den * den)) ** 2) ELSE 0 END', 5)} AS ratio_err
+    FROM (SELECT g.*, coalesce(m.den, 0) AS den, coalesce(m.den_err, 0) AS den_err, coalesce(t.num, 0) AS num, coalesce(t.num_err, 0) AS num_err FROM
+      (SELECT sample, region, variable, unnest(range(1, n + 1)) AS bin FROM (SELECT DISTINCT sample FROM {view}) s,
+         (SELECT region FROM {view} UNION SELECT region FROM truth_hist WHERE region IN ('CR', 'SR')) r, {_BINS}) g
+      LEFT JOIN {view} m ON m.sample = g.sample AND m.region = g.region AND m.variable = g.variable AND m.bin = g.bin
+      LEFT JOIN truth_hist t ON t.region = g.region AND t.variable = g.variable AND t.bin = g.bin) m""")
 
 
 def _against_truth(e, weights):

@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: distance from a score of 1 below which scores count as this far from it
+SURE = 1e-6
+
+
 def odds(h: Column) -> Column:
-    """h / (1 - h); undefined (null) at h = 1."""
-    return F.when(h != 1.0, h / (1.0 - h))
+    """h / (1 - h), with 1 - h no smaller than ``SURE``: a sure 4b event has large, finite odds."""
+    return h / F.greatest(1.0 - h, F.lit(SURE))
 
 
 def sigmoid(x: Column) -> Column:

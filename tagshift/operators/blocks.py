@@ -16,35 +16,19 @@ def region_ranks(df: DataFrame, by: list[str], value: str = "sT") -> DataFrame:
 
 
 def round_robin_plan(df: DataFrame, block_targets: int = BLOCK_TARGETS) -> DataFrame:
-    """One row: number of blocks, SR rows per block and CR rows per block."""
-    n = df.where(F.col("region").isin("CR", "SR")).agg(
-        F.sum((F.col("region") == "CR").cast("long")).alias("n_cr"),
-        F.sum((F.col("region") == "SR").cast("long")).alias("n_sr"),
-    )
-    return n.withColumn("n_blocks", F.floor(F.col("n_sr") / block_targets).cast("long")).select(
-        "n_blocks",
-        F.lit(block_targets).cast("long").alias("k_sr"),
-        F.when(F.col("n_blocks") > 0, F.floor(F.col("n_cr") / F.col("n_blocks"))).cast("long").alias("k_cr"),
-    )
+    """One row: the number of blocks, at least one, for about ``block_targets`` SR rows each."""
+    n = df.agg(F.coalesce(F.count_if(F.col("region") == "SR"), F.lit(0)).alias("n_sr"))
+    return n.select(F.greatest(F.lit(1), F.floor(F.col("n_sr") / block_targets)).cast("long").alias("n_blocks"))
 
 
 def round_robin_blocks(df: DataFrame, block_targets: int = BLOCK_TARGETS) -> DataFrame:
     """CR and SR events dealt in sT order to blocks: (event_id, region, block, pos, ...).
 
-    Every block has the same number of rows of each region, so no block can be hot. The few rows
-    ranked beyond the last full deal belong to no block.
+    Every row is dealt. Blocks differ by at most one row of each region, so no block can be hot.
     """
     sub = df.where(F.col("region").isin("CR", "SR"))
-    plan = round_robin_plan(sub, block_targets)
-    n = scalar(plan, "n_blocks")
-    per_block = F.when(F.col("region") == "SR", scalar(plan, "k_sr")).otherwise(scalar(plan, "k_cr"))
-    ranked = region_ranks(sub, ["region"]).withColumn("_n", n).withColumn("_k", per_block)
-    return (
-        ranked.where(F.col("rank") < F.col("_n") * F.col("_k"))
-        .withColumn("block", F.col("rank") % F.col("_n"))
-        .withColumn("pos", F.expr("rank div _n"))
-        .drop("_n", "_k")
-    )
+    ranked = region_ranks(sub, ["region"]).withColumn("_n", scalar(round_robin_plan(sub, block_targets), "n_blocks"))
+    return ranked.withColumn("block", F.col("rank") % F.col("_n")).withColumn("pos", F.expr("rank div _n")).drop("_n")
 
 
 def step_size(n_rows: Column, steps: int = HALF_STEPS) -> Column:
@@ -52,9 +36,8 @@ def step_size(n_rows: Column, steps: int = HALF_STEPS) -> Column:
 
 
 def half_step(rank: Column, n_rows: Column, steps: int = HALF_STEPS) -> Column:
-    """Half-step number of a rank; null for the remainder rows behind the last step."""
-    step = F.floor(rank / step_size(n_rows, steps)).cast("long")
-    return F.when(step < steps, step)
+    """Half-step number of a rank; the last step also takes the remainder."""
+    return F.least(F.lit(steps - 1), F.floor(rank / step_size(n_rows, steps))).cast("long")
 
 
 def half_step_blocks(df: DataFrame, steps: int = HALF_STEPS, value: str = "sT") -> DataFrame:
@@ -62,7 +45,7 @@ def half_step_blocks(df: DataFrame, steps: int = HALF_STEPS, value: str = "sT")
     n = scalar(df.agg(F.count(F.lit(1)).alias("n")), "n")
     ranked = ordered_scan(df.select("event_id", value), [value, "event_id"])
     ranked = ranked.withColumn("_size", step_size(n, steps)).withColumn("_step", half_step(F.col("rank"), n, steps))
-    blocks = ranked.where(F.col("_step").isNotNull()).select(
+    blocks = ranked.select(
         "event_id", "rank", "_size", F.explode(F.array(F.col("_step") - 1, F.col("_step"))).alias("block")
     )
     return blocks.where(F.col("block").between(0, steps - 2)).select(

@@ -12,6 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagshift.functions.scores import odds
 from tagshift.operators.norms import scalar
 from tagshift.operators.ordered import ordered_scan
 from tagshift.sources.store import materialize
@@ -226,7 +227,7 @@ def closure(df: DataFrame, label: str, p1: str, weight: str) -> DataFrame:
     """Reweighted 3b sum and the 4b sum over it."""
     y, p, w = F.col(label), F.col(p1), F.col(weight)
     s = df.agg(
-        F.sum(F.when((y == 0) & (p < 1), w * p / (1 - p)).otherwise(0.0)).alias("norm_b"),
+        F.sum(F.when(y == 0, w * odds(p)).otherwise(0.0)).alias("norm_b"),
         F.sum(F.when(y == 1, w).otherwise(0.0)).alias("w4"),
     )
     return s.select("norm_b", F.try_divide("w4", "norm_b").alias("d4_over_b"))

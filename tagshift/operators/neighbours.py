@@ -46,13 +46,15 @@ def banded(targets: DataFrame, sources: DataFrame, steps: int = HALF_STEPS) -> t
     """Targets with the rank interval [lo, hi) of their allowed sources and the ``centre`` in it."""
     tgt, src = merge_positions(targets, sources)
     n_tgt = scalar(tgt.agg(F.count(F.lit(1)).alias("n")), "n")
-    size = step_size(scalar(src.agg(F.count(F.lit(1)).alias("n")), "n"), steps)
-    step = half_step(F.col("tgt_rank"), n_tgt, steps)
-    tgt = tgt.withColumn("_step", step).withColumn("_size", size).where(F.col("_step").isNotNull())
-    tgt = tgt.withColumn("lo", F.greatest(F.lit(0), F.col("_step") - 1) * F.col("_size")).withColumn(
-        "hi", F.least(F.lit(steps), F.col("_step") + 2) * F.col("_size")
+    n_src = scalar(src.agg(F.count(F.lit(1)).alias("n")), "n")
+    tgt = tgt.withColumn("_n", n_src).withColumn("_size", step_size(F.col("_n"), steps)).withColumn(
+        "_step", half_step(F.col("tgt_rank"), n_tgt, steps)
     )
-    return tgt.withColumn("centre", F.greatest("lo", F.least("hi", "place"))).drop("_step", "_size"), src
+    # the last step ends with the last source; with fewer sources than steps the band stays on them
+    hi = F.when(F.col("_step") + 2 >= steps, F.col("_n")).otherwise(F.least("_n", (F.col("_step") + 2) * F.col("_size")))
+    lo = F.greatest(F.lit(0), F.least(F.col("_step") - 1, F.expr("(_n - 1) div _size")) * F.col("_size"))
+    tgt = tgt.withColumn("lo", lo).withColumn("hi", hi)
+    return tgt.withColumn("centre", F.greatest("lo", F.least("hi", "place"))).drop("_n", "_step", "_size"), src
 
 
 def ring(targets: DataFrame, sources: DataFrame, inner: int, outer: int) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tagshift.operators.norms import scalar
 from tagshift.operators.ordered import ordered_scan
-from tagshift.sources.store import broadcast_if_small
 
 
 def hash_key(*parts: Column) -> Column:
@@ -56,7 +55,7 @@ def shuffled_split(df: DataFrame, label: str, train_fraction: float = 0.7, seed:
     keyed = df.withColumn("_h", hash_key(F.col("event_id"), F.lit(seed)))
     ranked = ordered_scan(keyed, ["_h", "event_id"], by=[label], rank="_row")
     sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(train_fraction)).alias("_cut"))
-    out = ranked.join(broadcast_if_small(sizes, "classes"), label)
+    out = ranked.join(sizes, label)
     return out.withColumn("split", F.when(F.col("_row") < F.col("_cut"), "train").otherwise("valid")).drop("_h", "_row", "_cut")
 
 
@@ -85,7 +84,7 @@ def exact_quantiles(df: DataFrame, value: str, tie: str, by: list[str], probabil
     wanted = at.select(
         *by, "probability", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_r")
     )
-    hits = ranked.join(broadcast_if_small(wanted, "quantile_ranks"), [*by, "_r"])
+    hits = ranked.join(wanted, [*by, "_r"])
     lower = F.min_by(value, "_r")
     upper = F.max_by(value, "_r")
     part = F.max(F.col("_at") - F.floor("_at"))

@@ -5,20 +5,25 @@ A coupling is a long table (block, src_id, tgt_id, value); only its non-zero cel
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagshift.constants import BASE_RADIUS
-from tagshift.operators.emd import best_orientation, unpack
-from tagshift.operators.norms import scalar
 from tagshift.operators.ordered import ordered_scan
 from tagshift.sources.store import materialize
 
-PAIRS_AT_ONCE = 20_000  # event pairs per distance batch inside a block
-CELL_FLOOR = 1e-12  # below this a cell is rounding noise of the cumulative sums
+UNITS = 1_000_000  # weights are coupled as whole numbers of 1 / UNITS, so that break points compare exactly
+
+
+def _mass(df: DataFrame) -> DataFrame:
+    """Rows with their weight as a whole number ``m``; rows of no weight hold no mass, negative ones are refused."""
+    checked = F.when(F.col("w") < 0, F.raise_error("a coupling needs weights that are not negative").cast("double")).otherwise(F.col("w"))
+    return df.withColumn("m", F.round(checked * UNITS).cast("long")).where(F.col("m") > 0)
+
+
+def _wide(x: str) -> Column:
+    return F.col(x).cast("decimal(19,0)")
 
 
 def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -29,14 +34,18 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
     target whose own cumulative weight is next. No pair of events is formed that gets no mass.
     """
 
-    side = lambda df, role: df.where(F.col("w") > 0).select("block", "x", "w", "id", F.lit(role).alias("role"))
+    side = lambda df, role: _mass(df).select("block", "x", "m", "id", F.lit(role).alias("role"))
     # one shuffle: both windows below are satisfied by a partitioning on the block
     rows = side(sources, 0).unionByName(side(targets, 1)).repartition("block")
     own = W.partitionBy("block", "role")
     upto = own.orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    points = rows.select(
-        "block",
-        F.try_divide(F.sum("w").over(upto), F.sum("w").over(own)).alias("hi"),
+    every = W.partitionBy("block")
+    total = lambda role: F.sum(F.when(F.col("role") == role, F.col("m")).otherwise(0)).over(every)
+    # cumulative weight times the other side's total: whole numbers on one common scale
+    rows = rows.select("*", F.sum("m").over(upto).alias("upto"), total(0).alias("all_src"), total(1).alias("all_tgt"))
+    points = rows.where("all_src > 0 AND all_tgt > 0").select(
+        "block", (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
+        (_wide("upto") * F.when(F.col("role") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
         F.when(F.col("role") == 0, F.col("id")).alias("src_id"),
         F.when(F.col("role") == 1, F.col("id")).alias("tgt_id"),
     )
@@ -46,9 +55,9 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
         "block",
         F.last("src_id", ignorenulls=True).over(seen).alias("src_id"),
         F.last("tgt_id", ignorenulls=True).over(seen).alias("tgt_id"),
-        (F.col("hi") - F.lead("hi", 1, 0.0).over(down)).alias("value"),
+        ((F.col("hi") - F.coalesce(F.lead("hi").over(down), F.lit(0))).cast("double") / F.col("scale")).alias("value"),
     )
-    return cells.where(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull() & (F.col("value") > CELL_FLOOR))
+    return cells.where(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull() & (F.col("value") > 0))
 
 
 def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -59,14 +68,14 @@ def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame
     """
 
     def cumulative(df: DataFrame, kind: int) -> DataFrame:
-        scan = materialize(ordered_scan(df.where(F.col("w") > 0), ["x", "id"], running={"before": "w"}), "mass")
-        total = scalar(scan.agg(F.sum("w").alias("t")), "t")
-        return scan.select(
-            F.lit(kind).alias("kind"), "id", "rank", ((F.col("before") + F.col("w")) / total).alias("hi")
-        )
-
-    points = cumulative(sources, 0).unionByName(cumulative(targets, 1)).withColumn(
-        "is_source", (1 - F.col("kind")).cast("long")
+        return materialize(ordered_scan(_mass(df).select("x", "id", "m"), ["x", "id"], running={"before": "m"}), "mass").withColumn("kind", F.lit(kind))
+
+    src_mass, tgt_mass = cumulative(sources, 0), cumulative(targets, 1)
+    totals = src_mass.agg(F.sum("m").alias("all_src")).join(tgt_mass.agg(F.sum("m").alias("all_tgt")))  # one row
+    points = src_mass.unionByName(tgt_mass).join(F.broadcast(totals)).select(
+        "kind", "id", "rank", (1 - F.col("kind")).cast("long").alias("is_source"),
+        (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
+        ((F.col("before") + F.col("m")).cast("decimal(19,0)") * F.when(F.col("kind") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
     )
     merged = materialize(
         ordered_scan(points, ["hi", "kind", "rank"], running={"n_src": "is_source"}, rank="place"), "breaks"
@@ -76,10 +85,10 @@ def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame
     src = merged.where(F.col("kind") == 0).select(F.col("n_src"), F.col("id").alias("src_id"))
     tgt = merged.where(F.col("kind") == 1).select(F.col("n_tgt"), F.col("id").alias("tgt_id"))
     prev = merged.select((F.col("place") + 1).alias("place"), F.col("hi").alias("_lo"))
-    cells = merged.select("place", "hi", "n_src", "n_tgt").join(prev, "place", "left").join(src, "n_src").join(tgt, "n_tgt")
-    value = F.col("hi") - F.coalesce("_lo", F.lit(0.0))
+    cells = merged.select("place", "hi", "scale", "n_src", "n_tgt").join(prev, "place", "left").join(src, "n_src").join(tgt, "n_tgt")
+    value = (F.col("hi") - F.coalesce("_lo", F.lit(0))).cast("double") / F.col("scale")
     return cells.select(F.lit(0).cast("long").alias("block"), "src_id", "tgt_id", value.alias("value")).where(
-        F.col("value") > CELL_FLOOR
+        F.col("value") > 0
     )
 
 
@@ -102,106 +111,3 @@ def marginals(coupling: DataFrame, side: str) -> DataFrame:
 def radius_change(distance, gap, radius: float, base: float = BASE_RADIUS):
     """Event distance at another radius, from the distance at ``base`` and the plain |delta sT|."""
     return distance * F.lit(base / radius) + gap * F.lit((radius - base) / radius)
-
-
-def solve_transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Exact transport plan of one small block by shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    flow = np.zeros((n, m))
-    left, need = supply.astype(float).copy(), demand.astype(float).copy()
-    u, v = cost.min(axis=1), np.zeros(m)
-    tol = 1e-13 * max(left.sum(), 1e-300)
-    while left.max() > tol and need.max() > tol:
-        start = int(left.argmax())
-        ds, dt = np.full(n, np.inf), np.full(m, np.inf)
-        ps, pt = np.full(n, -1), np.full(m, -1)
-        done_s, done_t = np.zeros(n, bool), np.zeros(m, bool)
-        ds[start] = 0.0
-        end = -1
-        while end < 0:
-            open_s, open_t = np.where(done_s, np.inf, ds), np.where(done_t, np.inf, dt)
-            i, j = int(open_s.argmin()), int(open_t.argmin())
-            if not np.isfinite(min(open_s[i], open_t[j])):
-                break
-            if open_s[i] <= open_t[j]:
-                done_s[i] = True
-                step = ds[i] + np.maximum(cost[i] - u[i] - v, 0.0)
-                better = step < dt
-                dt[better], pt[better] = step[better], i
-            else:
-                done_t[j] = True
-                if need[j] > tol:
-                    end = j
-                    break
-                back = (flow[:, j] > tol) & ~done_s & (dt[j] < ds)
-                ds[back], ps[back] = dt[j], j
-        if end < 0:
-            break
-        far = dt[end]
-        u += far - np.minimum(ds, far)
-        v -= far - np.minimum(dt, far)
-        path, j = [], end
-        while True:
-            i = pt[j]
-            path.append((i, j, 1.0))
-            if i == start:
-                break
-            j = ps[i]
-            path.append((i, j, -1.0))
-        amount = min([left[start], need[end]] + [flow[i, j] for i, j, s in path if s < 0])
-        for i, j, s in path:
-            flow[i, j] = max(flow[i, j] + s * amount, 0.0)
-        left[start] -= amount
-        need[end] -= amount
-    return flow
-
-
-def exact_coupling(
-    sources: DataFrame, targets: DataFrame, radius: float = BASE_RADIUS, max_cells: int = 4_000_000
-) -> DataFrame:
-    """Exact coupling per block for the thrust-aligned event distance.
-
-    Inputs are (block, id, w, packed, axis, pz). One block is one task, so blocks have to be small:
-    the cost matrix lives inside the task and a block above ``max_cells`` is refused. Only cells
-    that carry mass leave the task.
-    """
-
-    def solve(key: tuple, src: pd.DataFrame, tgt: pd.DataFrame) -> pd.DataFrame:
-        n, m = len(src), len(tgt)
-        if n * m > max_cells:
-            raise ValueError(f"block {key[0]} has {n} x {m} cells; use smaller blocks")
-        empty = pd.DataFrame({"block": [], "src_id": [], "tgt_id": [], "value": [], "distance": []})
-        if n == 0 or m == 0:
-            return empty
-        a, b = unpack(np.vstack(src["src_packed"])), unpack(np.vstack(tgt["tgt_packed"]))
-        cost = np.concatenate([
-            best_orientation(
-                tuple(c[i] for c in a), tuple(c[j] for c in b), radius, "thrust",
-                src["src_axis"].to_numpy()[i], tgt["tgt_axis"].to_numpy()[j],
-                src["src_pz"].to_numpy()[i], tgt["tgt_pz"].to_numpy()[j],
-            )[0]
-            for lot in np.array_split(np.arange(n * m), 1 + n * m // PAIRS_AT_ONCE)
-            for i, j in [np.divmod(lot, m)]
-        ]).reshape(n, m)
-        p, q = src["src_w"].to_numpy(), tgt["tgt_w"].to_numpy()
-        plan = solve_transport(p / p.sum(), q / q.sum(), cost)
-        i, j = np.nonzero(plan > CELL_FLOOR)
-        return pd.DataFrame({
-            "block": np.full(len(i), key[0]),
-            "src_id": src["src_id"].to_numpy()[i],
-            "tgt_id": tgt["tgt_id"].to_numpy()[j],
-            "value": plan[i, j],
-            "distance": cost[i, j],
-        })
-
-    # both sides often come from one table; fresh names keep their columns apart. Blocks are little
-    # data but much work, so the number of partitions is given and not merged by size.
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["block", "id", "w", "packed", "axis", "pz"]
-    src = sources.select(*[F.col(c).alias(f"src_{c}") for c in names])
-    tgt = targets.select(*[F.col(c).alias(f"tgt_{c}") for c in names])
-    return (
-        src.repartition(parts, "src_block").groupBy("src_block")
-        .cogroup(tgt.repartition(parts, "tgt_block").groupBy("tgt_block"))
-        .applyInPandas(solve, "block long, src_id long, tgt_id long, value double, distance double")
-    )

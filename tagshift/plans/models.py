@@ -55,7 +55,7 @@ def region_coupling(blocks: DataFrame) -> DataFrame:
 
 
 def _assemble(events: DataFrame, parts: DataFrame) -> DataFrame:
-    """All 3b events; those that no block holds, and SB, get model weight 0."""
+    """All 3b events; regions that the model leaves out (SB) get model weight 0."""
     rows = three_tag(events).select("event_id", "region", "weight")
     return rows.join(parts, "event_id", "left").select(
         "event_id", "region", "weight", F.coalesce("model_weight", F.lit(0.0)).alias("model_weight")
@@ -117,7 +117,7 @@ def ot_classifier(
     pi = scalar(norms, "pi")
     cr = blocks.where(F.col("region") == "CR").join(
         scores.select("event_id", F.col(score).alias("_h")), "event_id"
-    ).select("event_id", "block", "weight", F.coalesce(odds(F.col("_h")), F.lit(0.0)).alias("odds"))
+    ).select("event_id", "block", "weight", odds(F.col("_h")).alias("odds"))
     cr = materialize(cr, "odds")
     sr = push(couple(blocks), cr.select(F.col("event_id").alias("id"), F.col("odds").alias("w")))
     block_sums = cr.groupBy("block").agg(F.sum("weight").alias("_sum"))
@@ -151,7 +151,7 @@ def single_coupling(events: DataFrame, scores: DataFrame, score: str = "score",
     sb = materialize(
         rows.where(F.col("region") == "SB").select("event_id").join(
             scores.select("event_id", F.col(score).alias("_h")), "event_id"
-        ).select("event_id", F.coalesce(odds(F.col("_h")), F.lit(0.0)).alias("odds")), "sb_odds"
+        ).select("event_id", odds(F.col("_h")).alias("odds")), "sb_odds"
     )
     parts = sb.select("event_id", (F.lit(factor) * pi * F.col("odds")).alias("model_weight"))
     for region in ("CR", "SR"):

@@ -31,12 +31,18 @@ def truth_histograms(
 
 
 def model_against_truth(models: DataFrame, truth: DataFrame, variables: dict | None = None) -> DataFrame:
-    """Truth over model, bin by bin, for every model; only inner bins have edges and are kept."""
+    """Truth over model for every model, region, variable and inner bin, filled on either side or not."""
     variables = variables or HISTOGRAM_VARIABLES
     keys = ["region", "variable", "bin"]
     m = models.select(*keys, "sample", F.col("sumw").alias("den"), F.sqrt("sumw2").alias("den_err"))
     t = truth.select(*keys, F.col("sumw").alias("num"), F.sqrt("sumw2").alias("num_err"))
-    joined = m.join(t, keys, "left").fillna(0.0, ["num", "num_err"])
+    # a few rows: samples and regions with anything at all, times the fixed binnings
+    sides = m.select("region").unionByName(t.select("region")).distinct().join(m.select("sample").distinct())
+    bins = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(H.bin_count(b)).alias("n")) for v, (_, b) in variables.items()])
+    grid = sides.select("*", F.explode(bins).alias("v")).select(
+        "sample", "region", "v.variable", F.explode(F.sequence(F.lit(1), F.col("v.n"))).alias("bin")
+    )
+    joined = grid.join(m, ["sample", *keys], "left").join(t, keys, "left").fillna(0.0, ["num", "num_err", "den", "den_err"])
     value, err = H.ratio(F.col("num"), F.col("den"), F.col("num_err"), F.col("den_err"))
     return H.with_edges(joined.withColumn("ratio", value).withColumn("ratio_err", err), variables)
 

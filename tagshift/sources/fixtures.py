@@ -33,8 +33,8 @@ def _jet_columns() -> list:
     ]
 
 
-def ranked_jets(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """The leading ``limit`` jets of every order, one row per jet.
+def ranked_jets(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+    """The leading ``limit`` jets (or all) of every order, one row per jet.
 
     The rank filter lets Spark cut each order to ``limit`` rows before the shuffle.
     """
@@ -44,9 +44,9 @@ def ranked_jets(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     )
+    ranked = lines.withColumn("_rn", F.row_number().over(w))
     return (
-        lines.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= limit)
+        (ranked if limit is None else ranked.where(F.col("_rn") <= limit))
         .select(F.col("l_orderkey").alias("event_id"), (F.col("_rn") - 1).alias("jet"), *_jet_columns())
     )
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -40,12 +39,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, name: str = "small", max_rows: int = 200_000) -> DataFrame:
-    """``df`` written once and, if it has at most ``max_rows`` rows, marked for broadcast.
-
-    A larger table is returned without the mark and joins by shuffle.
-    """
-    table = materialize(df, name)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

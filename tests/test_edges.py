@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tagshift.constants import METHOD_IDS, method_name
+from tagshift.constants import HISTOGRAM_VARIABLES, METHOD_IDS, method_name
 from tagshift.functions import fourvec as fv
 from tagshift.functions import jets as J
 from tagshift.functions import scores as S
@@ -14,10 +14,12 @@ from tagshift.functions.thrust import thrust, thrust_scan
 from tagshift.operators import blocks as BL
 from tagshift.operators import hist as H
 from tagshift.operators import metrics as X
+from tagshift.operators import neighbours as NN
 from tagshift.operators.norms import transfer_norms
 from tagshift.plans import models as M
+from tagshift.plans import report as RP
 from tagshift.sources import fixtures as fx
-from tagshift.sources.store import broadcast_if_small, materialize, shared_root
+from tagshift.sources.store import materialize, shared_root
 from tagshift.sources.tables import optional_columns
 
 
@@ -85,12 +87,38 @@ def test_ratio_is_zero_over_empty_bin(spark):
     assert rows[1]["ratio"] == 1.0 and rows[2]["ratio"] == 0.0 and rows[2]["ratio_err"] == 0.0
 
 
-def test_blocks_drop_the_remainder(spark):
+def test_blocks_take_every_row(spark):
     rows = [(i, "SR", float(i)) for i in range(10)] + [(100 + i, "CR", float(i)) for i in range(11)]
     df = spark.createDataFrame(rows, "event_id long, region string, sT double")
     got = BL.round_robin_blocks(df, 3).toPandas()
-    assert len(got[got.region == "SR"]) == 9 and len(got[got.region == "CR"]) == 9
-    assert sorted(got[(got.block == 0) & (got.region == "SR")].event_id) == [0, 3, 6]
+    assert len(got[got.region == "SR"]) == 10 and len(got[got.region == "CR"]) == 11
+    assert sorted(got[(got.block == 0) & (got.region == "SR")].event_id) == [0, 3, 6, 9]
+    # fewer targets than a block should have: one block of all rows
+    assert set(BL.round_robin_blocks(df, 1000).toPandas().block) == {0}
+
+
+def test_every_target_keeps_its_neighbours(spark, sf_dir):
+    cr = fx.events(spark, sf_dir).where("region = 'CR'").select("tag", F.col("event_id").alias("id"), F.col("sT").alias("x"))
+    t, s = cr.where("tag = '4b'"), cr.where("tag = '3b'")
+    assert NN.knn_by_gap(t, s, 5).groupBy("tgt_id").count().where("count = 5").count() == t.count()
+    few = s.orderBy("x").limit(7)
+    assert NN.knn_by_gap(t, few, 1).count() == t.count()
+    rows = BL.half_step_blocks(s.select(F.col("id").alias("event_id"), F.col("x").alias("sT")))
+    assert rows.select("event_id").distinct().count() == s.count()
+
+
+def test_default_blocks_give_weights(spark, sf_dir):
+    e = materialize(fx.events(spark, sf_dir), "events")
+    for model in (M.ot_knn(e, 5), M.ot_classifier(e, e.select("event_id", F.col("h").alias("score")))):
+        assert model.where("region = 'SR' AND model_weight > 0").count() > 0
+
+
+def test_report_holds_every_truth_bin(spark, sf_dir):
+    e = materialize(fx.wide_events(spark, sf_dir), "wide")
+    truth = materialize(RP.truth_histograms(e), "truth")
+    inner = H.with_edges(truth.select("region", "variable", "bin", "sumw"), HISTOGRAM_VARIABLES)
+    report = RP.model_against_truth(RP.sample_histograms(e, M.long_weights({"benchmark": M.benchmark(e)})), truth)
+    assert report.agg(F.sum("num")).first()[0] == pytest.approx(inner.agg(F.sum("sumw")).first()[0])
 
 
 def test_models_without_four_tag_events(spark, sf_dir):
@@ -126,8 +154,8 @@ def test_bootstrap_interval_holds_the_value(spark, sf_dir):
     assert ci["lower"] < value < ci["upper"] and ci["replicates"] == 100
 
 
-def test_odds_at_one_are_undefined(spark):
-    assert spark.range(1).select(S.odds(F.lit(1.0))).first()[0] is None
+def test_odds_at_one_are_large(spark):
+    assert spark.range(1).select(S.odds(F.lit(1.0))).first()[0] == pytest.approx(1 / S.SURE)
 
 
 def test_missing_columns_are_left_out(spark):
@@ -147,10 +175,3 @@ def test_intermediates_go_to_the_shared_folder(spark):
     root = shared_root(spark)
     assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert materialize(spark.range(3), "probe").inputFiles()[0].removeprefix("file://").startswith(root)
-
-
-def test_size_is_checked_before_a_broadcast(spark):
-    big = spark.range(1000)
-    plan = lambda small: big.join(small, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(broadcast_if_small(spark.range(10), max_rows=100))
-    assert "broadcast" not in plan(broadcast_if_small(spark.range(500), max_rows=100))

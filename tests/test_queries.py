@@ -4,18 +4,19 @@ import pytest
 from oracle import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tagshift.catalog import QUERIES
 
-# slow at any size; their parts are tested in test_distances and test_learning
-HEAVY = {"i03_transport_knn_distance", "h10_exact_block_coupling", "k06_setting_sweep", "j03_auc_bootstrap", "h13_alignment_quality"}
+# the optional part has its own tests
+OWN = set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(OWN & set(oracle_sql())))
 def test_matches_duckdb(spark, sf_dir, name):
     with duck(sf_dir) as con:
         assert compare(queries()[name](spark, sf_dir), con, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(OWN - set(oracle_sql())))
 def test_runs(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
 
