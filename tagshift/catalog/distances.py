@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
 from tagshift.catalog.base import B, R, big, define, query, r, sql, wrapped
@@ -206,7 +209,7 @@ def index_membership(spark, d):
     return fx.events(spark, d).select("event_id", r("sT", 4).alias("sT")).join(chosen, "event_id", "left_semi")
 
 
-# ---- event distances: no SQL twin, tested against brute force in tests/ ----
+# ---- event distances: with full masses no SQL twin, tested against brute force in tests/ ----
 
 
 def aligned(events):
@@ -236,6 +239,47 @@ def _distance_query(kind, **options):
     return run
 
 
+# With unit masses the distance is the cheapest of the 24 ways to pair the jets, which SQL can state. The kernel is the same.
+
+_SUMS = [(f"(px0 {a} px1 {b} px2 {c} px3)", f"(py0 {a} py1 {b} py2 {c} py3)") for a in "+-" for b in "+-" for c in "+-"]
+define("axes", ["vec"], "SELECT *, pz0 + pz1 + pz2 + pz3 AS pz, list_reverse_sort([" + ", ".join(
+    f"{{'v': sqrt({x} ** 2 + {y} ** 2), 'p': atan2({y}, {x})}}" for x, y in _SUMS) + "])[1].p AS axis FROM vec")
+_SIDES = ", ".join(f"s.{c}{i} AS s{c}{i}, t.{c}{i} AS t{c}{i}" for c in ("eta", "phi") for i in range(4))
+define("unit_pair", ["knn1", "axes"], f"""SELECT k.tgt_id, k.src_id, {_SIDES}, s.axis AS s_axis, t.axis AS t_axis, CASE WHEN s.pz * t.pz < 0 THEN -1 ELSE 1 END AS side
+    FROM knn1 k JOIN axes s ON s.event_id = k.src_id JOIN axes t ON t.event_id = k.tgt_id""")
+
+
+def _unit_sql(variants: str) -> str:
+    """``variants``: the orientations of a pair as a table (ve, vp, turn)."""
+    costs = ", ".join(
+        f"sqrt((ve * seta{i} - teta{j}) ** 2 + ({wrapped(f'vp * sphi{i} + turn - tphi{j}')}) ** 2) / {BASE_RADIUS!r} AS c{i}{j}" for i in range(4) for j in range(4))
+    pairings = ", ".join(" + ".join(f"c{i}{p[i]}" for i in range(4)) for p in itertools.permutations(range(4)))
+    return sql("unit_pair", f"""SELECT {B('tgt_id')} AS tgt_id, {B('src_id')} AS src_id, {R('min(d)', 5)} AS distance FROM
+        (SELECT tgt_id, src_id, least({pairings}) AS d FROM (SELECT tgt_id, src_id, {costs} FROM ({variants}) v) c) m GROUP BY 1, 2""")
+
+
+def _scan_sql(kind: str) -> str:
+    rows = ", ".join(f"({-1 if e else 1}, {-1 if p else 1}, {turn!r})" for e, p, turn in E.variants(kind))
+    return _unit_sql(f"SELECT * FROM unit_pair, (VALUES {rows}) o(ve, vp, turn)")
+
+
+_ALIGNED = " UNION ALL ".join(
+    f"SELECT *, side AS ve, {f} AS vp, -({f} * s_axis - t_axis + {half!r}) AS turn FROM unit_pair" for f in (1, -1) for half in (0.0, math.pi))
+
+
+def _unit_query(kind):
+    def run(spark, d):
+        p = _pairs(spark, d)
+        for c in ("src_packed", "tgt_packed"):
+            p = p.withColumn(c, F.concat(F.array_repeat(F.lit(1.0), 4), F.slice(c, 5, 8)))
+        return E.event_distance(p, kind).select("tgt_id", "src_id", r("distance", 5).alias("distance"))
+
+    return run
+
+
+for _name, _kind in (("h01_event_distance", "nominal"), ("h02_min_over_eta_flip", "eta_flip"), ("h03_min_over_rotation", "phi_rotation"), ("h04_full_minimum", "full")):
+    query(f"{_name}_unit", _scan_sql(_kind))(_unit_query(_kind))
+query("h05_thrust_aligned_minimum_unit", _unit_sql(_ALIGNED))(_unit_query("thrust"))
 query("h01_event_distance")(_distance_query("nominal"))
 query("h02_min_over_eta_flip")(_distance_query("eta_flip"))
 query("h03_min_over_rotation")(_distance_query("phi_rotation"))
