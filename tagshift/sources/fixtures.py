@@ -92,7 +92,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``sT`` is rounded so that equal sums are equal numbers whatever the order of summation.
     """
-    df = J.with_vectors(with_labels(jet_events(spark, sf_dir)))
+    return _derived(with_labels(jet_events(spark, sf_dir)))
+
+
+def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-jet signal sample: every order again with harder and more central jets, ids below zero, small weights."""
+    jets = jet_events(spark, sf_dir)
+    shifted = F.transform("jets", lambda x: F.struct(
+        (1.25 * x["pt"]).alias("pt"), (0.6 * x["eta"]).alias("eta"), x["phi"].alias("phi"), x["m"].alias("m"),
+        fv.energy_from_mass(1.25 * x["pt"], 0.6 * x["eta"], x["m"]).alias("e")))
+    rows = with_labels(jets.select("event_id", shifted.alias("jets"))).withColumn("weight", F.col("weight") / 100)
+    return _derived(rows.withColumn("tag", F.lit("signal")).withColumn("event_id", -1 - F.col("event_id")))
+
+
+def _derived(rows: DataFrame) -> DataFrame:
+    df = J.with_vectors(rows)
     j = F.col("jets")
     df = df.select(
         "*",
