@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -36,11 +37,12 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    shared = tempfile.TemporaryDirectory(prefix="tagshift-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("tagshift-bench")
         .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", shared.name).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
 
@@ -57,6 +59,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }), flush=True)
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -280,6 +280,20 @@ def _unit_query(kind):
 for _name, _kind in (("h01_event_distance", "nominal"), ("h02_min_over_eta_flip", "eta_flip"), ("h03_min_over_rotation", "phi_rotation"), ("h04_full_minimum", "full")):
     query(f"{_name}_unit", _scan_sql(_kind))(_unit_query(_kind))
 query("h05_thrust_aligned_minimum_unit", _unit_sql(_ALIGNED))(_unit_query("thrust"))
+_UNIT = _unit_sql(_ALIGNED)
+_HEAD, _BODY = _UNIT[: _UNIT.rindex("\nSELECT")], _UNIT[_UNIT.rindex("\nSELECT") :]
+
+
+@query("h08_radius_change_aligned", f"""{_HEAD}
+SELECT u.tgt_id, u.src_id, {R(f"2 * pi() * u.distance / {KNN_RADIUS} + ({KNN_RADIUS} - 2 * pi()) * k.d / {KNN_RADIUS}", 3)} AS distance
+    FROM ({_BODY.replace(", 5) + 0.0) AS distance", ", 9) + 0.0) AS distance")}) u JOIN knn1 k ON k.tgt_id = u.tgt_id""")
+def radius_change_aligned(spark, d):
+    """Aligned unit-mass distances taken to the neighbours' radius, with the gap in sT as the part that does not scale."""
+    p = _pairs(spark, d)
+    for c in ("src_packed", "tgt_packed"):
+        p = p.withColumn(c, F.concat(F.array_repeat(F.lit(1.0), 4), F.slice(c, 5, 8)))
+    out = E.event_distance(p, "thrust")
+    return out.select("tgt_id", "src_id", r(T.radius_change(F.round("distance", 9), F.col("gap"), KNN_RADIUS), 3).alias("distance"))
 query("h01_event_distance")(_distance_query("nominal"))
 query("h02_min_over_eta_flip")(_distance_query("eta_flip"))
 query("h03_min_over_rotation")(_distance_query("phi_rotation"))

@@ -210,6 +210,46 @@ def model_weight_range(spark, d):
     return f.join(c.where((F.col("w_comb") > 0) & (F.col("w_comb") < 0.3)), "event_id").select("event_id", r("w_fvt").alias("w_fvt"), r("w_comb").alias("w_comb"))
 
 
+define("sr_pair", ["m_fvt", "m_comb", "events4"], """SELECT f.event_id, e.svb, round(f.mw, 9) AS f, round(c.mw, 9) AS c, round(f.mw - c.mw, 9) AS x
+    FROM m_fvt f JOIN m_comb c ON c.event_id = f.event_id JOIN events4 e ON e.event_id = f.event_id WHERE f.region = 'SR'""")
+
+
+def _sr_pair(spark, d):
+    """Classifier and combined weights of the 3b SR events, with the signal score."""
+    e = events(spark, d)
+    f = M.classifier_odds(e, scores(e)).where("region = 'SR'").select("event_id", F.col("model_weight").alias("_f"))
+    c = M.ot_classifier(e, scores(e), block_targets=BLOCK).select("event_id", F.col("model_weight").alias("_c"))
+    both = f.join(c, "event_id").join(e.select("event_id", "svb"), "event_id")
+    return materialize(both.select("event_id", "svb", F.round("_f", 9).alias("f"), F.round("_c", 9).alias("c"), F.round(F.col("_f") - F.col("_c"), 9).alias("x")), "pair")
+
+
+@query("d10_model_weight_plane", sql("sr_pair", f"""SELECT {B('x')} AS x_bin, {B('y')} AS y_bin, {B('count(*)')} AS entries FROM
+    (SELECT CASE WHEN f = f1 THEN 30 ELSE floor((f - f0) * 30 / (f1 - f0)) + 1 END AS x, CASE WHEN c = c1 THEN 30 ELSE floor((c - c0) * 30 / (c1 - c0)) + 1 END AS y
+     FROM (SELECT f, c, min(f) OVER () AS f0, max(f) OVER () AS f1, min(c) OVER () AS c0, max(c) OVER () AS c1 FROM sr_pair) a) b GROUP BY 1, 2"""))
+def model_weight_plane(spark, d):
+    """30 x 30 bins over the observed ranges of classifier and combined weights, upper edges included."""
+    e = _sr_pair(spark, d)
+    ends = e.agg(*[g(c).alias(f"{n}_{c}") for c in ("f", "c") for n, g in (("lo", F.min), ("hi", F.max))])
+
+    def index(c):
+        lo, hi = N.scalar(ends, f"lo_{c}"), N.scalar(ends, f"hi_{c}")
+        return F.when(F.col(c) == hi, 30).otherwise(F.floor((F.col(c) - lo) * 30 / (hi - lo)) + 1)
+
+    return e.select(big(index("f")).alias("x_bin"), big(index("c")).alias("y_bin")).groupBy("x_bin", "y_bin").agg(big(F.count(F.lit(1))).alias("entries"))
+
+
+@query("e07_weight_differences", sql("sr_pair", f"""SELECT {B('q')} AS bucket, {B('count(*)')} AS n, {R('quantile_cont(x, 0.25)', 6)} AS lower,
+    {R('quantile_cont(x, 0.5)', 6)} AS median, {R('quantile_cont(x, 0.75)', 6)} AS upper FROM (SELECT ntile(4) OVER (ORDER BY svb, event_id) AS q, x FROM sr_pair) t GROUP BY q"""))
+def weight_differences(spark, d):
+    """Classifier minus combined weight in the quartiles of the signal score."""
+    b = materialize(SP.quantile_buckets(_sr_pair(spark, d).select("event_id", "svb", "x"), "svb", 4), "buckets")
+    q = SP.exact_quantiles(b, "x", "event_id", ["bucket"], [0.25, 0.5, 0.75])
+    wide = q.groupBy("bucket").agg(*[
+        r(F.max(F.when(F.col("probability") == p, F.col("quantile")))).alias(n) for n, p in (("lower", 0.25), ("median", 0.5), ("upper", 0.75))
+    ])
+    return wide.join(b.groupBy("bucket").agg(big(F.count(F.lit(1))).alias("n")), "bucket")
+
+
 # ---- Spark ML: no SQL twin ----
 
 

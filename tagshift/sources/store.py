@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,8 @@ _local_roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder for written intermediates: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may go without the setting; it then gets one scratch folder of its own.
+    Only a local session may go without the setting; it then gets one scratch folder of its own,
+    which goes when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
@@ -23,6 +26,7 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="tagshift-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
