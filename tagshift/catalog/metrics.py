@@ -163,9 +163,21 @@ def auc_document_quality(spark, d):
     return X.auc(joined, "n_chars", "quality", None).select(r("auc", 10).alias("auc"))
 
 
-@query("j03_auc_bootstrap")
+_COUNT = " + ".join(f"CASE WHEN u >= {q!r} THEN 1 ELSE 0 END" for q in X.POISSON)
+
+
+@query("j03_auc_bootstrap", sql("labelled", f"""SELECT {R('quantile_cont(auc, 0.025)', 6)} AS lower, {R('quantile_cont(auc, 0.975)', 6)} AS upper, {B('count(auc)')} AS replicates FROM
+    (SELECT k, sum(p * (below + 0.5 * n)) / (sum(n) * sum(p)) AS auc FROM
+      (SELECT k, n, p, coalesce(sum(n) OVER (PARTITION BY k ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+        (SELECT k, h, sum(CASE WHEN y = 0 THEN c * signed_weight ELSE 0 END) AS n, sum(CASE WHEN y = 1 THEN c * signed_weight ELSE 0 END) AS p FROM
+          (SELECT k, h, y, signed_weight, {_COUNT} AS c FROM
+            (SELECT k, h, y, signed_weight, (b * b % 2147483647 + a * 40692) % 2147483647 / 2147483647 AS u FROM
+              (SELECT *, (a * a % 2147483647 * 69621 + i + k) % 2147483647 AS b FROM
+                (SELECT *, (i * 48271 + k * 16807 + 12345) % 2147483647 AS a FROM
+                  (SELECT h, y, signed_weight, CAST(event_id AS BIGINT) % 2147483647 AS i, CAST(k AS BIGINT) AS k FROM labelled, range(1, 1001) ks(k)) v) w) x) z) t GROUP BY k, h) g) q GROUP BY k) s"""))
 def auc_bootstrap(spark, d):
-    return X.bootstrap_auc(labelled(spark, d), "h", "y", "signed_weight", replicates=1000)
+    out = X.bootstrap_auc(labelled(spark, d), "h", "y", "signed_weight", replicates=1000)
+    return out.select(r("lower").alias("lower"), r("upper").alias("upper"), big("replicates").alias("replicates"))
 
 
 _PLACED = """SELECT *, nx * 1.0 AS fx, ny * 1.0 AS fy, ny - c1 + 0.5 * n1 AS vx, c0 - n0 + 0.5 * n0 AS vy FROM (SELECT h, n0, n1, sum(n0) OVER () AS nx, sum(n1) OVER () AS ny,

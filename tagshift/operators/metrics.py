@@ -7,9 +7,14 @@ Labels are 0 and 1; label 1 is the positive (4b or signal) class.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagshift.functions.scores import odds
@@ -61,35 +66,89 @@ def roc_curve(df: DataFrame, score: str, label: str, weight: str | None = "weigh
     )
 
 
-def poisson_count(uniform: Column) -> Column:
-    """Poisson(1) count of a uniform number in [0, 1)."""
-    steps, mass, total = [], math.exp(-1.0), 0.0
-    for k in range(16):
-        total += mass
-        steps.append((uniform >= F.lit(total)).cast("int"))
-        mass /= k + 1
-    return sum(steps[1:], steps[0])
+_PRIME = 2147483647
+#: P(count <= k) of a Poisson(1) count
+POISSON = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def resample_hash(ids: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """ids x replicates: repeatable uniform whole numbers below 2 ** 31 - 1, from plain integer arithmetic."""
+    i, k = (ids % _PRIME)[:, None], replicates[None, :]
+    a = (i * 48271 + k * 16807 + 12345) % _PRIME
+    b = (a * a % _PRIME * 69621 + i + k) % _PRIME
+    return (b * b % _PRIME + a * 40692) % _PRIME
+
+
+def _resampled(replicates: int):
+    """Per range of scores and replicate: class sums, the pair sum inside, and the sums at its first and last score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(1, replicates + 1, dtype=np.int64)
+        zero = lambda: np.zeros(replicates)
+        n_sum, p_sum, pairs, tie_n, tie_p = zero(), zero(), zero(), zero(), zero()
+        first: tuple | None = None
+        score = None
+
+        def close():
+            nonlocal n_sum, p_sum, pairs, first
+            pairs += tie_p * (n_sum + 0.5 * tie_n)
+            n_sum, p_sum = n_sum + tie_n, p_sum + tie_p
+            first = first or (score, tie_n, tie_p)
+
+        for batch in batches:
+            values, labels, weights, ids = (batch.column(i).to_numpy() for i in range(4))
+            for lo in range(0, len(values), 512):
+                x, y, w, k = (c[lo : lo + 512] for c in (values, labels, weights, ids))
+                # Poisson(1) counts of every row in every replicate
+                counts = np.searchsorted(POISSON, resample_hash(k, numbers) / _PRIME, "right")
+                mass = counts * w[:, None]
+                starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                neg = np.add.reduceat(np.where((y == 0)[:, None], mass, 0.0), starts, axis=0)
+                pos = np.add.reduceat(np.where((y == 1)[:, None], mass, 0.0), starts, axis=0)
+                for j, at in enumerate(starts):
+                    if score is None or x[at] != score:
+                        if score is not None:
+                            close()
+                        score, tie_n, tie_p = x[at], zero(), zero()
+                    tie_n, tie_p = tie_n + neg[j], tie_p + pos[j]
+        if score is None:
+            return
+        close()
+        part = TaskContext.get().partitionId()
+        ends = [first] if first[0] == score else [first, (score, tie_n, tie_p)]
+        for at, n, p in ends:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(replicates, part)), pa.array(numbers), pa.array(np.full(replicates, float(at))), pa.array(n), pa.array(p), pa.nulls(replicates, pa.float64())],
+                ["part", "replicate", "at", "n", "p", "pairs"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(replicates, part)), pa.array(numbers), pa.nulls(replicates, pa.float64()), pa.array(n_sum), pa.array(p_sum), pa.array(pairs)],
+            ["part", "replicate", "at", "n", "p", "pairs"])
+
+    return run
 
 
 def bootstrap_auc(
-    df: DataFrame, score: str, label: str, weight: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 0,
-    id_col: str = "event_id",
+    df: DataFrame, score: str, label: str, weight: str, replicates: int = 1000, alpha: float = 0.05, id_col: str = "event_id",
 ) -> DataFrame:
     """Percentile interval of the AUC over resampled tables: (lower, upper, replicates).
 
     Resampling n of n rows is done by independent Poisson(1) counts per row and replicate, which
     needs no row to know about another; counts come from a hash of the row id, so a lost task
-    redraws the same sample.
+    redraws the same sample. Rows are ordered once, by score and id, so a score that many rows share
+    spreads over ranges; each range adds up all replicates and returns three rows for each at most.
+    Pairs of equal score in different ranges are set to one half when the ranges are combined.
     """
-    bits = 1 << 40
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col("replicate"), F.lit(seed)), F.lit(bits)) / F.lit(float(bits))
-    drawn = (
-        df.select(id_col, score, label, weight, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .withColumn("_n", poisson_count(draw))
-        .where(F.col("_n") > 0)
-        .withColumn("_w", F.col(weight) * F.col("_n"))
-    )
-    each = auc(drawn, score, label, "_w", keys=["replicate"])
+    rows = df.select(F.col(score).cast("double").alias("x"), F.col(label).cast("int").alias("y"), F.col(weight).cast("double").alias("w"), F.col(id_col).cast("long").alias("i"))
+    rows = rows.repartitionByRange("x", "i").sortWithinPartitions("x", "i")
+    sums = materialize(rows.mapInArrow(_resampled(replicates), "part long, replicate long, at double, n double, p double, pairs double"), "replicates")
+    # a row for each range and replicate: windows hold no more rows than there are ranges
+    earlier = W.partitionBy("replicate").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    tied = W.partitionBy("replicate", "at").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    whole = sums.where("at IS NULL").select(
+        "replicate", "n", "p", (F.col("pairs") + F.col("p") * F.coalesce(F.sum("n").over(earlier), F.lit(0.0))).alias("pairs"))
+    ties = sums.where("at IS NOT NULL").select("replicate", F.lit(0.0).alias("n"), F.lit(0.0).alias("p"), (
+        0.5 * F.col("n") * F.coalesce(F.sum("p").over(tied), F.lit(0.0)) - 0.5 * F.col("p") * F.coalesce(F.sum("n").over(tied), F.lit(0.0))).alias("pairs"))
+    each = whole.unionByName(ties).groupBy("replicate").agg(F.try_divide(F.sum("pairs"), F.sum("n") * F.sum("p")).alias("auc"))
     return each.agg(
         F.percentile("auc", F.lit(alpha / 2)).alias("lower"),
         F.percentile("auc", F.lit(1 - alpha / 2)).alias("upper"),
