@@ -182,7 +182,7 @@ def metric_history(spark, d):
 
 @query("a14_block_store", sql("events4", f"""SELECT {B('block')} AS block, {B('count(*)')} AS n_tgt, {R('1', 6)} AS mass FROM
     (SELECT event_id, (row_number() OVER (ORDER BY sT, event_id) - 1) AS k, count(*) OVER () AS n FROM events4 WHERE tag = '3b' AND region = 'SR') t,
-    LATERAL (SELECT k % (n // 200) AS block) b WHERE k < (n // 200) * 200 GROUP BY block"""))
+    LATERAL (SELECT k % greatest(1, n // 200) AS block) b GROUP BY block"""))
 def block_store(spark, d):
     path = new_path(spark, "blocks")
     e = fx.events(spark, d).where("tag = '3b'").select("event_id", "region", "sT", "weight")

@@ -19,6 +19,7 @@ from tagshift.operators.norms import transfer_norms
 from tagshift.plans import models as M
 from tagshift.plans import report as RP
 from tagshift.sources import fixtures as fx
+from tagshift.sources.logs import read_history
 from tagshift.sources.store import materialize, shared_root
 from tagshift.sources.tables import optional_columns
 
@@ -175,3 +176,14 @@ def test_intermediates_go_to_the_shared_folder(spark):
     root = shared_root(spark)
     assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert materialize(spark.range(3), "probe").inputFiles()[0].removeprefix("file://").startswith(root)
+
+
+def test_log_restart_begins_a_new_record(spark, tmp_path):
+    stale = [">> 0/9 << Validation | 9.0 | 9.0 | 9.0 |", "   Training | 8.0 | 8.0 | 8.0 |"]
+    live = [f"{x}" for e in range(3) for x in (f">> {e}/9 << Validation | {e}.5 | 1.0 | 0.5 | a | ^ 3.0%", f"   Training | {e}.25 | 1.0 | 0.5 |")]
+    (tmp_path / "one.log").write_text("\n".join([*stale, ">> Epoch << Data", *stale, ">> Epoch << Data", *live, "some other line"]))
+    (tmp_path / "two.log").write_text("\n".join(live[:3]))
+    got = sorted((r["file"][-7:], r["epoch"], r["split"], r["loss"]) for r in read_history(spark, str(tmp_path)).collect())
+    assert got == sorted(
+        [("one.log", e, k, e + x) for e in range(3) for k, x in (("validation", 0.5), ("training", 0.25))]
+        + [("two.log", 0, "validation", 0.5), ("two.log", 0, "training", 0.25), ("two.log", 1, "validation", 1.5)])
