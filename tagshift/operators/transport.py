@@ -68,11 +68,10 @@ def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame
     """
 
     def cumulative(df: DataFrame, kind: int) -> DataFrame:
-        return materialize(ordered_scan(_mass(df).select("x", "id", "m"), ["x", "id"], running={"before": "m"}), "mass").withColumn("kind", F.lit(kind))
+        return ordered_scan(_mass(df).select("x", "id", "m"), ["x", "id"], running={"before": "m"}).withColumn("kind", F.lit(kind))
 
-    src_mass, tgt_mass = cumulative(sources, 0), cumulative(targets, 1)
-    totals = src_mass.agg(F.sum("m").alias("all_src")).join(tgt_mass.agg(F.sum("m").alias("all_tgt")))  # one row
-    points = src_mass.unionByName(tgt_mass).join(F.broadcast(totals)).select(
+    totals = _mass(sources).agg(F.sum("m").alias("all_src")).join(_mass(targets).agg(F.sum("m").alias("all_tgt")))  # one row
+    points = cumulative(sources, 0).unionByName(cumulative(targets, 1)).join(F.broadcast(totals)).select(
         "kind", "id", "rank", (1 - F.col("kind")).cast("long").alias("is_source"),
         (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
         ((F.col("before") + F.col("m")).cast("decimal(19,0)") * F.when(F.col("kind") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
