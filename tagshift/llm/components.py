@@ -23,7 +23,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = hung.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
     else:
         moved = hung.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
-    return moved.where("u != v").distinct()
+    moved = moved.where("u != v")
+    return moved if large else moved.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,18 +3,22 @@
 Rows are documents with different n-gram sets (equal sets are one row), columns are n-grams, the
 rare ones first. Two sets of sizes a and b that reach the similarity share at least
 o = ceil(t (a + b) / (1 + t)) n-grams, so each must hold a shared one among its first a - ceil(t a) + 1
-columns. Only that first block of columns is multiplied; its products name the candidate pairs.
+columns, and the smaller one among its first a - ceil(2 t a / (1 + t)) + 1. Only that first block of
+columns is multiplied; its products name the candidate pairs. A column is an n-gram of one class of
+sizes; a row stands in the columns of its own class and, as the smaller one, in those of the next.
 
-The rest of the product is bounded before it is computed. Every row carries its size and, for each
-of ``BLOCKS`` blocks of columns, a check sum. Blocks whose sums differ hold at least one n-gram that
-is not shared, so a pair with more of them than a + b - 2 o is discarded; so is one of sizes too far
-apart. For the pairs that stay the overlap is counted in full.
+The rest of the product is bounded before it is computed. The hash space is cut into blocks of
+columns, and a row carries a check sum for each. Blocks whose sums differ hold at least one n-gram
+that is not shared, so a pair with more of them than a + b - 2 o is discarded; so is one of sizes too
+far apart. ``MINI`` coarse blocks come first, then about one for each two n-grams of the row. For the
+pairs that stay the overlap is counted in full, on both texts.
 
 Links are only needed between rows that are not connected yet. First each entry of a column meets
-the next ``NEAR`` in an order of its own for each column; the links found give components. Then,
-in columns that still hold several components, tiles of ``TILE`` x ``TILE`` rows are multiplied and
-pairs inside a component are left out. A family of copies with small changes is thus joined by a
-few products for each row instead of all pairs, and no link between different components is lost.
+the next ``NEAR`` in an order of its own for each column; what the bounds leave connects families.
+Columns that still hold several families are multiplied in tiles of ``TILE`` x ``TILE`` rows without
+the pairs inside a family. All these pairs are counted; a family that falls apart is multiplied again.
+A family of copies with small changes is thus joined by a few products for each row instead of all
+pairs, and no link between different components is lost.
 
 No column is gathered: entries are numbered by a range-sorted scan and meet by (column, number);
 tiles are bounded. Sets of exact copies meet only once.
@@ -23,11 +27,12 @@ Defined cases: a null text has no words; a document without words has an empty s
 with nothing, also not with another empty one. With fewer words than ``size`` the whole sequence is
 one n-gram. Rows with equal sets are linked, whatever their ids; rows with the same id are separate
 documents. A null id is no component id unless the component has no other. N-grams and sets are
-compared by 64-bit hashes. Columns of the input are carried along by the pipeline, not by the result.
+compared by 64-bit hashes. Other columns of the input are not returned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +47,9 @@ from tagshift.operators.ordered import ordered_scan
 from tagshift.sources.store import materialize
 
 SIZE, PERCENT = 3, 90
-BLOCKS, NEAR, TILE = 256, 4, 512
+MINI, NEAR, TILE = 64, 6, 512
 #: columns that are ranked by their count; all others count as rare. Any order gives the same links.
-COMMON = 50_000
+COMMON = 200_000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
@@ -82,9 +87,15 @@ def _set_id(grams: np.ndarray) -> int:
     return int(mixed(h[:1] * _FACTORS[3] + h[1:2] * _FACTORS[4] + h[2:])[0].astype(np.int64))
 
 
-def _check_sums(grams: np.ndarray) -> bytes:
-    sums = np.bincount((grams >> np.uint64(56)).astype(np.int64), ((grams >> np.uint64(20)) & np.uint64(255)).astype(np.float64), BLOCKS)
-    return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
+def _check_sums(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Check sums, modulo 256, of 2 ** bits blocks of the hash space."""
+    sums = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), ((grams >> np.uint64(8)) & np.uint64(255)).astype(np.float64), 1 << bits)
+    return (sums.astype(np.int64) & 255).astype(np.uint8)
+
+
+def _folded(sums: np.ndarray, size: int) -> np.ndarray:
+    """The sums of ``size`` coarser blocks."""
+    return sums.reshape(size, -1).sum(1, dtype=np.uint64).astype(np.uint8)
 
 
 def _required(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -103,29 +114,39 @@ def _sets_of(rows: DataFrame, size: int, columns: str, make) -> DataFrame:
 
 
 def _light(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    found = [(_set_id(s), len(s)) for s in sets]
-    columns = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "set_id", "n"])
-
-
-def _members(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    held = list(sets)
-    columns = [pa.array([len(s) for s in held], pa.int64()), pa.array([_check_sums(s) for s in held], pa.binary()), pa.array([s.tobytes() for s in held], pa.binary())]
-    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["set_id", "n", "sums", "grams"])
+    ids, sizes, mini, sums = [], [], [], []
+    for s in sets:
+        own = _check_sums(s, max(6, (len(s) // 2).bit_length()))
+        ids.append(_set_id(s))
+        sizes.append(len(s))
+        mini.append(_folded(own, MINI).tobytes())
+        sums.append(own.tobytes())
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mini, pa.binary()), pa.array(sums, pa.binary())],
+                                     ["doc_id", "mark", "set_id", "n", "mini", "sums"])
 
 
 def _common(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """N-grams of at least one in a hundred of the batch's texts, and at least eight."""
+    """N-grams of at least three of the batch's texts, and one in a thousand."""
     held = list(sets)
     grams, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-    often = count >= max(8, len(held) // 100)
+    often = count >= max(3, len(held) // 1000)
     yield pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(count[often])], ["gram", "n"])
 
 
+def _size_class(n: int, percent: int) -> int:
+    """Sizes near enough for the similarity are of one class or of two that follow each other."""
+    return int(math.log(n) / math.log(100.01 / percent))
+
+
+def _column(grams: np.ndarray, kind: int) -> np.ndarray:
+    """One column for each n-gram and size class."""
+    return mixed(grams ^ (np.array([kind + 1], np.uint64) * _FACTORS[5]))
+
+
 def _first_block(percent: int, shared):
     def make(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         grams, counts = shared.value
-        cols, rows = [], []
+        cols, rows, sizes = [], [], []
         for s in sets:
             if not len(s):
                 continue
@@ -133,31 +154,34 @@ def _first_block(percent: int, shared):
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
                 n_of = np.where(grams[at] == s, counts[at], 0)
-            first = np.lexsort((s, n_of))[: len(s) - -(-percent * len(s) // 100) + 1]
-            cols.append(s[first])
-            rows.append(np.full(len(first), _set_id(s), np.int64))
+            order = np.lexsort((s, n_of))
+            # among sets of its own size class, and as the smaller one among those of the next
+            own = s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
+            below = s[order[: len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1]]
+            kind = _size_class(len(s), percent)
+            cols += [_column(own, kind), _column(below, kind + 1)]
+            rows.append(np.full(len(own) + len(below), _set_id(s), np.int64))
+            sizes.append(np.full(len(own) + len(below), len(s), np.int64))
         if cols:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).astype(np.int64)), pa.array(np.concatenate(rows))], ["gram", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).astype(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes))], ["gram", "set_id", "n"])
 
     return make
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BLOCKS)
-
-
 def _bounded(percent: int):
-    """Pairs (a, b, n_a, n_b, sums_a, sums_b) that the bounds leave."""
+    """Pairs (a, b, n_a, n_b, sums_a, sums_b) that the bounds leave, with ``apart``, the blocks that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             a, b = (batch.column(i).to_numpy() for i in (2, 3))
             need = _required(a, b, percent)
-            apart = (_bytes(batch.column(4)) != _bytes(batch.column(5))).sum(1)
-            keep = (need <= np.minimum(a, b)) & (apart <= a + b - 2 * need)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            apart = np.zeros(len(a), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
+                size = min(len(x), len(y))
+                apart[i] = np.count_nonzero(_folded(x, size) != _folded(y, size))
+            keep = pa.array((need <= np.minimum(a, b)) & (apart <= a + b - 2 * need))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(apart).filter(keep)], ["a", "b", "apart"])
 
     return run
 
@@ -168,7 +192,7 @@ def _tile(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block, ids, n, label = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "label"))
-        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.uint8).reshape(len(ids), BLOCKS)
+        sums = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(len(ids), MINI)
         low = block == block.min()
         left, right = np.flatnonzero(low), np.flatnonzero(~low) if (~low).any() else np.flatnonzero(low)
         one = not (~low).any()
@@ -189,30 +213,54 @@ def _tile(percent: int):
     return run
 
 
-def _counted(percent: int):
-    """Pairs whose full overlap, counted on both sets, reaches the similarity."""
+def _counted(size: int, percent: int):
+    """Pairs whose full overlap, counted on both texts, reaches the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            for i in range(0, batch.num_rows, 64):
+                sides = [ngram_sets(batch.column(c).slice(i, 64).to_pylist(), size) for c in (2, 3)]
+                for a, b in zip(*sides):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    a = members.select(F.col("set_id").alias("a"), F.col("grams").alias("grams_a"))
-    b = members.select(F.col("set_id").alias("b"), F.col("grams").alias("grams_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b")
-    return materialize(both.mapInArrow(_counted(percent), "a long, b long"), "links")
+def _with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Columns of both sets of each pair."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
+
+def _left(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Different pairs that the coarse and then the fine bounds leave."""
+    coarse = _with(pairs, sets, "n", "mini").mapInArrow(_bounded(percent), "a long, b long, apart long").select("a", "b")
+    return materialize(_with(coarse, sets, "n", "sums").mapInArrow(_bounded(percent), "a long, b long, apart long"), "pairs")
 
 
-def links(rows: DataFrame, light: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between set ids that connect exactly the sets of the given similarity."""
+def _tiled(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the columns that the first step did not cover."""
+    wide = entries.where(F.col("n_in") > NEAR + 1).join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    wide = materialize(wide, "wide")
+    several = wide.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
+    block = F.floor(F.col("rank") / TILE).cast("int")
+    last = F.floor((F.col("n_in") - 1) / TILE).cast("int")
+    tiled = wide.join(several, "gram").join(sets.select("set_id", "mini"), "set_id").select(
+        "gram", "set_id", "n", "mini", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    tiled = tiled.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return tiled.groupBy("gram", "low", "high").applyInArrow(_tile(percent), "a long, b long").distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return materialize(components(links).withColumnRenamed("node", "set_id"), "labels")
+
+
+def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set_id, label) of every linked set; links are exactly the pairs of the given similarity."""
     spark = rows.sparkSession
     common = _sets_of(rows, size, "gram long, n long", _common).groupBy("gram").agg(F.sum("n").alias("n"))
     top = common.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()  # a ranked report of fixed length
@@ -221,40 +269,48 @@ def links(rows: DataFrame, light: DataFrame, size: int, percent: int) -> DataFra
     shared = spark.sparkContext.broadcast((grams[order], counts[order]))
 
     # the first block of columns, without columns of one row
-    entries = materialize(_sets_of(rows, size, "gram long, set_id long", _first_block(percent, shared)), "entries")
-    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    entries = materialize(_sets_of(rows, size, "gram long, set_id long, n long", _first_block(percent, shared)), "entries")
+    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1").select("gram")
     entries = materialize(entries.join(often, "gram").distinct(), "entries")
-    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1")
+    # written, so that the join deals both sides anew and Spark can split a hot column
+    often = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1"), "columns")
     entries = entries.join(often, "gram").withColumn("turn", F.xxhash64("gram", "set_id"))
-    entries = materialize(ordered_scan(entries, ["turn", "set_id"], by=["gram"]).select("gram", "set_id", "rank", "n_in"), "entries")
-
-    # the sets that share such a column with another, each from one of its documents
-    wanted = light.where("n > 0").join(entries.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("of")).select("set_id", "of.*")
-    held = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["mark"] == wanted["mark"])).select("set_id", "text").dropDuplicates(["set_id"])
-    members = materialize(_sets_of(held, size, "set_id long, n long, sums binary, grams binary", _members), "members")
-
-    # each entry and the next few of its column
-    ahead = entries.select("gram", F.col("set_id").alias("x"), F.explode(F.array(*[F.col("rank") + k for k in range(1, NEAR + 1)])).alias("rank"))
-    near = ahead.join(entries.select("gram", "rank", F.col("set_id").alias("y")), ["gram", "rank"]).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    one = members.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sums").alias("sums_a"))
-    two = members.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sums").alias("sums_b"))
-    near = near.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sums_a", "sums_b").mapInArrow(_bounded(percent), "a long, b long")
-    found = _verified(materialize(near, "near"), members, percent)
-
-    # what is left between components, in columns that the first step did not cover
-    labels = components(found).withColumnRenamed("node", "set_id")
-    wide = entries.where(F.col("n_in") > NEAR + 1).join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    wide = materialize(wide, "wide")
-    mixed_columns = wide.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
-    block = F.floor(F.col("rank") / TILE).cast("int")
-    last = F.floor((F.col("n_in") - 1) / TILE).cast("int")
-    tiled = wide.join(mixed_columns, "gram").join(members.select("set_id", "n", "sums"), "set_id").select(
-        "gram", "set_id", "n", "sums", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    tiled = tiled.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    more = tiled.groupBy("gram", "low", "high").applyInArrow(_tile(percent), "a long, b long").distinct()
-    rest = _verified(materialize(more, "more"), members, percent)
-    return found.unionByName(rest)
+    entries = materialize(ordered_scan(entries, ["turn", "set_id"], by=["gram"]).select("gram", "set_id", "n", "rank", "n_in"), "entries")
+    sets = light.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark", "n", "mini", "sums")).alias("of"))
+    sets = materialize(sets.join(entries.select("set_id").distinct(), "set_id").select("set_id", "of.*"), "sets")
+
+    # each entry and the next few of its column, if their sizes allow
+    ahead = entries.select("gram", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.explode(F.array(*[F.col("rank") + k for k in range(1, NEAR + 1)])).alias("rank"))
+    near = ahead.join(entries.select("gram", "rank", F.col("set_id").alias("y"), F.col("n").alias("n_y")), ["gram", "rank"]).where(
+        100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = _left(near, sets, percent)
+    presumed = _labels(near)
+    across = _left(_tiled(entries, presumed, sets, percent), sets, percent)
+    pairs = materialize(near.unionByName(across), "pairs")
+
+    # one text for each set that is in a pair; what later steps count is between these
+    wanted = sets.select("set_id", "doc_id", "mark").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id")
+    wanted = materialize(wanted.withColumnsRenamed({"doc_id": "of_id", "mark": "of_mark"}), "wanted")
+    held = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["of_id"]) & (rows["mark"] == wanted["of_mark"])).select("set_id", "text").dropDuplicates(["set_id"])
+    texts = materialize(held, "texts")
+
+    def counted(of: DataFrame) -> DataFrame:
+        return materialize(_with(of, texts, "text").mapInArrow(_counted(size, percent), "a long, b long"), "links")
+
+    found = counted(pairs.select("a", "b"))
+    labels = _labels(found)
+    # sets that were presumed connected and are not: their other pairs were left out before
+    apart = presumed.withColumnRenamed("label", "was").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    split = apart.groupBy("was").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("was")
+    again = materialize(apart.join(split, "was").select("set_id", "was", "label"), "split")
+    if again.isEmpty():
+        return labels
+    within = _tiled(entries.join(again.select("set_id"), "set_id"), again.select("set_id", "label"), sets, percent)
+    family = again.select("set_id", F.col("was").alias("label"))
+    within = within.join(family.select(F.col("set_id").alias("a"), F.col("label").alias("fa")), "a").join(
+        family.select(F.col("set_id").alias("b"), F.col("label").alias("fb")), "b").where("fa = fb").select("a", "b")
+    rest = _left(within, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    return _labels(found.unionByName(counted(rest.select("a", "b"))))
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -263,9 +319,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     ``mark`` is a hash of the text; ``stays`` holds for the first document, by id and mark, of each component.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
-    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long", _light), "light")
-    labels = components(links(rows, light, size, percent)).withColumnRenamed("node", "set_id")
-    placed = light.where("n > 0").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long, mini binary, sums binary", _light), "light")
+    labels = connected(rows, light, size, percent)
+    placed = light.where("n > 0").select("doc_id", "mark", "set_id", "n").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     of = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "mark")).alias("first"))
     linked = placed.join(of, "label").select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", (F.struct("doc_id", "mark") == F.col("first")).alias("stays"))
     alone = light.where("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
