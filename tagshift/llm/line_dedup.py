@@ -102,7 +102,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "line", (F.col("line") + F.col("length") - size).cast("int")).join(_at(ranks, "second"), place)
         both = both.select("doc_id", "mark", F.col("start").alias("line"), "length", "first", "second")
         key, copy = ["length", "first", "second"], F.struct("doc_id", "mark", "line")
-        firsts = both.groupBy(*key).agg(F.min(copy).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        both = materialize(both, "windows")
+        # written, so that the join deals both sides anew and Spark can split a hot interval
+        firsts = materialize(both.groupBy(*key).agg(F.min(copy).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
         found.append(materialize(both.join(firsts, key).where(copy != F.col("earliest")).select(*place, "length"), "copies"))
         size *= 2
         if size > min_words:
