@@ -6,7 +6,8 @@ Every non-blank line is judged by itself:
   at least four words of it are shouted (three quarters or more of the letters are capitals);
 * navigation: three or more separators (``|``, ``>``, ``»``, ``·``) between short labels, that is at
   most three words for each separator;
-* boilerplate: it holds one of the stock phrases of page frames.
+* boilerplate: it holds one of the stock phrases of page frames as whole words, and is at most
+  ``STOCK_WORDS`` words long or at least half of its visible characters are in such phrases.
 
 Lines that fail are removed. A document is rejected if it fails the base rules (fewer than
 ``min_words`` words, or too many words inside repeated five-word windows) or if the removed lines
@@ -32,7 +33,9 @@ BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|terms of (use|service)|accept (all )?cookies|cookie policy|"
     r"enable javascript|click here|sign up (now|for)|subscribe to|share (this|on)|skip to content|lorem ipsum|read more$)"
 )
-MIN_WORDS, MAX_REPEATED_PCT, MAX_MARKS, MAX_LOST = 10, 20, 0.25, 0.5
+#: the phrases as whole words; asked only of lines that hold one anyhow
+STOCK = r"(?i)(?<![\p{L}\p{M}\p{N}_])" + BOILERPLATE.removeprefix("(?i)") + r"(?![\p{L}\p{M}\p{N}_])"
+MIN_WORDS, MAX_REPEATED_PCT, MAX_MARKS, MAX_LOST, STOCK_WORDS = 10, 20, 0.25, 0.5, 10
 
 
 def _count(line: Column, pattern: str) -> Column:
@@ -48,7 +51,7 @@ def _line_counts(line: Column) -> Column:
     return let(F.regexp_replace(line, WORD_BREAK, ""), lambda x: F.struct(
         F.length(x).alias("visible"), F.length(F.regexp_replace(x, r"[\p{L}\p{N}]+", "")).alias("marks"),
         _count(x, r"\p{Lu}+").alias("capitals"), _count(x, r"\p{N}+").alias("digits"),
-        _count(x, "[|>»·]+").alias("separators"), line.rlike(BOILERPLATE).alias("stock"),
+        _count(x, "[|>»·]+").alias("separators"), (line.rlike(BOILERPLATE) & line.rlike(STOCK)).alias("stock"),
     ))
 
 
@@ -60,9 +63,11 @@ def lost_words(line: Column, max_marks: float = MAX_MARKS) -> Column:
         marked = s["marks"] > max_marks * s["visible"]
         shouted = (s["capitals"] >= 0.75 * letters) & (letters > 0)
         listed = s["separators"] >= 3
+        rest = F.length(F.regexp_replace(F.regexp_replace(line, STOCK, ""), WORD_BREAK, ""))
+        framed = lambda n: s["stock"] & ((n <= STOCK_WORDS) | (2 * rest <= s["visible"]))
         # words are counted for suspects only
         return F.when((s["visible"] > 0) & (marked | shouted | listed | s["stock"]), let(_line_words(line), lambda n: F.when(
-            marked | s["stock"] | (shouted & (n >= 4)) | (listed & (n <= 4 * s["separators"])), n).otherwise(0))).otherwise(0)
+            marked | framed(n) | (shouted & (n >= 4)) | (listed & (n <= 4 * s["separators"])), n).otherwise(0))).otherwise(0)
 
     return let(_line_counts(line), judged)
 

@@ -55,6 +55,19 @@ def test_bad_lines_go_first(spark):
     assert not got[2].kept
 
 
+def test_stock_phrases_are_whole_words_of_short_lines(spark):
+    prose = " ".join([*WORDS[:25], "aoneshare onealy", *WORDS[25:50]])
+    spoken = "She had to click here and there for an hour before the old machine would print the whole page."
+    footer = "Example 2024. All rights reserved. Privacy policy. Terms of use. Cookie policy. Sign up now."
+    stock = ["Share this", "Please CLICK HERE to go on.", "read more", footer]
+    stays = [prose, "eaes oftheshare onstor so they say.", spoken]
+    rows = [(1, prose), (2, "\n".join([*stays, *stock])), (3, "\n".join(stock))]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].clean_text == prose and got[1].n_lost_words == 0
+    assert got[2].kept and got[2].clean_text == "\n".join(stays) and got[2].n_bad_lines == len(stock)
+    assert not got[3].kept and got[3].clean_text == ""
+
+
 def test_url_filter(spark):
     rows = [(1, None, "x"), (2, "no scheme.org/es/", "x"), (3, "http://Example.ORG/es/a?b#c", "x"), (4, "http://a.b.example.org/en/12", "x"), (5, "http://org", "x"),
             (6, "http://notexample.org/es/", "x"), (6, "http://notexample.org/es/", "x"), (7, "https://q.net/fr/", "x"), (8, "http:///fr/", "x"), (9, "http://x.com/de/", "x")]
