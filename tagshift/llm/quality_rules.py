@@ -2,7 +2,8 @@
 
 Every non-blank line is judged by itself:
 
-* punctuation: more than ``max_marks`` of its visible characters are neither letters nor digits, or
+* punctuation: more than ``max_marks`` of its visible characters are neither letters nor digits
+  (vowel signs, tone marks and accents of their own count with the letter they are set on), or
   at least four words of it are shouted (three quarters or more of the letters are capitals);
 * navigation: three or more separators (``|``, ``>``, ``»``, ``·``) between short labels, that is at
   most three words for each separator;
@@ -49,8 +50,8 @@ def _line_words(line: Column) -> Column:
 def _line_counts(line: Column) -> Column:
     """(visible, marks, capitals, digits, separators, stock): counts of the line's visible characters."""
     return let(F.regexp_replace(line, WORD_BREAK, ""), lambda x: F.struct(
-        F.length(x).alias("visible"), F.length(F.regexp_replace(x, r"[\p{L}\p{N}]+", "")).alias("marks"),
-        _count(x, r"\p{Lu}+").alias("capitals"), _count(x, r"\p{N}+").alias("digits"),
+        F.length(x).alias("visible"), F.length(F.regexp_replace(x, r"[\p{L}\p{M}\p{N}]+", "")).alias("marks"),
+        _count(x, r"\p{Lu}[\p{Lu}\p{M}]*").alias("capitals"), _count(x, r"\p{N}+").alias("digits"),
         _count(x, "[|>»·]+").alias("separators"), (line.rlike(BOILERPLATE) & line.rlike(STOCK)).alias("stock"),
     ))
 

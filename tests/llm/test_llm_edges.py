@@ -68,6 +68,15 @@ def test_stock_phrases_are_whole_words_of_short_lines(spark):
     assert not got[3].kept and got[3].clean_text == ""
 
 
+def test_vowel_signs_are_no_punctuation(spark):
+    hindi = "यह किताब हिन्दी में लिखी गई है और इसकी भाषा बहुत सरल तथा सुन्दर मानी जाती है।"
+    shout = "ÉTÉ À PARIS ÇA VA".replace("É", "E\u0301").replace("À", "A\u0300")
+    rows = [(1, hindi), (2, hindi + "\n" + shout + "\n!!! ??? \u0301 ***")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].n_lost_words == 0
+    assert got[2].kept and got[2].clean_text == hindi and got[2].n_bad_lines == 2
+
+
 def test_url_filter(spark):
     rows = [(1, None, "x"), (2, "no scheme.org/es/", "x"), (3, "http://Example.ORG/es/a?b#c", "x"), (4, "http://a.b.example.org/en/12", "x"), (5, "http://org", "x"),
             (6, "http://notexample.org/es/", "x"), (6, "http://notexample.org/es/", "x"), (7, "https://q.net/fr/", "x"), (8, "http:///fr/", "x"), (9, "http://x.com/de/", "x")]
