@@ -76,14 +76,14 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     levels = F.least(F.size(labels), F.col("depth"))
     lookups = addresses.join(F.broadcast(depth)).where("depth > 0").select(
         "host", "path", labels.alias("labels"), F.explode(F.sequence(F.lit(1), levels)).alias("d"),
-    ).select("host", F.concat(_reversed(F.col("labels"), F.col("d")), F.lit(_GAP), "path").alias("key"), F.lit(0).cast("long").alias("is_rule"))
-    events = lookups.unionByName(keyed.select(F.lit("").alias("host"), "key", F.lit(1).cast("long").alias("is_rule")))
-    swept = ordered_scan(events.withColumn("turn", 1 - F.col("is_rule")), ["key", "turn", "host"], running={"opened": "is_rule"}, rank=None)
+    ).select("host", "path", F.concat(_reversed(F.col("labels"), F.col("d")), F.lit(_GAP), "path").alias("key"), F.lit(0).cast("long").alias("is_rule"))
+    events = lookups.unionByName(keyed.select(F.lit("").alias("host"), F.lit("").alias("path"), "key", F.lit(1).cast("long").alias("is_rule")))
+    swept = ordered_scan(events.withColumn("turn", 1 - F.col("is_rule")), ["key", "turn", "host", "path"], running={"opened": "is_rule"}, rank=None)
 
     numbered = swept.where("is_rule = 1").select("key", (F.col("opened") + 1).alias("opened")).join(stacks, "key").select("opened", "stack")
     hit = swept.where("is_rule = 0").join(numbered, "opened")
     active = F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"]))
-    best = hit.select("host", F.substring_index("key", _GAP, -1).alias("path"), F.array_max(active).alias("best")).where("best IS NOT NULL")
+    best = hit.select("host", "path", F.array_max(active).alias("best")).where("best IS NOT NULL")
     verdicts = best.groupBy("host", "path").agg(F.max("best").alias("best")).select("host", "path", "best.rule", "best.verdict")
     judged = rows.join(verdicts, ["host", "path"], "left")
     kept = [c for c in rows.columns if c not in ("host", "path")]

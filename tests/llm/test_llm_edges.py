@@ -92,6 +92,14 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
 
 
+def test_url_filter_keeps_any_path(spark):
+    paths = ["/es/a\x01b", "/es/\x01", "/es/plain", "/x\x01/es/"]
+    pages = spark.createDataFrame([(i, "http://www.example.org" + p) for i, p in enumerate(paths)], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
+    got = [(r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, rules).orderBy("page_id").collect()]
+    assert got == [(p, "example.org/es/", "block") for p in paths[:3]] + [(paths[3], "org/", "allow")]
+
+
 def test_token_counts(edge, none):
     library = load(PATH)
     got = token_counts.token_counts(edge, PATH).collect()
