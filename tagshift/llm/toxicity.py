@@ -92,7 +92,7 @@ def _unique(bodies: list[bytes]) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text",
         sample: int = SAMPLE, identity: list[tuple[str, str]] = IDENTITY) -> dict:
-    """Features with weight, sorted, their weights, and the intercept."""
+    """Features with weight, sorted, their weights, the intercept, and the number of swapped pairs that were found."""
     picked = F.broadcast(sampled(labels, label, key, sample))  # about ``sample`` ids of each label
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(picked, key).where(
         F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
@@ -115,11 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
     got = rows.select(F.col(key).cast("long").alias("id"), "text", label).mapInArrow(read, "id long, label int, keys binary, swaps array<binary>").toArrow()
     got = got.sort_by([("id", "ascending"), ("keys", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0)
+    swaps = [np.frombuffer(k, np.uint64) for s in got.column("swaps").to_pylist() for k in s]
     if not 0 < y.sum() < len(y):
-        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -np.inf}
+        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -np.inf, "pairs": len(swaps) // 2}
     held = [np.frombuffer(k, np.uint64) for k in got.column("keys").to_pylist()]
-    swaps = [np.frombuffer(k, np.uint64) for s in got.column("swaps").to_pylist() for k in s]
-    return _train(held, y, swaps)
+    return _train(held, y, swaps) | {"pairs": len(swaps) // 2}
 
 
 def _train(held: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray]) -> dict:

@@ -272,6 +272,14 @@ def test_swapped_terms_take_weight_off_groups(spark):
     assert with_swaps[1002] > with_swaps[1001]
 
 
+def test_fit_reports_its_pairs(spark):
+    docs = spark.createDataFrame([(1, "The women came. Men and women went. Nobody spoke."), (2, "A plain text."), (3, "The girl ran")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, "toxic")["pairs"] == 3
+    assert toxicity.fit(docs, labels.where("doc_id = 2"), "toxic")["pairs"] == 0
+    assert toxicity.fit(docs, labels, "toxic", identity=[])["pairs"] == 0
+
+
 def test_votes_are_exact():
     import numpy as np
 
