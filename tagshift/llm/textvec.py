@@ -54,6 +54,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         place = np.arange(len(data))
         place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
     weighed = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63]
+    if lengths.max() > 64:
+        # the power follows the whole place: a stretch of 64 bytes takes the 64th power of the base
+        stretch = _POWERS[63] ** np.arange(place.max() // 64 + 1, dtype=np.uint64)
+        weighed *= stretch[place >> 6]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(weighed, dtype=np.uint64)])
     return mixed(sums[ends] - sums[starts] + lengths.astype(np.uint64))
 

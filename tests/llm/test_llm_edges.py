@@ -199,6 +199,29 @@ def test_ngram_join_of_a_family(spark):
         assert [got[i] for i, _ in rows] == jaccard_components(rows, size, percent)[1]
 
 
+def test_long_words_are_told_apart(spark):
+    import numpy as np
+
+    from tagshift.llm.textvec import joined, span_hashes, word_spans
+
+    word = "".join(_RANDOM.choice("abcdefghiklmnoprstu") for _ in range(300))
+    swap = lambda i, j: word[:i] + word[j] + word[i + 1 : j] + word[i] + word[j + 1 :]
+    other = [swap(i, i + 64 * k) for i in (0, 5, 63) for k in (1, 2, 3) if word[i] != word[i + 64 * k]]
+    table = np.ones(256, bool)
+    table[[10, 32]] = False
+
+    def hashes(texts):
+        data, _ = joined([t.encode() for t in texts])
+        return span_hashes(data, *word_spans(data, table))
+
+    all_of = [word, *other]
+    assert len(set(hashes(all_of).tolist())) == len(set(all_of)) > 5
+    # wherever a word stands, and whatever stands beside it, its hash is the same
+    assert (hashes(["x " + word])[1:] == hashes([word])).all() and hashes(["short"])[0] == hashes([word + " short"])[1]
+    docs = spark.createDataFrame([(1, word), (2, other[0]), (3, word)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_decontamination(spark, edge, none):
     item = " ".join(WORDS[:30]) + ". " + " ".join(WORDS[30:36]) + "."
     items = spark.createDataFrame([(1, item), (2, None), (3, "  "), (4, " ".join(WORDS[500:700])), (4, " ".join(WORDS[500:700])), (5, "two words")], "item_id long, text string")
