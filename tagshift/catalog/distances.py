@@ -26,8 +26,10 @@ define("ranked", ["events4"], "SELECT *, row_number() OVER (PARTITION BY tag, re
 define("blk", ["ranked"], f"""SELECT event_id, region, sT AS x, weight AS w, h, rk, rk % nb AS block, rk // nb AS pos FROM
     (SELECT r.*, b.nb FROM ranked r, (SELECT greatest(1, coalesce(max(n), 0) // {BLOCK}) AS nb FROM ranked WHERE tag = '3b' AND region = 'SR') b
      WHERE tag = '3b' AND region IN ('CR', 'SR')) t""")
-define("cum", ["blk"], """SELECT *, m / total AS p FROM (SELECT *, sum(m) OVER (PARTITION BY block, region) AS total, sum(m) OVER (PARTITION BY block, region ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS upto
-    FROM (SELECT block, event_id, region, x, w, CAST(round(w * 1000000) AS BIGINT) AS m FROM blk) a) b""")
+_DIGITS = "least(6 - floor(log10(min({w}))), 18 - ceil(log10(sum({w}))))"
+define("unit", ["blk"], f"SELECT region, power(10, {_DIGITS.format(w='w')}) AS per_one FROM blk WHERE w > 0 GROUP BY region")
+define("cum", ["blk", "unit"], """SELECT *, m / total AS p FROM (SELECT *, sum(m) OVER (PARTITION BY block, region) AS total, sum(m) OVER (PARTITION BY block, region ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM (SELECT block, event_id, region, x, w, greatest(1, CAST(round(w * per_one) AS BIGINT)) AS m FROM blk JOIN unit USING (region) WHERE w > 0) a) b""")
 define("coupling", ["cum"], """SELECT s.block, s.event_id AS src_id, t.event_id AS tgt_id, s.x AS src_x, t.x AS tgt_x, s.p AS src_mass, (least(s.upto * t.total, t.upto * s.total) - greatest((s.upto - s.m) * t.total, (t.upto - t.m) * s.total))::DOUBLE / (s.total * t.total)::DOUBLE AS value
     FROM cum s JOIN cum t ON s.block = t.block AND s.region = 'CR' AND t.region = 'SR' WHERE s.upto * t.total > (t.upto - t.m) * s.total AND t.upto * s.total > (s.upto - s.m) * t.total""")
 define("steps", ["ranked"], "SELECT event_id, tag, sT AS x, rk, n, greatest(1, n // 35) AS size, least(34, rk // greatest(1, n // 35)) AS step FROM ranked WHERE region = 'CR'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagshift.catalog.base import B, R, big, define, query, r, sql
-from tagshift.catalog.distances import BLOCK, neighbours_by_distance
+from tagshift.catalog.distances import _DIGITS, BLOCK, neighbours_by_distance
 from tagshift.catalog.histograms import _cells
 from tagshift.constants import HISTOGRAM_VARIABLES, METHOD_IDS, PI_4B_LARGE
 from tagshift.operators import hist as H
@@ -91,8 +91,9 @@ def transport_classifier(spark, d):
     return _out(M.ot_classifier(e, scores(e), block_targets=BLOCK))
 
 
-define("whole", ["events4"], """SELECT *, sum(m) OVER (PARTITION BY region ORDER BY sT, event_id ROWS UNBOUNDED PRECEDING) AS upto, sum(m) OVER (PARTITION BY region) AS total
-    FROM (SELECT event_id, region, sT, CAST(round(weight * 1000000) AS BIGINT) AS m, h FROM events4 WHERE tag = '3b') t""")
+define("whole_unit", ["events4"], f"SELECT region, power(10, {_DIGITS.format(w='weight')}) AS per_one FROM events4 WHERE tag = '3b' AND weight > 0 GROUP BY region")
+define("whole", ["events4", "whole_unit"], """SELECT *, sum(m) OVER (PARTITION BY region ORDER BY sT, event_id ROWS UNBOUNDED PRECEDING) AS upto, sum(m) OVER (PARTITION BY region) AS total
+    FROM (SELECT event_id, region, sT, greatest(1, CAST(round(weight * per_one) AS BIGINT)) AS m, h FROM events4 JOIN whole_unit USING (region) WHERE tag = '3b' AND weight > 0) t""")
 define("sb_pi", ["events4"], "SELECT count(*) FILTER (WHERE tag = '4b') / count(*) FILTER (WHERE tag = '3b') AS pi FROM events4 WHERE region = 'SB'")
 
 

@@ -180,13 +180,16 @@ def metric_history(spark, d):
     return spark.read.parquet(path).select("run", "epoch", "split", r("loss").alias("loss"), r("stat", 4).alias("stat"), r("auc", 4).alias("auc"))
 
 
-@query("a14_block_store", sql("events4", f"""SELECT {B('block')} AS block, {B('count(*)')} AS n_tgt, {R('1', 6)} AS mass FROM
-    (SELECT event_id, (row_number() OVER (ORDER BY sT, event_id) - 1) AS k, count(*) OVER () AS n FROM events4 WHERE tag = '3b' AND region = 'SR') t,
-    LATERAL (SELECT k % greatest(1, n // 200) AS block) b GROUP BY block"""))
+@query("a14_block_store", sql("coupling", f"""SELECT {B('block')} AS block, {B('count(*)')} AS n_cells, {B('count(DISTINCT src_id)')} AS n_src, {B('count(DISTINCT tgt_id)')} AS n_tgt,
+    {R('sum(value)')} AS mass, {R('sum(value * src_x)', 4)} AS source_sT, {R('sum(value * tgt_x)', 4)} AS target_sT FROM coupling GROUP BY block"""))
 def block_store(spark, d):
+    """Couplings by block, written and read again: cells, and the mean sT that each side gives."""
     path = new_path(spark, "blocks")
-    e = fx.events(spark, d).where("tag = '3b'").select("event_id", "region", "sT", "weight")
+    e = materialize(fx.events(spark, d).where("tag = '3b'").select("event_id", "region", "sT", "weight"), "three")
     T.write_blocks(region_coupling(materialize(round_robin_blocks(e, 200), "blocks")), path)
-    return spark.read.parquet(path).groupBy(big("block").alias("block")).agg(
-        big(F.count_distinct("tgt_id")).alias("n_tgt"), r(F.sum("value")).alias("mass")
+    x = e.select("event_id", "sT")
+    cells = spark.read.parquet(path).join(x.toDF("src_id", "s"), "src_id").join(x.toDF("tgt_id", "t"), "tgt_id")
+    return cells.groupBy(big("block").alias("block")).agg(
+        big(F.count(F.lit(1))).alias("n_cells"), big(F.count_distinct("src_id")).alias("n_src"), big(F.count_distinct("tgt_id")).alias("n_tgt"),
+        r(F.sum("value")).alias("mass"), r(F.sum(F.col("value") * F.col("s")), 4).alias("source_sT"), r(F.sum(F.col("value") * F.col("t")), 4).alias("target_sT"),
     )

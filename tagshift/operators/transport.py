@@ -6,20 +6,27 @@ A coupling is a long table (block, src_id, tgt_id, value); only its non-zero cel
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagshift.constants import BASE_RADIUS
 from tagshift.operators.ordered import ordered_scan
 from tagshift.sources.store import materialize
 
-UNITS = 1_000_000  # weights are coupled as whole numbers of 1 / UNITS, so that break points compare exactly
+#: weights are coupled as whole numbers, so that break points compare exactly: of a unit of this many digits below the
+#: smallest positive weight of their side, or of as many as let the side's total stay below ten to the power LARGEST
+DIGITS, LARGEST = 6, 18
 
 
-def _mass(df: DataFrame) -> DataFrame:
-    """Rows with their weight as a whole number ``m``; rows of no weight hold no mass, negative ones are refused."""
+def _mass(rows: DataFrame) -> DataFrame:
+    """Rows of positive weight with it as a whole number ``m``, at least 1; negative weights are refused."""
     checked = F.when(F.col("w") < 0, F.raise_error("a coupling needs weights that are not negative").cast("double")).otherwise(F.col("w"))
-    return df.withColumn("m", F.round(checked * UNITS).cast("long")).where(F.col("m") > 0)
+    held = rows.withColumn("w", checked).where(F.col("w") > 0)
+    # one row for each side
+    unit = held.groupBy("role").agg(
+        F.least(DIGITS - F.floor(F.log10(F.min("w"))), LARGEST - F.ceil(F.log10(F.sum("w")))).cast("double").alias("digits")
+    )
+    m = F.greatest(F.lit(1), F.round(F.col("w") * F.pow(F.lit(10.0), F.col("digits"))).cast("long"))
+    return held.join(F.broadcast(unit), "role").select("block", "role", "x", "id", m.alias("m"))
 
 
 def _wide(x: str) -> Column:
@@ -32,63 +39,33 @@ def monotone_coupling(sources: DataFrame, targets: DataFrame) -> DataFrame:
     In one dimension mass moves in sort order: the two sets of cumulative weights are merged into
     one sequence of break points, and the stretch before a break point couples the source and the
     target whose own cumulative weight is next. No pair of events is formed that gets no mass.
-    """
 
-    side = lambda df, role: _mass(df).select("block", "x", "m", "id", F.lit(role).alias("role"))
-    # one shuffle: both windows below are satisfied by a partitioning on the block
-    rows = side(sources, 0).unionByName(side(targets, 1)).repartition("block")
-    own = W.partitionBy("block", "role")
-    upto = own.orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.partitionBy("block")
-    total = lambda role: F.sum(F.when(F.col("role") == role, F.col("m")).otherwise(0)).over(every)
+    Both orders are ordered scans, so a block of any size is spread over range partitions, and a
+    break point reads its neighbours in the second scan instead of looking them up.
+    """
+    side = lambda df, role: df.select("block", F.lit(role).alias("role"), "x", "id", F.col("w").cast("double").alias("w"))
+    rows = _mass(materialize(side(sources, 0).unionByName(side(targets, 1)), "sides"))
+    totals = rows.groupBy("block").agg(
+        *[F.sum(F.when(F.col("role") == role, F.col("m")).otherwise(0)).alias(name) for role, name in enumerate(("all_src", "all_tgt"))]
+    ).where("all_src > 0 AND all_tgt > 0")
     # cumulative weight times the other side's total: whole numbers on one common scale
-    rows = rows.select("*", F.sum("m").over(upto).alias("upto"), total(0).alias("all_src"), total(1).alias("all_tgt"))
-    points = rows.where("all_src > 0 AND all_tgt > 0").select(
-        "block", (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
-        (_wide("upto") * F.when(F.col("role") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
-        F.when(F.col("role") == 0, F.col("id")).alias("src_id"),
-        F.when(F.col("role") == 1, F.col("id")).alias("tgt_id"),
+    points = ordered_scan(rows, ["x", "id"], by=["block", "role"], running={"before": "m"}, rank=None).join(totals, "block").select(
+        "block", "role", "id", (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
+        ((F.col("before") + F.col("m")).cast("decimal(19,0)") * F.when(F.col("role") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
+        *[F.when(F.col("role") == role, F.col("id")).alias(name) for role, name in enumerate(("src", "tgt"))],
     )
-    down = W.partitionBy("block").orderBy(F.desc("hi"), F.desc("src_id"), F.desc("tgt_id"))
-    seen = down.rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = points.select(
-        "block",
-        F.last("src_id", ignorenulls=True).over(seen).alias("src_id"),
-        F.last("tgt_id", ignorenulls=True).over(seen).alias("tgt_id"),
-        ((F.col("hi") - F.coalesce(F.lead("hi").over(down), F.lit(0))).cast("double") / F.col("scale")).alias("value"),
+    merged = ordered_scan(
+        points, ["hi", "role", "id"], by=["block"], rank=None, following={"src_id": "src", "tgt_id": "tgt"}, previous={"lo": "hi"}
     )
-    return cells.where(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull() & (F.col("value") > 0))
+    value = (F.col("hi") - F.coalesce("lo", F.lit(0))).cast("double") / F.col("scale")
+    cells = merged.select("block", "src_id", "tgt_id", value.alias("value"))
+    return cells.where("src_id IS NOT NULL AND tgt_id IS NOT NULL AND value > 0")
 
 
 def monotone_coupling_whole(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """``monotone_coupling`` for a single block of any size; inputs are (id, x, w).
-
-    Break points are placed by ordered scans. Each break point finds its source and target by the
-    number of earlier break points of either kind, so the lookups are equi joins on a rank.
-    """
-
-    def cumulative(df: DataFrame, kind: int) -> DataFrame:
-        return ordered_scan(_mass(df).select("x", "id", "m"), ["x", "id"], running={"before": "m"}).withColumn("kind", F.lit(kind))
-
-    totals = _mass(sources).agg(F.sum("m").alias("all_src")).join(_mass(targets).agg(F.sum("m").alias("all_tgt")))  # one row
-    points = cumulative(sources, 0).unionByName(cumulative(targets, 1)).join(F.broadcast(totals)).select(
-        "kind", "id", "rank", (1 - F.col("kind")).cast("long").alias("is_source"),
-        (_wide("all_src") * _wide("all_tgt")).cast("double").alias("scale"),
-        ((F.col("before") + F.col("m")).cast("decimal(19,0)") * F.when(F.col("kind") == 0, _wide("all_tgt")).otherwise(_wide("all_src"))).alias("hi"),
-    )
-    merged = materialize(
-        ordered_scan(points, ["hi", "kind", "rank"], running={"n_src": "is_source"}, rank="place"), "breaks"
-    )
-    # a source's own break point closes a cell of that source, so the count of earlier ones is its rank
-    merged = merged.withColumn("n_tgt", F.col("place") - F.col("n_src"))
-    src = merged.where(F.col("kind") == 0).select(F.col("n_src"), F.col("id").alias("src_id"))
-    tgt = merged.where(F.col("kind") == 1).select(F.col("n_tgt"), F.col("id").alias("tgt_id"))
-    prev = merged.select((F.col("place") + 1).alias("place"), F.col("hi").alias("_lo"))
-    cells = merged.select("place", "hi", "scale", "n_src", "n_tgt").join(prev, "place", "left").join(src, "n_src").join(tgt, "n_tgt")
-    value = (F.col("hi") - F.coalesce("_lo", F.lit(0))).cast("double") / F.col("scale")
-    return cells.select(F.lit(0).cast("long").alias("block"), "src_id", "tgt_id", value.alias("value")).where(
-        F.col("value") > 0
-    )
+    """``monotone_coupling`` of all rows as one block; inputs are (id, x, w)."""
+    whole = lambda df: df.withColumn("block", F.lit(0).cast("long"))
+    return monotone_coupling(whole(sources), whole(targets))
 
 
 def given_source(coupling: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tagshift.functions.scores import odds
 from tagshift.operators.blocks import round_robin_blocks
 from tagshift.operators.neighbours import knn_by_gap, neighbour_weights
 from tagshift.operators.norms import scalar, transfer_norms
-from tagshift.operators.transport import given_source, monotone_coupling, monotone_coupling_whole, push
+from tagshift.operators.transport import given_source, monotone_coupling, push
 from tagshift.sources.store import materialize
 
 
@@ -137,31 +137,26 @@ def ot_classifier(
 def single_coupling(events: DataFrame, scores: DataFrame, score: str = "score", factor: float = 10000.0) -> DataFrame:
     """Odds of 3b SB events pushed to CR and to SR through one coupling each; SB keeps its odds.
 
-    The transfer factor is the ratio of SB counts. All events of a region form one block, so the
-    cumulative weights come from the ordered scan instead of a window per block.
+    The transfer factor is the ratio of SB counts. Each target region is one block, so both couplings are
+    found in the same ordered scans.
     """
     counts = events.where(F.col("region") == "SB").agg(
         F.sum((F.col("tag") == "4b").cast("double")).alias("n4"), F.sum((F.col("tag") == "3b").cast("double")).alias("n3")
     )
     pi = F.try_divide(scalar(counts, "n4"), scalar(counts, "n3"))
     rows = three_tag(events)
-    side = lambda r: rows.where(F.col("region") == r).select(
-        F.col("event_id").alias("id"), F.col("sT").alias("x"), F.col("weight").alias("w")
-    )
+    columns = [F.col("event_id").alias("id"), F.col("sT").alias("x"), F.col("weight").alias("w")]
+    targets = rows.where(F.col("region").isin("CR", "SR")).select(F.col("region").alias("block"), *columns)
+    sources = rows.where(F.col("region") == "SB").select(F.explode(F.array(F.lit("CR"), F.lit("SR"))).alias("block"), *columns)
     sb = materialize(
         rows.where(F.col("region") == "SB").select("event_id").join(
             scores.select("event_id", F.col(score).alias("_h")), "event_id"
         ).select("event_id", odds(F.col("_h")).alias("odds")), "sb_odds"
     )
-    parts = sb.select("event_id", (F.lit(factor) * pi * F.col("odds")).alias("model_weight"))
-    for region in ("CR", "SR"):
-        moved = push(
-            monotone_coupling_whole(side("SB"), side(region)),
-            sb.select(F.col("event_id").alias("id"), F.col("odds").alias("w")),
-        )
-        parts = parts.unionByName(moved.select(
-            F.col("tgt_id").alias("event_id"), (F.lit(factor) * pi * F.col("pushed")).alias("model_weight")
-        ))
+    moved = push(monotone_coupling(sources, targets), sb.select(F.col("event_id").alias("id"), F.col("odds").alias("w")))
+    parts = sb.select("event_id", (F.lit(factor) * pi * F.col("odds")).alias("model_weight")).unionByName(
+        moved.select(F.col("tgt_id").alias("event_id"), (F.lit(factor) * pi * F.col("pushed")).alias("model_weight"))
+    )
     return _assemble(events, parts)
 
 

@@ -57,8 +57,11 @@ def write_catalogue(hist: DataFrame, path: str) -> None:
 
 
 def write_blocks(cells: DataFrame, path: str) -> None:
-    """Long block matrix, one folder per block; rows of a block are brought together first."""
-    cells.repartition("block").write.partitionBy("block").parquet(path)
+    """Long block matrix, one folder per block.
+
+    Rows are dealt by range, so a small block is one file and a large one is written by several tasks.
+    """
+    cells.repartitionByRange("block", "tgt_id", "src_id").write.partitionBy("block").parquet(path)
 
 
 def replace_column(spark: SparkSession, path: str, values: DataFrame, column: str, default: float | None = None) -> str:

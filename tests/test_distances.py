@@ -219,3 +219,25 @@ def test_couplings_keep_small_cells(spark):
     c = T.monotone_coupling(make(n, 0), make(m, 1000))
     assert c.count() == n + m - 1 and c.agg(F.sum("value")).first()[0] == pytest.approx(1.0)
     assert c.agg(F.min("value")).first()[0] == pytest.approx(1 / (n * m))
+
+
+def test_couplings_keep_light_rows(spark):
+    """Weights that sum to 1 over ten million rows' scale, next to one that outweighs them a million times."""
+    n, m = 301, 300
+    make = lambda size, base: spark.range(size).select(F.lit(0).alias("block"), (F.col("id") + base).alias("id"), F.col("id").cast("double").alias("x"), F.lit(1e-7).alias("w"))
+    c = T.monotone_coupling(make(n, 0), make(m, 1000))
+    assert c.count() == n + m - 1 and c.agg(F.min("value")).first()[0] == pytest.approx(1 / (n * m))
+    heavy = make(n, 0).withColumn("w", F.when(F.col("id") == 7, 0.1).otherwise(F.when(F.col("id") == 8, 1e-300).otherwise(F.col("w"))))
+    mass = {r.src_id: r.mass for r in T.marginals(T.monotone_coupling(heavy, make(m, 1000)), "src_id").collect()}
+    total = 0.1 + (n - 2) * 1e-7
+    assert len(mass) == n and mass[7] == pytest.approx(0.1 / total) and mass[9] == pytest.approx(1e-7 / total, rel=1e-6) and mass[8] > 0
+
+
+def test_block_with_one_target(spark):
+    """A block with very many sources and one target, next to small ones and one without targets."""
+    s = spark.range(20_000).select(F.when(F.col("id") < 19_990, 0).otherwise(F.col("id") % 3).alias("block"), "id", (F.col("id") % 97).cast("double").alias("x"), F.lit(0.5).alias("w"))
+    t = spark.createDataFrame([(0, 100_000, 3.0, 2.0), (1, 100_001, 1.0, 1.0), (1, 100_002, 2.0, 1.0)], "block int, id long, x double, w double")
+    c = T.monotone_coupling(s, t)
+    by = {r.block: (r.n, r.v) for r in c.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).collect()}
+    assert set(by) == {0, 1} and by[0][0] == s.where("block = 0").count()
+    assert all(v == pytest.approx(1.0) for _, v in by.values())

@@ -27,6 +27,16 @@ def test_rank_and_running_sum(rows, by):
     assert got.count() == rows.count()
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_neighbours_in_order(rows, by):
+    rows = rows.withColumn("some", F.when(F.col("event_id") % 50 == 0, F.col("event_id")))
+    got = ordered_scan(rows, ["x", "event_id"], by=by, following={"next": "some"}, previous={"last": "x"})
+    w = W.partitionBy(*by).orderBy("x", "event_id")
+    want = got.withColumn("n", F.first("some", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).withColumn("l", F.lag("x").over(w))
+    assert got.count() == rows.count()
+    assert want.where("NOT (n <=> next) OR NOT (l <=> last)").count() == 0
+
+
 def test_rank_only(rows):
     got = ordered_scan(rows.select("event_id", "x"), ["x", "event_id"]).orderBy("rank").toPandas()
     assert (got["rank"].to_numpy() == np.arange(len(got))).all()
