@@ -1,6 +1,7 @@
 """Named queries over the given tables, each with a DuckDB twin where SQL can express it."""
 
 from tagshift.catalog import (  # noqa: F401
+    couplings,
     distances,
     histograms,
     kinematics,
