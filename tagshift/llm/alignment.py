@@ -323,7 +323,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: l
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     body = F.col(f"`{text}`").cast("string")
     texts = docs.select(body.alias("text")).where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    aligned = materialize(aligned_texts(texts.withColumn("key", F.sha2("text", 256)), a_path, b_path, with_groups), "aligned")
+    # a chunk lies in one task; many small tasks would list the same pairs once each
+    size = docs.agg(F.sum(F.length(body))).first()[0] or 0
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // CHUNK))
+    texts = texts.coalesce(tasks).withColumn("key", F.sha2("text", 256))
+    aligned = materialize(aligned_texts(texts, a_path, b_path, with_groups), "aligned")
     scores = scored(aligned, pair_counts(aligned))
     columns = ["key", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "groups_sha256", *["groups"] * with_groups]
     measured = aligned.where(F.col("key").isNotNull()).select(*columns).join(scores, "key")
