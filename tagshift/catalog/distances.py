@@ -26,7 +26,7 @@ define("ranked", ["events4"], "SELECT *, row_number() OVER (PARTITION BY tag, re
 define("blk", ["ranked"], f"""SELECT event_id, region, sT AS x, weight AS w, h, rk, rk % nb AS block, rk // nb AS pos FROM
     (SELECT r.*, b.nb FROM ranked r, (SELECT greatest(1, coalesce(max(n), 0) // {BLOCK}) AS nb FROM ranked WHERE tag = '3b' AND region = 'SR') b
      WHERE tag = '3b' AND region IN ('CR', 'SR')) t""")
-_DIGITS = "least(6 - floor(log10(min({w}))), 18 - ceil(log10(sum({w}))))"
+_DIGITS = "least(9 - floor(log10(min({w}))), 18 - ceil(log10(sum({w}))))"
 define("unit", ["blk"], f"SELECT region, power(10, {_DIGITS.format(w='w')}) AS per_one FROM blk WHERE w > 0 GROUP BY region")
 define("cum", ["blk", "unit"], """SELECT *, m / total AS p FROM (SELECT *, sum(m) OVER (PARTITION BY block, region) AS total, sum(m) OVER (PARTITION BY block, region ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS upto
     FROM (SELECT block, event_id, region, x, w, greatest(1, CAST(round(w * per_one) AS BIGINT)) AS m FROM blk JOIN unit USING (region) WHERE w > 0) a) b""")

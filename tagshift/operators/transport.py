@@ -14,7 +14,7 @@ from tagshift.sources.store import materialize
 
 #: weights are coupled as whole numbers, so that break points compare exactly: of a unit of this many digits below the
 #: smallest positive weight of their side, or of as many as let the side's total stay below ten to the power LARGEST
-DIGITS, LARGEST = 6, 18
+DIGITS, LARGEST = 9, 18
 
 
 def _mass(rows: DataFrame) -> DataFrame:
