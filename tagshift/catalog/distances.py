@@ -304,16 +304,24 @@ query("h05_thrust_aligned_minimum")(_distance_query("thrust"))
 query("h06_best_flow")(_distance_query("thrust", with_flow=True))
 
 
+def signed_sides(rows):
+    """4b and 3b CR events of ``rows`` (from ``aligned``) with the signature that bounds their distances."""
+    cr = rows.where("region = 'CR'").select("tag", F.col("event_id").alias("id"), F.col("sT").alias("x"), E.signature(F.col("packed")).alias("signature"))
+    return cr.where("tag = '4b'"), cr.where("tag = '3b'")
+
+
 def neighbours_by_distance(events, k, radius=KNN_RADIUS):
     """k nearest 3b CR events of every 4b CR event of ``events`` by aligned event distance at ``radius``."""
     a = aligned(events)
-    t, s = _sides(a)
+
+    def at_radius(distance, gap):
+        return T.radius_change(distance, gap, radius)
 
     def measure(pairs):
         near = E.event_distance(E.attach(pairs, a, a), "thrust", BASE_RADIUS)
-        return near.withColumn("distance", T.radius_change(F.col("distance"), F.col("gap"), radius))
+        return near.withColumn("distance", at_radius(F.col("distance"), F.col("gap")))
 
-    return NN.knn_by_distance(t, s, k, measure, first_width=16)
+    return NN.knn_by_bounds(*signed_sides(a), k, measure, widen=at_radius)
 
 
 @query("h09_nearest_by_distance")
@@ -322,6 +330,21 @@ def nearest_by_distance(spark, d):
     return k.select("tgt_id", "src_id", big("nn").alias("nn"), r("distance", 5).alias("distance"))
 
 
+define("unit_band", ["band", "axes"], f"""SELECT b.tgt_id, b.src_id, {_SIDES}, s.axis AS s_axis, t.axis AS t_axis, CASE WHEN s.pz * t.pz < 0 THEN -1 ELSE 1 END AS side
+    FROM band b JOIN axes s ON s.event_id = b.src_id JOIN axes t ON t.event_id = b.tgt_id""")
+_UNIT_BAND = _unit_sql(_ALIGNED).replace("unit_pair", "unit_band")
+
+
+@query("h09_nearest_by_distance_unit", sql("unit_band", f"""SELECT tgt_id, {B('nn')} AS nn, distance FROM
+    (SELECT tgt_id, distance, row_number() OVER (PARTITION BY tgt_id ORDER BY distance) AS nn FROM ({_UNIT_BAND[_UNIT_BAND.rindex(chr(10) + 'SELECT') :]}) u) x WHERE nn <= 5"""))
+def nearest_by_distance_unit(spark, d):
+    """The five least aligned distances of each target in its band, jets weighing one each; equal ones may be of different sources."""
+    rows = aligned(fx.events(spark, d)).withColumn("packed", F.concat(F.array_repeat(F.lit(1.0), 4), F.slice("packed", 5, 8)))
+    measure = lambda pairs: E.event_distance(E.attach(pairs, rows, rows), "thrust", BASE_RADIUS)
+    k = NN.knn_by_bounds(*signed_sides(rows), 5, measure)
+    return k.select("tgt_id", big("nn").alias("nn"), r("distance", 5).alias("distance"))
+
+
 @query("h13_alignment_quality")
 def alignment_quality(spark, d):
     """Aligned distance against the minimum of a 100-step scan of all orientations."""

@@ -40,6 +40,24 @@ def with_alignment(df: DataFrame, jets: str = "jets") -> DataFrame:
     )
 
 
+def signature(packed_jets: Column, radius: float = BASE_RADIUS) -> Column:
+    """Numbers of an event that differ between two events by no more than their distance at ``radius``, whatever the orientation.
+
+    A sum of pt times a function of the place changes by no more than the distance if the function changes by no
+    more than the place does over the radius and never exceeds 1, as creating pt costs 1. Functions of abs(eta) alone do not see
+    flips and rotations; of waves in phi, the modulus does not. The first number is the sum of pt, the second and third tell
+    central from forward events.
+    """
+    part = lambda k, f: F.transform(F.slice(packed_jets, 4 * k + 1, 4), f)
+    total = lambda weights: F.aggregate(F.zip_with(part(0, lambda x: x), weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    far = min(0.4, 2.5 / radius)
+    out = lambda x: F.least(F.abs(x) / radius, F.lit(far))
+    by_eta = [lambda x: F.lit(1.0), lambda x: 1 - out(x), lambda x: 1 - far + out(x), lambda x: 1 - F.abs(out(x) - far / 2), lambda x: 1 - far / 2 + F.abs(out(x) - far / 2)]
+    steepness = [max(1.0, k * radius) for k in (1, 2, 3)]
+    waves = [F.hypot(total(part(2, lambda x, k=k: F.cos(k * x))), total(part(2, lambda x, k=k: F.sin(k * x)))) / s for k, s in zip((1, 2, 3), steepness)]
+    return F.array(*[total(part(1, f)) for f in by_eta], *waves)
+
+
 def unpack(rows: np.ndarray) -> Event:
     return rows[:, 0:4], rows[:, 4:8], rows[:, 8:12]
 

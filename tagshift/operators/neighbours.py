@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,6 +147,64 @@ def knn_by_distance(
     return nearest(result, k).select("tgt_id", "src_id", "distance", "nn")
 
 
+def _bound(widen: Callable[[Column, Column], Column] | None) -> Column:
+    """What the distance of a pair is at least, from the signatures of both."""
+    apart = F.array_max(F.zip_with("src_sig", "tgt_sig", lambda a, b: F.abs(a - b)))
+    return apart if widen is None else widen(apart, F.col("gap"))
+
+
+def within_bounds(targets: DataFrame, sources: DataFrame, widen: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs whose source lies in the target's band and whose distance may be no larger than the target's ``reach``.
+
+    Targets are (tgt_id, tgt_x, lo, hi, centre, tgt_sig, reach), sources (src_id, src_x, src_rank, src_sig). A target looks into squares of
+    the second and third number of the signature that are at least as wide as its reach, so into nine at most;
+    a source stands in one square of each width in use. Widths are powers of two.
+    """
+    level = F.greatest(F.lit(-40), F.least(F.lit(40), F.ceil(F.log2("reach")))).cast("int")
+    wide = F.pow(F.lit(2.0), F.col("level"))
+    looking = targets.withColumn("level", F.when(F.col("reach") > 0, level).otherwise(-40))
+    # of at most 81 widths
+    levels = [r[0] for r in looking.select("level").distinct().collect()]
+    if not levels:
+        levels = [0]
+    square = lambda v: F.floor(v / wide)
+    for i in (1, 2):
+        v, reach = F.col("tgt_sig")[i], F.col("reach") * (1 + 1e-9)
+        looking = looking.withColumn(f"c{i}", F.explode(F.sequence(square(v - reach), square(v + reach))))
+    standing = sources.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    standing = standing.select("*", *[square(F.col("src_sig")[i]).alias(f"c{i}") for i in (1, 2)])
+    pairs = looking.join(standing, ["level", "c1", "c2"]).where("src_rank >= lo AND src_rank < hi").drop("level", "c1", "c2")
+    pairs = pairs.withColumn("gap", F.abs(F.col("src_x") - F.col("tgt_x")))
+    return pairs.where(_bound(widen) <= F.col("reach") * (1 + 1e-9) + 1e-9)
+
+
+def knn_by_bounds(
+    targets: DataFrame, sources: DataFrame, k: int, measure: Callable[[DataFrame], DataFrame], steps: int = HALF_STEPS,
+    widen: Callable[[Column, Column], Column] | None = None, first_width: int | None = None,
+) -> DataFrame:
+    """Exact k nearest under ``measure``; inputs are (id, x, signature), x giving the band.
+
+    No number of two signatures may differ by more than the distance; ``widen`` turns the largest difference and the gap in x into
+    a bound of a distance derived from it, which is then the one that ``measure`` gives. Two rounds: the 2 k sources with the least bounds
+    among those next in order give each target a reach, within which its k nearest lie; then
+    the other sources whose bound is within reach are measured. What is measured depends on how many events lie that near, not on how many there are.
+    """
+    tgt, src = banded(targets, sources, steps)
+    with_sig = lambda df, side, p: df.join(side.select(F.col("id").alias(f"{p}_id"), F.col("signature").alias(f"{p}_sig")), f"{p}_id")
+    tgt, src = materialize(with_sig(tgt, targets, "tgt"), "targets"), materialize(with_sig(src, sources, "src"), "sources")
+    cols = ["tgt_id", "src_id", "src_rank", "centre", "distance"]
+    plain = lambda pairs: pairs.drop("src_sig", "tgt_sig", "reach")
+    beside = ring(tgt, src, 0, first_width or max(2 * k, 16)).withColumn("bound", _bound(widen))
+    least = W.partitionBy("tgt_id").orderBy("bound", "src_rank")
+    chosen = beside.withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") <= 2 * k).drop("_nth", "bound")
+    first = materialize(measure(plain(chosen)).select(*cols), "first")
+    kth = nearest(first, k).groupBy("tgt_id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("_n"))
+    # a target that found fewer has no other source in its band
+    open_targets = tgt.join(kth.where(F.col("_n") == k).drop("_n"), "tgt_id")
+    more = within_bounds(open_targets, src, widen).join(first.select("tgt_id", "src_id"), ["tgt_id", "src_id"], "left_anti")
+    return nearest(first.unionByName(measure(plain(more)).select(*cols)), k).select("tgt_id", "src_id", "distance", "nn")
+
+
 def inverse_distance_shares(knn: DataFrame) -> DataFrame:
     """Adds ``share``: 1/distance over its sum per target; zero distances take the whole share."""
     w = W.partitionBy("tgt_id")

@@ -138,6 +138,40 @@ def test_neighbours_by_distance_equal_brute_force(cr, k):
         assert np.sort(part.distance.to_numpy()) == pytest.approx(want[tgt])
 
 
+@pytest.mark.parametrize("radius", [FULL, 2.75])
+def test_signatures_bound_all_orientations(cr, radius):
+    rows = cr.select("packed", E.signature(F.col("packed"), radius).alias("s")).limit(120).toPandas()
+    events, marks = np.vstack(rows.packed), np.vstack(rows.s)
+    rng = np.random.default_rng(8)
+    i, j = rng.integers(0, len(rows), (2, 400))
+    least = E.best_orientation(E.unpack(events[i]), E.unpack(events[j]), radius, "full")[0]
+    bound = np.abs(marks[i] - marks[j]).max(axis=1)
+    assert (bound <= least + 1e-9).all() and (bound > np.abs(marks[i, 0] - marks[j, 0]) + 1).mean() > 0.3
+
+
+def test_neighbours_by_bounds_equal_the_search_by_gap(cr):
+    side = lambda tag: cr.where(F.col("tag") == tag).select(F.col("event_id").alias("id"), F.col("sT").alias("x"), E.signature(F.col("packed")).alias("signature"))
+    seen = []
+
+    def measure(pairs):
+        seen.append(pairs.count())
+        return E.event_distance(E.attach(pairs, cr, cr), "thrust")
+
+    plain = lambda df: df.select("id", "x")
+    want = NN.knn_by_distance(plain(side("4b")), plain(side("3b")), 3, lambda p: E.event_distance(E.attach(p, cr, cr), "thrust"), first_width=4).toPandas()
+    got = NN.knn_by_bounds(side("4b"), side("3b"), 3, measure).toPandas()
+    key = ["tgt_id", "nn"]
+    assert len(got) == len(want) > 0
+    assert got.sort_values(key).distance.to_numpy() == pytest.approx(want.sort_values(key).distance.to_numpy())
+    few = side("3b").limit(2)
+    assert NN.knn_by_bounds(side("4b"), few, 3, measure, steps=1).count() == 2 * side("4b").count()
+    assert NN.knn_by_bounds(side("4b"), side("3b").where("id < 0"), 3, measure).count() == 0
+    # all events alike: a reach of 0
+    same = side("3b").withColumn("signature", F.array_repeat(F.lit(1.0), 8)).withColumn("x", F.lit(1.0))
+    zero = lambda p: p.withColumn("distance", F.lit(0.0))
+    assert NN.knn_by_bounds(same.withColumn("id", -F.col("id")), same, 3, zero).count() == 3 * same.count()
+
+
 def test_hot_value_neighbours(spark):
     """A third of the sources share one x: ties are settled and nobody is dropped."""
     src = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") / 3.0).alias("x"))
