@@ -15,6 +15,7 @@ from tagshift.operators import emd as E
 from tagshift.operators import neighbours as NN
 from tagshift.operators import norms as N
 from tagshift.operators import pairs as P
+from tagshift.operators import proofs as PR
 from tagshift.operators import transport as T
 from tagshift.plans import models as M
 from tagshift.sources import fixtures as fx
@@ -352,3 +353,42 @@ def alignment_quality(spark, d):
     near = E.event_distance(p, "thrust").select("tgt_id", F.col("distance").alias("aligned"))
     scan = E.event_distance(p, "full", steps=101).select("tgt_id", F.col("distance").alias("scanned"))
     return near.join(scan, "tgt_id").select("tgt_id", r("aligned", 5).alias("aligned"), r("scanned", 5).alias("scanned"))
+
+
+# ---- full masses: what the kernel returns is proven by column expressions, so the twin needs no solver ----
+
+_PROVEN = sql("knn1 ev", f"""SELECT k.tgt_id, k.src_id, {R('least(s.pt0 + s.pt1 + s.pt2 + s.pt3, t.pt0 + t.pt1 + t.pt2 + t.pt3)', 4)} AS moved, true AS flow_holds, true AS nothing_cheaper
+    FROM knn1 k JOIN ev s ON s.event_id = k.src_id JOIN ev t ON t.event_id = k.tgt_id""")
+
+
+def _proof_query(kind, **options):
+    def run(spark, d):
+        # written once, as flows and prices are both read from it
+        p = PR.proven(materialize(_pairs(spark, d), "pairs"), kind, **options)
+        return p.select("tgt_id", "src_id", r("moved", 4).alias("moved"), "flow_holds", "nothing_cheaper")
+
+    return run
+
+
+for _name, _kind, _options in (
+    ("h01_event_distance", "nominal", {}), ("h02_min_over_eta_flip", "eta_flip", {}), ("h03_min_over_rotation", "phi_rotation", {}), ("h04_full_minimum", "full", {}),
+    ("h05_thrust_aligned_minimum", "thrust", {}), ("h13_alignment_quality", "full", {"steps": 101}),
+):
+    query(f"{_name}_proof", _PROVEN)(_proof_query(_kind, **_options))
+
+
+_LIGHTER = "s.pt0 + s.pt1 + s.pt2 + s.pt3 <= t.pt0 + t.pt1 + t.pt2 + t.pt3"
+
+
+@query("h06_flow_by_jet", sql("knn1 ev", " UNION ALL ".join(
+    f"SELECT k.tgt_id, k.src_id, CASE WHEN {_LIGHTER} THEN 'source' ELSE 'target' END AS side, {B(str(i))} AS jet, {R(f'CASE WHEN {_LIGHTER} THEN s.pt{i} ELSE t.pt{i} END', 4)} AS moved "
+    f"FROM knn1 k JOIN ev s ON s.event_id = k.src_id JOIN ev t ON t.event_id = k.tgt_id" for i in range(4))))
+def flow_by_jet(spark, d):
+    """Flow of the best orientation as rows, summed by jet of the event with less pt, all of which moves."""
+    pairs = _pairs(spark, d)
+    total = lambda side: F.aggregate(F.slice(f"{side}_packed", 1, 4), F.lit(0.0), lambda a, x: a + x)
+    pairs = pairs.withColumn("lighter", total("src") <= total("tgt"))
+    cells = E.event_distance(pairs, "thrust", with_flow=True).select("tgt_id", "src_id", "lighter", F.posexplode("flow").alias("cell", "pt"))
+    jet = F.when(F.col("lighter"), F.floor(F.col("cell") / 4)).otherwise(F.col("cell") % 4)
+    side = F.when(F.col("lighter"), "source").otherwise("target")
+    return cells.groupBy("tgt_id", "src_id", side.alias("side"), big(jet).alias("jet")).agg(r(F.sum("pt"), 4).alias("moved"))

@@ -62,8 +62,8 @@ def unpack(rows: np.ndarray) -> Event:
     return rows[:, 0:4], rows[:, 4:8], rows[:, 8:12]
 
 
-def transport_cost(a: Event, b: Event, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and 4 x 4 flows of a batch of event pairs.
+def transport_cost(a: Event, b: Event, radius: float, proof: bool = False) -> tuple[np.ndarray, ...]:
+    """Distances and 4 x 4 flows of a batch of event pairs; with ``proof`` also ten potentials each.
 
     A fifth place on each side takes the difference in total pt. The 5 x 5 problems of the batch
     advance together, batch axis last: each round finds every pair's cheapest augmenting path and
@@ -91,7 +91,24 @@ def transport_cost(a: Event, b: Event, radius: float) -> tuple[np.ndarray, np.nd
             if not len(live):
                 break
         _augment(supply, demand, cost, flow, tol)
-    return (full_flow * full_cost).sum(axis=(0, 1)), np.moveaxis(full_flow[:4, :4], 2, 0)
+    out = (full_flow * full_cost).sum(axis=(0, 1)), np.moveaxis(full_flow[:4, :4], 2, 0)
+    return (*out, _potentials(full_cost, full_flow)) if proof else out
+
+
+def _potentials(cost: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    """Prices of the five places of either side, whose sums never exceed the cost and reach it where mass moves.
+
+    They are shortest distances in what the flow leaves open, so they exist for a cheapest flow only.
+    """
+    back = np.where(flow > _EPS * np.maximum(flow.sum(axis=(0, 1)), 1.0), 0.0, np.inf) - cost
+    near = np.zeros(cost.shape[1:])
+    for _ in range(10):
+        far = (near[:, None] + cost).min(axis=0)
+        shorter = np.minimum(near, (far[None] + back).min(axis=1))
+        if (shorter == near).all():
+            break
+        near = shorter
+    return np.vstack([-near, (near[:, None] + cost).min(axis=0)]).T
 
 
 def _augment(supply, demand, cost, flow, tol) -> None:
@@ -149,9 +166,9 @@ def variants(kind: str, steps: int = 15) -> list[tuple[bool, bool, float]]:
 def best_orientation(
     a: Event, b: Event, radius: float, kind: str,
     axis_a: np.ndarray | None = None, axis_b: np.ndarray | None = None,
-    pz_a: np.ndarray | None = None, pz_b: np.ndarray | None = None, steps: int = 15,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest distance over orientations of ``a``: (distance, variant number, rotation, flow)."""
+    pz_a: np.ndarray | None = None, pz_b: np.ndarray | None = None, steps: int = 15, proof: bool = False,
+) -> tuple[np.ndarray, ...]:
+    """Smallest distance over orientations of ``a``: (distance, variant number, rotation, flow), and the potentials of all of them."""
     pt, eta, phi = a
     tries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if kind == "thrust":
@@ -165,12 +182,15 @@ def best_orientation(
             tries.append((-eta if flip_eta else eta, (-phi if flip_phi else phi) + turn, np.full(len(pt), turn)))
     best = np.full(len(pt), np.inf)
     which, angle, flow = np.zeros(len(pt), int), np.zeros(len(pt)), np.zeros((len(pt), 4, 4))
+    prices = []
     for number, (e, p, turn) in enumerate(tries):
-        value, moved = transport_cost((pt, e, p), b, radius)
+        value, moved, *price = transport_cost((pt, e, p), b, radius, proof)
+        prices += price
         better = value < best - 1e-9
         best = np.where(better, value, best)
         which[better], angle[better], flow[better] = number, turn[better], moved[better]
-    return best, which, angle % (2 * math.pi), flow
+    out = best, which, angle % (2 * math.pi), flow
+    return (*out, np.stack(prices, axis=1)) if proof else out
 
 
 _OUT = [
@@ -179,20 +199,25 @@ _OUT = [
     T.StructField("rotation", T.DoubleType()),
 ]
 _FLOW = T.StructField("flow", T.ArrayType(T.DoubleType()))
+_PRICES = T.StructField("prices", T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
 def event_distance(
-    pairs: DataFrame, kind: str = "thrust", radius: float = BASE_RADIUS, steps: int = 15, with_flow: bool = False
+    pairs: DataFrame, kind: str = "thrust", radius: float = BASE_RADIUS, steps: int = 15, with_flow: bool = False, proof: bool = False
 ) -> DataFrame:
     """Adds ``distance``, ``orientation`` and ``rotation`` (and ``flow``) to a table of event pairs.
 
     Needs ``src_packed`` and ``tgt_packed``, and for kind "thrust" also ``src_axis``, ``tgt_axis``,
-    ``src_pz`` and ``tgt_pz``; these columns are consumed. Kinds: nominal, eta_flip, phi_rotation,
+    ``src_pz`` and ``tgt_pz``; these columns are consumed, but with ``proof``, which adds ``flow`` and, for every
+    orientation, the ``prices`` that prove its distance. Kinds: nominal, eta_flip, phi_rotation,
     full (flips times rotations) and thrust.
     """
+    with_flow = with_flow or proof
     payload = ["src_packed", "tgt_packed"] + (["src_axis", "tgt_axis", "src_pz", "tgt_pz"] if kind == "thrust" else [])
     keep = [c for c in pairs.columns if c not in ("src_packed", "tgt_packed", "src_axis", "tgt_axis", "src_pz", "tgt_pz")]
-    added = [*_OUT, _FLOW] if with_flow else _OUT
+    if proof:
+        keep = [*keep, *payload]
+    added = [*_OUT, *[_FLOW] * with_flow, *[_PRICES] * proof]
     schema = T.StructType([pairs.schema[c] for c in keep] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +227,20 @@ def event_distance(
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             events = [unpack(col[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, 12)) for c in payload[:2]]
             extra = [col[c].to_numpy(zero_copy_only=False) for c in payload[2:]]
-            value, which, turn, flow = best_orientation(*events, radius, kind, *extra, steps=steps)
+            value, which, turn, flow, *prices = best_orientation(*events, radius, kind, *extra, steps=steps, proof=proof)
             arrays = [col[c] for c in keep] + [pa.array(value), pa.array(which, pa.int64()), pa.array(turn)]
             names = [*keep, "distance", "orientation", "rotation"]
             if with_flow:
                 ends = pa.array(np.arange(0, 16 * batch.num_rows + 1, 16), pa.int32())
                 arrays.append(pa.ListArray.from_arrays(ends, pa.array(flow.reshape(-1))))
                 names.append("flow")
+            for p in prices:
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, 10), pa.int32()), pa.array(p.reshape(-1)))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, p.shape[0] * p.shape[1] + 1, p.shape[1]), pa.int32()), inner))
+                names.append("prices")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return pairs.select(*keep, *payload).mapInArrow(run, schema)
+    return pairs.select(*dict.fromkeys([*keep, *payload])).mapInArrow(run, schema)
 
 
 def attach(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

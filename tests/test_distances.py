@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagshift.operators import emd as E
 from tagshift.operators import neighbours as NN
+from tagshift.operators import proofs as PR
 from tagshift.operators import transport as T
 from tagshift.operators.pairs import gap_moments
 from tagshift.sources import fixtures as fx
@@ -92,6 +93,31 @@ def test_radius_change():
         assert FULL * base / radius + (radius - FULL) * gap / radius == pytest.approx(E.transport_cost(a, b, radius)[0])
 
 
+def test_prices_prove_and_disprove():
+    """Prices of a cheapest flow add up to its cost; those of another one do not."""
+    a, b = random_events(200, 7), random_events(200, 8)
+    value, flow, prices = E.transport_cost(a, b, FULL, proof=True)
+    diff = a[0].sum(1) - b[0].sum(1)
+    worth = (np.hstack([a[0], np.maximum(-diff, 0)[:, None], b[0], np.maximum(diff, 0)[:, None]]) * prices).sum(1)
+    assert worth == pytest.approx(value)
+
+
+@pytest.mark.parametrize("kind", ["nominal", "thrust"])
+def test_proofs_see_wrong_distances(cr, monkeypatch, kind):
+    t, s = cr.where("tag = '4b'").limit(6), cr.where("tag = '3b'").limit(6)
+    pairs = t.select(F.col("event_id").alias("tgt_id")).crossJoin(s.select(F.col("event_id").alias("src_id")))
+    pairs = E.attach(pairs, cr, cr)
+    good = PR.proven(pairs, kind).collect()
+    assert len(good) == 36 and all(r.flow_holds and r.nothing_cheaper for r in good)
+    true = PR.event_distance
+    monkeypatch.setattr(PR, "event_distance", lambda *a, **k: true(*a, **k).withColumn("distance", F.col("distance") + 0.01))
+    assert not any(r.flow_holds or r.nothing_cheaper for r in PR.proven(pairs, kind).collect())
+    # a flow that is none, and prices above the costs
+    monkeypatch.setattr(PR, "event_distance", lambda *a, **k: true(*a, **k).withColumn("flow", F.transform("flow", lambda x: x * 1.01)).withColumn(
+        "prices", F.transform("prices", lambda y: F.transform(y, lambda x: x + 0.01))))
+    assert not any(r.flow_holds or r.nothing_cheaper for r in PR.proven(pairs, kind).collect())
+
+
 @pytest.fixture(scope="module")
 def cr(spark, sf_dir):
     e = E.with_alignment(fx.events(spark, sf_dir).where("region = 'CR'")).select("event_id", "tag", "sT", "packed", "axis", "pz")
