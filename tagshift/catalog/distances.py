@@ -307,7 +307,7 @@ query("h06_best_flow")(_distance_query("thrust", with_flow=True))
 
 def signed_sides(rows):
     """4b and 3b CR events of ``rows`` (from ``aligned``) with the signature that bounds their distances."""
-    cr = rows.where("region = 'CR'").select("tag", F.col("event_id").alias("id"), F.col("sT").alias("x"), E.signature(F.col("packed")).alias("signature"))
+    cr = rows.where("region = 'CR'").select("tag", F.col("event_id").alias("id"), F.col("sT").alias("x"), E.aligned_signature(F.col("packed"), F.col("axis"), F.col("pz")).alias("signature"))
     return cr.where("tag = '4b'"), cr.where("tag = '3b'")
 
 

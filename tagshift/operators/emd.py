@@ -53,9 +53,36 @@ def signature(packed_jets: Column, radius: float = BASE_RADIUS) -> Column:
     far = min(0.4, 2.5 / radius)
     out = lambda x: F.least(F.abs(x) / radius, F.lit(far))
     by_eta = [lambda x: F.lit(1.0), lambda x: 1 - out(x), lambda x: 1 - far + out(x), lambda x: 1 - F.abs(out(x) - far / 2), lambda x: 1 - far / 2 + F.abs(out(x) - far / 2)]
-    steepness = [max(1.0, k * radius) for k in (1, 2, 3)]
-    waves = [F.hypot(total(part(2, lambda x, k=k: F.cos(k * x))), total(part(2, lambda x, k=k: F.sin(k * x)))) / s for k, s in zip((1, 2, 3), steepness)]
-    return F.array(*[total(part(1, f)) for f in by_eta], *waves)
+
+    def wave(k: int) -> Column:
+        # a second parameter of a function of elements would be their index
+        across, up = total(part(2, lambda x: F.cos(k * x))), total(part(2, lambda x: F.sin(k * x)))
+        return F.hypot(across, up) / max(1.0, k * radius)
+
+    return F.array(*[total(part(1, f)) for f in by_eta], *[wave(k) for k in (1, 2, 3)])
+
+
+#: places (eta, phi from the thrust axis) from which the aligned signature measures
+_POSTS = [(eta, phi) for eta in (-2.5, -1.25, 0.0, 1.25, 2.5) for phi in (0.0, math.pi / 4, math.pi / 2)]
+
+
+def aligned_signature(packed_jets: Column, axis: Column, pz: Column, radius: float = BASE_RADIUS) -> Column:
+    """``signature`` and further numbers that only hold for the distance of kind "thrust".
+
+    That distance turns events onto their thrust axes, by half turns and flips, and to one side in eta. Folded
+    by the same moves, places come no further apart, so how far pt lies from a few posts bounds the distance too. An event
+    of no longitudinal sum is not turned to a side; its further numbers are null.
+    """
+    side = F.when(pz > 0, 1.0).when(pz < 0, -1.0)
+    places = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(
+        F.element_at(packed_jets, i).alias("pt"), (F.element_at(packed_jets, i + 4) * side).alias("eta"),
+        F.abs(F.pmod(F.element_at(packed_jets, i + 8) - axis + math.pi / 2, F.lit(math.pi)) - math.pi / 2).alias("phi")))
+    total = lambda f: F.aggregate(places, F.lit(0.0), lambda a, x: a + x["pt"] * f(x))
+    posts = F.array(*[F.struct(F.lit(e).alias("eta"), F.lit(p).alias("phi")) for e, p in _POSTS])
+    # the least of a null and a number would be the number
+    away = lambda x, post: F.when(side.isNotNull(), F.least(F.hypot(x["eta"] - post["eta"], x["phi"] - post["phi"]) / radius, F.lit(0.85)))
+    near = F.flatten(F.transform(posts, lambda post: F.array(total(lambda x: 1 - away(x, post)), total(lambda x: 0.15 + away(x, post)))))
+    return F.concat(signature(packed_jets, radius), near)
 
 
 def unpack(rows: np.ndarray) -> Event:

@@ -184,19 +184,19 @@ def knn_by_bounds(
 ) -> DataFrame:
     """Exact k nearest under ``measure``; inputs are (id, x, signature), x giving the band.
 
-    No number of two signatures may differ by more than the distance; ``widen`` turns the largest difference and the gap in x into
-    a bound of a distance derived from it, which is then the one that ``measure`` gives. Two rounds: the 2 k sources with the least bounds
+    No number of two signatures may differ by more than the distance (a null tells nothing); ``widen`` turns the largest difference and the gap in x into
+    a bound of a distance derived from it, which is then the one that ``measure`` gives. Two rounds: the 4 k sources with the least bounds
     among those next in order give each target a reach, within which its k nearest lie; then
-    the other sources whose bound is within reach are measured. What is measured depends on how many events lie that near, not on how many there are.
+    the other sources whose bound is within reach are measured.
     """
     tgt, src = banded(targets, sources, steps)
     with_sig = lambda df, side, p: df.join(side.select(F.col("id").alias(f"{p}_id"), F.col("signature").alias(f"{p}_sig")), f"{p}_id")
     tgt, src = materialize(with_sig(tgt, targets, "tgt"), "targets"), materialize(with_sig(src, sources, "src"), "sources")
     cols = ["tgt_id", "src_id", "src_rank", "centre", "distance"]
     plain = lambda pairs: pairs.drop("src_sig", "tgt_sig", "reach")
-    beside = ring(tgt, src, 0, first_width or max(2 * k, 16)).withColumn("bound", _bound(widen))
+    beside = ring(tgt, src, 0, first_width or max(8 * k, 32)).withColumn("bound", _bound(widen))
     least = W.partitionBy("tgt_id").orderBy("bound", "src_rank")
-    chosen = beside.withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") <= 2 * k).drop("_nth", "bound")
+    chosen = beside.withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") <= 4 * k).drop("_nth", "bound")
     first = materialize(measure(plain(chosen)).select(*cols), "first")
     kth = nearest(first, k).groupBy("tgt_id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("_n"))
     # a target that found fewer has no other source in its band

@@ -164,19 +164,40 @@ def test_neighbours_by_distance_equal_brute_force(cr, k):
         assert np.sort(part.distance.to_numpy()) == pytest.approx(want[tgt])
 
 
-@pytest.mark.parametrize("radius", [FULL, 2.75])
-def test_signatures_bound_all_orientations(cr, radius):
-    rows = cr.select("packed", E.signature(F.col("packed"), radius).alias("s")).limit(120).toPandas()
+def unit_jets():
+    return F.concat(F.array_repeat(F.lit(1.0), 4), F.slice("packed", 5, 8))
+
+
+@pytest.mark.parametrize("radius,unit", [(FULL, False), (2.75, False), (FULL, True)])
+def test_signatures_bound_all_orientations(cr, radius, unit):
+    rows = cr.withColumn("packed", unit_jets() if unit else F.col("packed")).select("packed", E.signature(F.col("packed"), radius).alias("s")).limit(120).toPandas()
+    pt, _, phi = E.unpack(np.vstack(rows.packed))
+    assert np.vstack(rows.s)[:, 6] == pytest.approx(np.abs((pt * np.exp(2j * phi)).sum(1)) / (2 * radius))
     events, marks = np.vstack(rows.packed), np.vstack(rows.s)
     rng = np.random.default_rng(8)
     i, j = rng.integers(0, len(rows), (2, 400))
     least = E.best_orientation(E.unpack(events[i]), E.unpack(events[j]), radius, "full")[0]
     bound = np.abs(marks[i] - marks[j]).max(axis=1)
-    assert (bound <= least + 1e-9).all() and (bound > np.abs(marks[i, 0] - marks[j, 0]) + 1).mean() > 0.3
+    assert (bound <= least + 1e-9).all() and (unit or (bound > np.abs(marks[i, 0] - marks[j, 0]) + 1).mean() > 0.3)
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_aligned_signatures_bound_the_aligned_distance(cr, unit):
+    mark = E.aligned_signature(F.col("packed"), F.col("axis"), F.col("pz"))
+    rows = cr.withColumn("packed", unit_jets() if unit else F.col("packed")).select("packed", "axis", "pz", mark.alias("s")).limit(120).toPandas()
+    events, marks, axis, pz = np.vstack(rows.packed), np.vstack(rows.s), rows.axis.to_numpy(), rows.pz.to_numpy()
+    i, j = np.random.default_rng(8).integers(0, len(rows), (2, 600))
+    least = E.best_orientation(E.unpack(events[i]), E.unpack(events[j]), FULL, "thrust", axis[i], axis[j], pz[i], pz[j])[0]
+    bound = np.nanmax(np.abs(marks[i] - marks[j]).astype(float), axis=1)
+    assert (bound <= least + 1e-9).all()
+    apart = least > 0
+    assert np.median(bound[apart] / least[apart]) > 0.5
+    level = cr.limit(1).select(E.aligned_signature(F.col("packed"), F.col("axis"), F.lit(0.0)).alias("s")).first().s
+    assert all(x is not None for x in level[:8]) and all(x is None for x in level[8:])
 
 
 def test_neighbours_by_bounds_equal_the_search_by_gap(cr):
-    side = lambda tag: cr.where(F.col("tag") == tag).select(F.col("event_id").alias("id"), F.col("sT").alias("x"), E.signature(F.col("packed")).alias("signature"))
+    side = lambda tag: cr.where(F.col("tag") == tag).select(F.col("event_id").alias("id"), F.col("sT").alias("x"), E.aligned_signature(F.col("packed"), F.col("axis"), F.col("pz")).alias("signature"))
     seen = []
 
     def measure(pairs):
