@@ -124,10 +124,16 @@ def quality_rules(
     return df.select(*[F.col("_row").getField(c).alias(c) for c in kept_columns], *made)
 
 
+# SQL has no look-around: every character that is no part of a word stands twice in l2, one for each phrase beside it
+_PART = r"[\p{L}\p{M}\p{N}_]"
+_APART = _PART.replace("[", "[^")
+_FRAME = "(?i)(^|" + _APART + ")" + BOILERPLATE.removeprefix("(?i)").replace(" ", "  ") + "(" + _APART + "|$)"
+#: group of the character behind the phrase
+_BEHIND = 2 + BOILERPLATE.removeprefix("(?i)").count("(")
 _LINE = {
     "visible": "length(translate(l, {spaces}, ''))",
-    "letters": r"length(l) - length(regexp_replace(l, '\p{L}', '', 'g'))",
-    "capitals": r"length(l) - length(regexp_replace(l, '\p{Lu}', '', 'g'))",
+    "letters": r"length(l) - length(regexp_replace(l, '[\p{L}\p{M}]', '', 'g'))",
+    "capitals": r"length(l) - length(regexp_replace(l, '\p{Lu}[\p{Lu}\p{M}]*', '', 'g'))",
     "digits": r"length(l) - length(regexp_replace(l, '\p{N}', '', 'g'))",
     "separators": "length(l) - length(translate(l, '|>»·', ''))",
     "words": r"len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))",
@@ -140,12 +146,15 @@ g AS (SELECT rid, i, list_aggregate(ws[i:i+4], 'string_agg', ' ') AS g
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5) x),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) x WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest(range(5)) AS k) ks GROUP BY rid),
-l AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
-m AS (SELECT rid, l, {', '.join(f'{e.format(spaces=_SPACES_SQL) if n == "visible" else e} AS {n}' for n, e in _LINE.items())} FROM l),
+l0 AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
+l AS (SELECT rid, l, regexp_replace(l, '({_APART})', '\1\1', 'g') AS l2 FROM l0),
+m0 AS (SELECT rid, l, {', '.join(f'{e.format(spaces=_SPACES_SQL) if n == "visible" else e} AS {n}' for n, e in _LINE.items())},
+        regexp_matches(l2, '{_FRAME}') AS stock, regexp_replace(l2, '{_FRAME}', '\1\{_BEHIND}', 'g') AS other FROM l),
+m AS (SELECT *, length(other) - length(regexp_replace(other, '{_PART}', '', 'g')) + length(translate(regexp_replace(other, '{_PART}', '', 'g'), {_SPACES_SQL}, '')) // 2 AS rest FROM m0),
 f AS (SELECT rid, l, words, words > 0 AND (visible - letters - digits > {MAX_MARKS} * visible
         OR (words >= 4 AND capitals >= 0.75 * letters AND letters > 0)
         OR (separators >= 3 AND words <= 4 * separators)
-        OR regexp_matches(l, '{BOILERPLATE}')) AS bad FROM m),
+        OR (stock AND (words <= {STOCK_WORDS} OR 2 * rest <= visible))) AS bad FROM m),
 agg AS (SELECT rid, count(*) FILTER (words > 0) - count(DISTINCT CASE WHEN words > 0 THEN l END) AS n_dup_lines,
         coalesce(sum(words) FILTER (bad), 0) AS lost FROM f GROUP BY rid),
 o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(t, {_SPACES_SQL}, '')) AS BIGINT) AS word_chars,
