@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from tagshift.llm.base import documents, query
 from tagshift.llm.tokens import word_ids, words
 
 TOKENIZER, CAPACITY, END_MARK, MAX_PIECE, CHUNK = "word_bpe_49k.json", 2048, 1, 512, 1024
+#: characters of text whose words are learnt together
+GROUP = 2_000_000
 _SPLIT_BITS = 36
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -81,14 +84,29 @@ def pack(
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path).__getitem__
+        known = word_ids(path)
+        ids_of = known.__getitem__
         end, first = end_mark.to_bytes(4, "little"), TaskContext.get().partitionId() << _SPLIT_BITS
         done, rest, opened = [], [], 0
         columns = list(zip(*[iter(SCHEMA.replace(",", "").split())] * 2))
         schema = pa.schema([(n, pa.int64()) for n, _ in columns] + [("ids", pa.binary())] * with_ids)
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, p)) for p in pieces], schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), schema)], schema=schema)
+
+        def split(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+            """(document, its words), after the words of the next ``GROUP`` characters were learnt together."""
+            held, size = [], 0
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = body.as_py()
+                held.append((doc, words(body)))
+                size += len(body or "")
+                if size >= GROUP:
+                    known.learn(set(chain.from_iterable(w for _, w in held)))
+                    yield from held
+                    held, size = [], 0
+            known.learn(set(chain.from_iterable(w for _, w in held)))
+            yield from held
 
         def settle() -> None:
             nonlocal opened
@@ -103,8 +121,8 @@ def pack(
             rest.clear()
 
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(ids_of, words(body.as_py()))) + end
+            for doc, own in split(batch):
+                ids = b"".join(map(ids_of, own)) + end
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = capacity if n - start >= capacity else min(max_piece, n - start)

@@ -31,6 +31,8 @@ def load(path: str):
 
 def pre_tokens(word: str) -> list[str] | None:
     """The pre-tokens of a word, or None where only the library should cut it."""
+    if word.isascii() and word.isalpha():
+        return [word.lower()]
     if "<|" in word or not _PLAIN.fullmatch(word):
         return None
     return _PIECES.findall(word.lower())
@@ -65,23 +67,60 @@ def worker_store(name: str, make):
     return held[name]
 
 
-def word_ids(path: str) -> Kept:
-    """Word -> its ids as little-endian unsigned 32-bit numbers."""
+#: ends a token that ends a word
+END_OF_WORD = "</w>"
+#: new pre-tokens that are encoded in one call
+JOINED = 20_000
 
-    def make() -> Kept:
+
+class WordIds(Kept):
+    """Word -> its ids as little-endian unsigned 32-bit numbers; ``learn`` finds those of many words at once."""
+
+    def __init__(self, path: str, limit: int = MAX_KEPT):
         import numpy as np
 
-        library = load(path)
+        super().__init__(self.one, limit)
+        self.library = library = load(path)
+        self.pieces = Kept(self.encode, limit)
+        vocab = library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
 
-        def encode(text: str) -> bytes:
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        import numpy as np
 
-        pieces = Kept(encode)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        def ask(word: str) -> bytes:
-            parts = pre_tokens(word)
-            return encode(word) if parts is None else b"".join(map(pieces.__getitem__, parts))
+    def one(self, word: str) -> bytes:
+        parts = pre_tokens(word)
+        return self.encode(word) if parts is None else b"".join(map(self.pieces.__getitem__, parts))
 
-        return Kept(ask)
+    def learn(self, words: set[str]) -> None:
+        """Asks the library for what is new in ``words``: pre-tokens stand apart in one text, each ends with the end of a word."""
+        import numpy as np
 
-    return worker_store(f"ids:{path}", make)
+        new = words.difference(self)
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = words
+        cut = {w: pre_tokens(w) for w in new}
+        apart = {p for parts in cut.values() if parts for p in parts}
+        if len(self.pieces) + len(apart) > self.pieces.limit:
+            self.pieces.clear()
+        asked = list(apart.difference(self.pieces))
+        for i in range(0, len(asked), JOINED):
+            some = asked[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            # otherwise each is asked for by itself
+            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        piece = self.pieces.__getitem__
+        self.update({
+            w: self.encode(w) if parts is None else piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts)) for w, parts in cut.items()
+        })
+
+
+def word_ids(path: str) -> WordIds:
+    return worker_store(f"ids:{path}", lambda: WordIds(path))
