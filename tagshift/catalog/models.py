@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tagshift.catalog.base import B, R, big, define, query, r, sql
@@ -16,6 +17,7 @@ from tagshift.operators.transport import monotone_coupling_whole
 from tagshift.plans import learning as L
 from tagshift.plans import models as M
 from tagshift.plans import report as RP
+from tagshift.plans import softmax as SX
 from tagshift.sources import fixtures as fx
 from tagshift.sources.store import materialize, new_path
 
@@ -355,3 +357,43 @@ def validation_classifier(spark, d):
     f = features(spark, d)
     fit, rest = _parts(RP.validation_set(f, M.benchmark(f)).withColumn("train_weight", F.col("weight")))
     return _quality(L.score(L.train(fit, "forest"), rest))
+
+
+# ---- four classes on signed weights ----
+
+_CLASSES = ("d4", "d3", "t4", "t3")
+define("classed", ["events4"], "SELECT event_id, signed_weight AS w, (CASE WHEN event_id % 4 = 0 THEN 't' ELSE 'd' END) || (CASE WHEN tag = '4b' THEN '4' ELSE '3' END) AS class FROM events4")
+
+
+def classed_features(spark, d):
+    """Events of data (d) and of a simulated sample (t), tagged 4 and 3, with an array of features and weights of either sign."""
+    e = L.with_features(fx.events(spark, d)).select("event_id", "tag", F.col("signed_weight").alias("train_weight"), vector_to_array("features").alias("features"))
+    name = F.concat(F.when(F.col("event_id") % 4 == 0, "t").otherwise("d"), F.when(F.col("tag") == "4b", "4").otherwise("3"))
+    number = F.array_position(F.array(*[F.lit(c) for c in _CLASSES]), F.col("class")) - 1
+    return materialize(e.withColumn("class", name).withColumn("label", number).drop("tag"), "classed")
+
+
+@query("k01_four_classes", sql("classed", f"SELECT class, {B('count(*)')} AS n, {R('sum(w)', 4)} AS sumw, true AS share_found FROM classed GROUP BY class"))
+def four_classes(spark, d):
+    """At the least loss the weighted probabilities of a class add up to its weight, also where weights are negative."""
+    f = classed_features(spark, d)
+    (model,) = SX.train(f, len(_CLASSES), [1e-3])
+    p = SX.with_probabilities(f, model).select("class", "train_weight", F.posexplode("probabilities").alias("k", "p"))
+    names = F.array(*[F.lit(c) for c in _CLASSES])
+    found = p.groupBy(F.get(names, F.col("k")).alias("class")).agg(F.sum(F.col("train_weight") * F.col("p")).alias("found"), F.sum("train_weight").alias("all"))
+    given = f.groupBy("class").agg(big(F.count(F.lit(1))).alias("n"), F.sum("train_weight").alias("sumw"))
+    return given.join(found, "class").select("class", "n", r("sumw", 4).alias("sumw"), (F.abs(F.col("found") - F.col("sumw")) <= 1e-4 * F.col("all")).alias("share_found"))
+
+
+_HOLD = [0.0, 0.01, 0.1, 1.0]
+
+
+@query("k06_sweep_in_one_scan", "SELECT * FROM (VALUES " + ", ".join(f"({x!r}::DOUBLE, true, true)" for x in _HOLD) + ") t(l2, better_than_none, loss_rises_with_l2)")
+def sweep_in_one_scan(spark, d):
+    """All settings are trained in the same scans; holding coefficients down costs loss, but less than having none."""
+    f = classed_features(spark, d).withColumn("train_weight", F.abs("train_weight"))
+    models = SX.train(f, len(_CLASSES), _HOLD, rounds=25)
+    none = SX.train(f, len(_CLASSES), [1e6], rounds=25)[0].loss
+    losses = [m.loss for m in models]
+    rows = [(h, bool(x <= none + 1e-6), bool(k == 0 or x >= losses[k - 1] - 1e-4)) for k, (h, x) in enumerate(zip(_HOLD, losses))]
+    return spark.createDataFrame(rows, "l2 double, better_than_none boolean, loss_rises_with_l2 boolean")

@@ -1,13 +1,17 @@
 """Classifiers find what there is to find, on rows they were not fitted on."""
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tagshift.catalog import QUERIES
 from tagshift.operators import split as SP
 from tagshift.operators.metrics import auc
 from tagshift.plans import learning as L
+from tagshift.plans import softmax as SX
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +50,61 @@ def test_stored_model_scores_alike(spark, sf_dir):
 def test_validation_uses_other_rows(spark, sf_dir):
     got = QUERIES["i15_validation_classifier"](spark, sf_dir).first()
     assert got["region"] == "SR" and 0 < got["n"] < 200
+
+
+def test_gradient_is_that_of_the_loss():
+    """Against differences, with weights of either sign."""
+    rng = np.random.default_rng(4)
+    x, y, w = rng.normal(size=(50, 3)), rng.integers(0, 4, 50), rng.normal(1, 1, 50)
+    at, h = rng.normal(size=(4, 4)), 1e-6
+    _, gradient = SX.loss_and_gradient(x, y, w, at)
+    for i in np.ndindex(at.shape):
+        up, down = at.copy(), at.copy()
+        up[i] += h
+        down[i] -= h
+        assert (SX.loss_and_gradient(x, y, w, up)[0] - SX.loss_and_gradient(x, y, w, down)[0]) / (2 * h) == pytest.approx(gradient[i], abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def three_classes(spark):
+    x = [(F.rand(20 + i) - 0.5).alias(f"x{i}") for i in range(3)]
+    rows = spark.range(4000, numPartitions=5).select(F.col("id").alias("event_id"), *x)
+    label = F.when(F.col("x0") + 0.3 * F.rand(7) > 0.2, 0).when(F.col("x1") + 0.3 * F.rand(8) > 0.1, 1).otherwise(2)
+    return rows.select("event_id", F.array("x0", 100 * F.col("x1"), "x2").alias("features"), label.alias("label"), (0.5 + F.col("event_id") % 3).alias("train_weight")).cache()
+
+
+def test_optimum_is_that_of_spark_ml(three_classes):
+    (model,) = SX.train(three_classes, 3, [0.01])
+    scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True)
+    f = three_classes.withColumn("v", array_to_vector("features"))
+    f = scaled.fit(f).transform(f)
+    ml = LogisticRegression(featuresCol="s", weightCol="train_weight", regParam=0.01, standardization=False, maxIter=200, tol=1e-10, family="multinomial").fit(f)
+    both = SX.with_probabilities(ml.transform(f).withColumn("q", vector_to_array("probability")), model).select(
+        F.array_max(F.zip_with("q", "probabilities", lambda a, b: F.abs(a - b))).alias("off"), F.abs(F.aggregate("probabilities", F.lit(-1.0), lambda a, b: a + b)).alias("one"))
+    worst = both.agg(F.max("off"), F.max("one")).first()
+    assert worst[0] < 1e-3 and worst[1] < 1e-12
+
+
+def test_settings_share_their_scans(three_classes, monkeypatch):
+    scans = []
+    plain = SX._evaluate
+    monkeypatch.setattr(SX, "_evaluate", lambda *a: scans.append(len(a[1])) or plain(*a))
+    models = SX.train(three_classes, 3, [0.0, 0.1, 10.0], rounds=15)
+    assert len(scans) == max(m.evaluations for m in models) and scans[0] == 3
+    alone = SX.train(three_classes, 3, [0.1], rounds=15)[0]
+    assert models[1].weights == pytest.approx(alone.weights, abs=1e-6)
+    assert models[0].loss < models[1].loss < models[2].loss < np.log(3)
+
+
+def test_signed_weights_and_odd_tables(spark, three_classes):
+    signed = three_classes.withColumn("train_weight", F.when(F.col("event_id") % 9 == 0, -1.0).otherwise(1.0))
+    (model,) = SX.train(signed, 3, [1e-3])
+    p = SX.with_probabilities(signed, model)
+    got = p.agg(*[F.sum(F.col("train_weight") * (F.get("probabilities", F.lit(k)) - (F.col("label") == k).cast("int"))) / F.sum("train_weight") for k in range(3)]).first()
+    assert max(abs(x) for x in got) < 1e-4
+    same = three_classes.withColumn("features", F.array(F.lit(2.0), F.lit(0.0))).limit(30)
+    (flat,) = SX.train(same, 3, [0.0])
+    assert np.isfinite(flat.weights).all()
+    for bad in (three_classes.where("event_id < 0"), three_classes.withColumn("train_weight", F.lit(-1.0))):
+        with pytest.raises(ValueError, match="more than 0"):
+            SX.train(bad, 3, [0.0])
