@@ -9,6 +9,7 @@ from tagshift.catalog import (  # noqa: F401
     models,
     rows,
     storage,
+    streams,
 )
 from tagshift.catalog.base import QUERIES, SQL
 
