@@ -20,6 +20,7 @@ MAX_KEPT = 700_000
 _LETTERS = "a-zªµºß-öø-ÿĀ-ŉŊ-ſ"
 _PLAIN = re.compile("[!-~¡-¨«-±´¶-¸»¿-ÖØ-öø-ÿ×÷]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_ENDINGS = frozenset(".,;:!?)")
 
 
 def load(path: str):
@@ -31,8 +32,11 @@ def load(path: str):
 
 def pre_tokens(word: str) -> list[str] | None:
     """The pre-tokens of a word, or None where only the library should cut it."""
-    if word.isascii() and word.isalpha():
-        return [word.lower()]
+    if word.isascii():
+        if word.isalpha():
+            return [word.lower()]
+        if word[:-1].isalpha() and word[-1] in _ENDINGS:
+            return [word[:-1].lower(), word[-1]]
     if "<|" in word or not _PLAIN.fullmatch(word):
         return None
     return _PIECES.findall(word.lower())
@@ -81,7 +85,8 @@ class WordIds(Kept):
 
         super().__init__(self.one, limit)
         self.library = library = load(path)
-        self.pieces = Kept(self.encode, limit)
+        # words are cheaply put together again, pre-tokens are what the library is asked for
+        self.pieces = Kept(self.encode, 2 * limit)
         vocab = library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
