@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tagshift.catalog.base import B, R, big, define, query, r, sql
+from tagshift.catalog.base import CTES, B, R, big, define, query, r, sql
 from tagshift.catalog.distances import _DIGITS, BLOCK, neighbours_by_distance
-from tagshift.catalog.histograms import _cells
-from tagshift.constants import HISTOGRAM_VARIABLES, METHOD_IDS, PI_4B_LARGE
+from tagshift.catalog.histograms import _cells, tidy
+from tagshift.constants import HISTOGRAM_VARIABLES, METHOD_IDS, PI_4B_LARGE, SIGNAL_SCALE
 from tagshift.operators import hist as H
 from tagshift.operators import metrics as X
 from tagshift.operators import norms as N
@@ -174,6 +176,27 @@ def model_against_truth(spark, d):
     return _against_truth(e, M.long_weights(all_models(e)))
 
 
+# the views of the events once more, for the signal sample
+_CHAIN = ["vec", "events4", "dij", "quad", "pair_sel", "near", "wide"]
+define("signal_ev", ["ev"], "SELECT event_id, " + ", ".join(f"1.25 * pt{i} AS pt{i}, 0.6 * eta{i} AS eta{i}, phi{i}, m{i}" for i in range(4)) + " FROM ev")
+for _name in _CHAIN:
+    _renamed = lambda x: re.sub(r"\b(FROM|JOIN) (ev|" + "|".join(_CHAIN) + r")\b", r"\1 signal_\2", x)
+    define(f"signal_{_name}", [f"signal_{n}" for n in CTES[_name][0]], _renamed(CTES[_name][1]))
+define("base_samples", ["wide", "signal_wide"], f"""SELECT * EXCLUDE (weight), weight, 'h4b' AS sample FROM wide WHERE {FOUR_TAG} AND event_id % 3 = 0
+    UNION ALL SELECT * EXCLUDE (weight), weight * {PI_4B_LARGE}, 'h4b_large' FROM wide WHERE {FOUR_TAG}
+    UNION ALL SELECT * EXCLUDE (weight), weight / 100 * {SIGNAL_SCALE}, 'h_sig' FROM signal_wide""")
+
+
+@query("i14_base_histograms", sql("base_samples", f"""SELECT region, sample, variable, {B('bin')} AS bin, {B('count(*)')} AS entries, {R('sum(w)', 4)} AS sumw, {R('sum(w * w)', 4)} AS sumw2
+    FROM ({_cells('base_samples', "region IN ('CR', 'SR')", 'region, sample')}) c GROUP BY region, sample, variable, bin"""))
+def base_histograms(spark, d):
+    """What models are compared with: a small and a large 4b sample, and the signal."""
+    truth = materialize(fx.wide_events(spark, d).where(FOUR_TAG), "truth")
+    signal = fx.widened(fx.signal_events(spark, d))
+    h = RP.base_histograms({"h4b": (truth.where("event_id % 3 = 0"), 1.0), "h4b_large": (truth, PI_4B_LARGE), "h_sig": (signal, SIGNAL_SCALE)})
+    return tidy(h, ("region", "sample"))
+
+
 @query("d19_weight_diagnostics", sql("m_ot5", f"""SELECT region, {R('sum(mw)', 4)} AS total, {R('max(mw)', 5)} AS largest, {R('avg(CASE WHEN mw <> 0 THEN 1.0 ELSE 0 END)', 6)} AS filled,
     {B('count(DISTINCT round(mw, 5))')} AS different FROM m_ot5 GROUP BY region"""))
 def weight_diagnostics(spark, d):
@@ -359,6 +382,21 @@ def validation_classifier(spark, d):
     return _quality(L.score(L.train(fit, "forest"), rest))
 
 
+@query("i15_validation_by_model", sql("all_weights", f"SELECT method, {B('count(*)')} AS n, {R('sum(mw)', 3)} AS sumw, true AS judged FROM all_weights WHERE region = 'SR' GROUP BY method"))
+def validation_by_model(spark, d):
+    """The validation classifier for every model: SR events weighted by it, told from 4b by a classifier judged on other rows."""
+    f = features(spark, d)
+    out = None
+    for name, model in all_models(f).items():
+        model = materialize(model, "model")
+        fit, rest = _parts(RP.validation_set(f, model).withColumn("train_weight", F.col("weight")))
+        quality = _quality(L.score(L.train(fit, "logistic"), rest))
+        n = model.where("region = 'SR'").agg(big(F.count(F.lit(1))).alias("n"), r(F.sum("model_weight"), 3).alias("sumw"))
+        row = n.select(F.lit(name).alias("method"), "n", "sumw", quality.select(F.col("auc").between(0.0, 1.0) & (F.col("n") > 0)).scalar().alias("judged"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- four classes on signed weights ----
 
 _CLASSES = ("d4", "d3", "t4", "t3")

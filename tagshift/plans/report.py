@@ -30,6 +30,15 @@ def truth_histograms(
     return H.fill(rows.withColumn("sample", F.lit("truth")), variables, ["region", "sample"], scale=scale)
 
 
+def base_histograms(samples: dict[str, tuple[DataFrame, float]], regions: tuple[str, ...] = ("CR", "SR"), variables: dict | None = None) -> DataFrame:
+    """Histograms of several samples, each at its own scale, in one shuffle: (region, sample, variable, bin, ...)."""
+    out: DataFrame | None = None
+    for name, (events, scale) in samples.items():
+        part = events.where(F.col("region").isin(*regions)).withColumn("weight", F.col("weight") * F.lit(float(scale))).withColumn("sample", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return H.fill(out, variables or HISTOGRAM_VARIABLES, ["region", "sample"])
+
+
 def model_against_truth(models: DataFrame, truth: DataFrame, variables: dict | None = None) -> DataFrame:
     """Truth over model for every model, region, variable and inner bin, filled on either side or not."""
     variables = variables or HISTOGRAM_VARIABLES

@@ -123,7 +123,12 @@ def _derived(rows: DataFrame) -> DataFrame:
 
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` plus the close and other dijet distance, mean |eta| and the two-Higgs mass."""
-    df = with_pairing(J.with_dijets(events(spark, sf_dir)), SELECTION)
+    return widened(events(spark, sf_dir))
+
+
+def widened(rows: DataFrame) -> DataFrame:
+    """Events of any sample with the variables of the histograms."""
+    df = with_pairing(J.with_dijets(rows), SELECTION)
     # rounded, so that equal distances are equal numbers and bin edges are hit or missed for certain
     df = df.select("*", *[F.round(f"dR{p}", 9).alias(f"_dr{p}") for p in J.PAIRS])
     df = df.withColumn("_near", F.least(*[f"_dr{p}" for p in J.PAIRS]))
