@@ -18,13 +18,45 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("long")
 
 
+#: bins of one pass over the keys, and rows that are few enough to be put in order
+BINS, FEW = 4096, 10_000
+
+
+def least_n(df: DataFrame, key: str, tie: str, n: int) -> DataFrame:
+    """The n rows with the least ``key``, a long; among equal keys those with the least ``tie``.
+
+    No task and no driver gets the n rows: counts of keys in equal bins, at most ``BINS`` of them, tell which bin the cut falls into, and passes over that
+    bin's keys narrow it until it holds few rows or one key. Rows below it are filtered, those in it are ranked by an ordered scan.
+    """
+    if n <= 0:
+        return df.limit(0)
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    if ends.n <= n:
+        return df.where(F.col(key).isNotNull())
+    lo, hi, below, held = ends.lo, ends.hi, 0, ends.n
+    while held > FEW and lo < hi:
+        width = (hi - lo) // BINS + 1
+        # whole numbers only: a quotient of doubles could fall into the next bin
+        counts = df.where(F.col(key).between(lo, hi)).groupBy(F.expr(f"({key} - {lo}L) div {width}L").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for bin_, count in sorted((r["bin"], r["n"]) for r in counts):
+            if below + count >= n:
+                break
+            below += count
+        lo, hi, held = lo + bin_ * width, min(hi, lo + (bin_ + 1) * width - 1), count
+    at_cut = ordered_scan(df.where(F.col(key).between(lo, hi)).select(key, tie), [key, tie], rank="_rank").where(F.col("_rank") < n - below)
+    return df.where(F.col(key) < lo).unionByName(df.join(at_cut.select(key, tie), [key, tie], "left_semi"))
+
+
 def first_n(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy("event_id").limit(n)
+    """The n rows with the least event ids."""
+    keyed = df.withColumn("_key", F.col("event_id").cast("long"))
+    return least_n(keyed, "_key", "event_id", n).drop("_key")
 
 
 def random_n(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n distinct rows."""
-    return df.withColumn("_h", hash_key(F.col("event_id"), F.lit(seed))).orderBy("_h", "event_id").limit(n).drop("_h")
+    """Exactly n distinct rows, those whose hash is least."""
+    keyed = df.withColumn("_h", hash_key(F.col("event_id"), F.lit(seed))).withColumn("_key", hash_int(F.col("event_id"), F.lit(seed)))
+    return least_n(keyed, "_key", "_h", n).drop("_h", "_key")
 
 
 def draw_with_replacement(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagshift.operators.metrics import interpolated
 from tagshift.operators.ordered import ordered_scan
-from tagshift.operators.split import draw_with_replacement, exact_quantiles, hashed_split, quantile_buckets, random_n
+from tagshift.operators.split import draw_with_replacement, exact_quantiles, hashed_split, least_n, quantile_buckets, random_n
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,20 @@ def test_buckets_match_ntile(rows):
     assert got.where("n != bucket").count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 999, 1000, 20_000, 33_334, 59_999, 60_000, 70_000])
+def test_least_rows(spark, n):
+    """A third of the keys are equal, the others far apart."""
+    df = spark.range(60_000, numPartitions=7).select("id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.xxhash64("id") % 1_000_000_007).cast("long").alias("key"))
+    got = sorted((r.key, r.id) for r in least_n(df, "key", "id", n).collect())
+    assert got == sorted((r.key, r.id) for r in df.collect())[:n]
+
+
+def test_least_rows_pass_no_single_task(rows):
+    plan = least_n(rows.select("event_id", F.col("event_id").alias("key")), "key", "event_id", 700)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert least_n(rows.where("event_id < 0").withColumn("key", F.col("event_id")), "key", "event_id", 5).count() == 0
+
+
 def test_samples(rows):
     assert random_n(rows, 100, 1).select("event_id").distinct().count() == 100
     drawn = draw_with_replacement(rows, 5000, 1)
