@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagshift.llm import decontamination, line_dedup, ngram_join, packing, quality_knn, quality_rules, sharding, token_counts, toxicity, url_filter
-from tagshift.llm.tokens import load, word_ids, words
+from tagshift.llm.tokens import load, merger, pre_tokens, word_ids, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 CLASHING = "n_words long, kept boolean, score double, label int, mark string, rank long, shard string, leaks string, row string, clean_text string"
@@ -156,6 +156,19 @@ def test_packing(edge, none):
     assert (kept.ids.map(len) == 4 * kept.length).all()
 
 
+def test_merges_are_those_of_the_file():
+    """Every entry that is a pre-token, and strings of all plain characters, by the faster merges and by the file's library."""
+    library, fast = load(PATH), merger(PATH)
+    entries = {t.removesuffix("</w>") for t in library.get_vocab()}
+    pick, plain = random.Random(3), "".join(chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180)] if pre_tokens(chr(c)))
+    strings = {p for _ in range(20_000) for p in pre_tokens("".join(pick.choice(plain) for _ in range(pick.randint(1, 12)))) or []}
+    asked = sorted({t for t in entries if pre_tokens(t) == [t]} | strings)
+    assert len(asked) > 40_000
+    for text, answer in zip(asked, library.encode_batch(asked, add_special_tokens=False)):
+        assert fast.encode_ordinary(text + "\0") == answer.ids, text
+    assert merger(public_tokenizers.path("byte_bpe_50k.json")) is None
+
+
 def test_windows_rise_until_all_fit():
     at = packing.deal([60, 60, 60], 100)
     assert sorted(at.tolist()) == [0, 1, 2]
