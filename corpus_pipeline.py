@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is
 written as a table and read again as the next one's ``docs``. All stages but the last return the
 columns of ``documents``; where a stage shortens a text, ``n_chars`` follows it. Columns that the
-operators add never meet those of the documents, which travel as one struct.
+operators add never meet those of the documents, which travel as one struct, so any further column is carried whatever its name;
+``n_chars`` may be missing.
+
+Defined cases, stage by stage. A null or empty text, or one without a word, fails the quality rules; it loses nothing in line
+dedup, is linked with nothing among near duplicates, holds no benchmark item, and is one piece with the end mark only in packing. A null doc_id stays null
+and is a document like any other. A very long text is cleaned, searched and packed whole. Of rows repeated in full, or texts repeated
+under several ids, quality rules, decontamination and packing judge each by itself; line dedup deletes the later copies' lines if they
+are long enough; among near duplicates one row of a group stays, the one with the smallest id (null first). An empty table gives an empty table.
 """
 
 from __future__ import annotations
