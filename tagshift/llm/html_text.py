@@ -55,11 +55,11 @@ CLOSES = {
 STICKY_TAGS = frozenset(_WORDS("nav aside footer dialog menu search"))
 STICKY_ROLES = frozenset(_WORDS("navigation contentinfo complementary search alert alertdialog dialog status menu menubar toolbar tablist"))
 #: words of class and id
-STICKY = frozenset(_WORDS("comment comments commentlist commentary replies reply respond disqus discussion"))
+STICKY = frozenset(_WORDS("comment comments commentlist commentbox commentform commentsection replies reply respond disqus discussion"))
 SOFT = frozenset(_WORDS(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot adunit sponsor sponsored sponsors promo promos promotion banner "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup "
+    "nav navbar navigation sidenav topnav subnav mainnav menu menus menubar submenu breadcrumb breadcrumbs toc sidebar sidebars aside footer header masthead topbar toolbar "
+    "cookie cookies cookiebar cookiebanner consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup "
     "login register search searchbox searchform share sharing social related recommended recommendations popular trending widget widgets pagination pager form copyright"
 ))
 INLINE_SOFT = frozenset(_WORDS("ad ads advert advertisement adsbygoogle adslot sponsored promo"))
