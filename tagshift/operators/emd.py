@@ -274,9 +274,10 @@ def attach(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFram
     """Joins the per-event columns of both sides (from ``with_alignment``) to (src_id, tgt_id) pairs.
 
     Distances are much work for few bytes, so the shuffle on the target has a fixed number of
-    partitions, which adaptive execution does not merge by size.
+    partitions, which adaptive execution does not merge by size: at least two for each core.
     """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     side = lambda df, p: df.select(
         F.col("event_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("packed", "axis", "pz")]
     )
