@@ -415,7 +415,8 @@ def classed_features(spark, d):
 def four_classes(spark, d):
     """At the least loss the weighted probabilities of a class add up to its weight, also where weights are negative."""
     f = classed_features(spark, d)
-    (model,) = SX.train(f, len(_CLASSES), [1e-3])
+    # held down enough that few events with negative weights cannot pull a coefficient without end
+    (model,) = SX.train(f, len(_CLASSES), [0.1])
     p = SX.with_probabilities(f, model).select("class", "train_weight", F.posexplode("probabilities").alias("k", "p"))
     names = F.array(*[F.lit(c) for c in _CLASSES])
     found = p.groupBy(F.get(names, F.col("k")).alias("class")).agg(F.sum(F.col("train_weight") * F.col("p")).alias("found"), F.sum("train_weight").alias("all"))
