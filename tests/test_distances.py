@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagshift.catalog import distances as DS
 from tagshift.operators import emd as E
 from tagshift.operators import neighbours as NN
 from tagshift.operators import proofs as PR
@@ -219,6 +220,50 @@ def test_neighbours_by_bounds_equal_the_search_by_gap(cr):
     assert NN.knn_by_bounds(same.withColumn("id", -F.col("id")), same, 3, zero).count() == 3 * same.count()
 
 
+@pytest.mark.parametrize("radius,unit", [(2.75, False), (FULL, True)])
+def test_neighbours_in_tiles_equal_the_search_by_gap(spark, cr, radius, unit):
+    rows = cr.withColumn("packed", unit_jets() if unit else F.col("packed"))
+
+    def measure(pairs):
+        near = E.event_distance(E.attach(pairs, rows, rows), "thrust")
+        return near.withColumn("distance", T.radius_change(F.col("distance"), F.col("gap"), radius))
+
+    bare = lambda tag: rows.where(F.col("tag") == tag).select(F.col("event_id").alias("id"), F.col("sT").alias("x"))
+    # distances at a smaller radius may lie below the gap, so all of the band is measured
+    want = NN.knn_by_distance(bare("4b"), bare("3b"), 3, measure, first_width=1000).toPandas().sort_values(["tgt_id", "nn"])
+    tgt, src = DS.signed_sides(rows)
+    for tile in ((16, 8), NN.TILE):
+        got = NN.knn_in_tiles(tgt, src, 3, E.nearest_in_tile(3, radius), tile=tile).toPandas().sort_values(["tgt_id", "nn"])
+        assert len(got) == len(want) > 0
+        assert (got.src_id.to_numpy() == want.src_id.to_numpy()).all()
+        assert got.distance.to_numpy() == pytest.approx(want.distance.to_numpy())
+    few = NN.knn_in_tiles(tgt, src.limit(2), 3, E.nearest_in_tile(3, radius), steps=1)
+    assert few.count() == 2 * tgt.count()
+    assert NN.knn_in_tiles(tgt, src.where("id < 0"), 3, E.nearest_in_tile(3, radius)).count() == 0
+
+
+def test_neighbours_in_tiles_measure_few_pairs_and_end_on_nulls(spark, cr):
+    tgt, src = DS.signed_sides(cr)
+    alike = src.withColumn("x", F.lit(1.0)).crossJoin(spark.range(4).withColumnRenamed("id", "copy")).withColumn("id", F.expr("id * 4 + copy")).drop("copy")
+    jets = F.transform("src_packed", lambda x, i: F.when((i != 5) | (F.col("id") % 3 != 0), x))
+    lost = alike.withColumn("src_packed", jets).withColumn("src_pz", F.when(F.col("id") % 3 != 0, F.col("src_pz")))
+    near = NN.knn_in_tiles(tgt.withColumn("x", F.lit(1.0)), lost, 3, E.nearest_in_tile(3, FULL), steps=1).toPandas()
+    assert len(near) == 3 * tgt.count() and np.isfinite(near.distance).all() and (near.src_id % 3 != 0).all()
+    unknown = NN.knn_in_tiles(tgt, src.withColumn("src_pz", F.lit(None).cast("double")), 3, E.nearest_in_tile(3, FULL), steps=1).toPandas()
+    assert len(unknown) == 3 * tgt.count() and np.isinf(unknown.distance).all()
+
+
+def test_tile_bounds_never_exceed_the_distance(cr):
+    rows = cr.withColumn("signature", E.aligned_signature(F.col("packed"), F.col("axis"), F.col("pz")).cast("array<float>")).limit(200)
+    table = rows.select(F.col("event_id").alias("s_id"), F.col("sT").alias("s_x"), *[F.col(c).alias(f"s_{c}") for c in ("packed", "axis", "pz", "signature")]).toArrow()
+    e = E._Events(table, "s")
+    i, j = np.random.default_rng(5).integers(0, table.num_rows, (2, 2000))
+    bound = E._least_cost(e, e, i, j, FULL)
+    least = E.best_orientation(E.unpack(e.packed[i]), E.unpack(e.packed[j]), FULL, "thrust", e.axis[i], e.axis[j], e.pz[i], e.pz[j])[0]
+    assert (bound - e.error[i] - e.error[j] <= least).all()
+    assert np.median(bound[least > 0] / least[least > 0]) > 0.8
+
+
 def test_hot_value_neighbours(spark):
     """A third of the sources share one x: ties are settled and nobody is dropped."""
     src = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") / 3.0).alias("x"))
