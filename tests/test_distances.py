@@ -264,6 +264,23 @@ def test_tile_bounds_never_exceed_the_distance(cr):
     assert np.median(bound[least > 0] / least[least > 0]) > 0.8
 
 
+def test_proofs_hold_few_orientations_at_a_time(cr, monkeypatch):
+    sizes = cr.sparkSession.sparkContext.accumulator(0)
+    whole = E.best_orientation
+
+    def counted(a, *args, **options):
+        sizes.add(1 if len(a[0]) > 2 else 0)
+        return whole(a, *args, **options)
+
+    monkeypatch.setattr(E, "_TRIES", 120)
+    monkeypatch.setattr(E, "best_orientation", counted)
+    side = lambda p: cr.select(F.col("event_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("packed", "axis", "pz")])
+    pairs = side("src").limit(7).crossJoin(side("tgt").limit(3)).coalesce(1)
+    out = PR.proven(pairs, "full").toPandas()
+    assert len(out) == 21 and out.flow_holds.all() and out.nothing_cheaper.all()
+    assert sizes.value == 0
+
+
 def test_hot_value_neighbours(spark):
     """A third of the sources share one x: ties are settled and nobody is dropped."""
     src = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") / 3.0).alias("x"))
