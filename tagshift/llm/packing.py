@@ -23,20 +23,20 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagshift.llm.base import documents, query
-from tagshift.llm.tokens import word_ids, words
+from tagshift.llm.tokens import word_ids
 
 TOKENIZER, CAPACITY, END_MARK, MAX_PIECE, CHUNK = "word_bpe_49k.json", 2048, 1, 512, 1024
-#: characters of text whose words are learnt together
-GROUP = 2_000_000
+#: bytes of text whose words are looked up together
+GROUP = 4_000_000
 _SPLIT_BITS = 36
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -85,7 +85,6 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
-        ids_of = known.__getitem__
         end, first = end_mark.to_bytes(4, "little"), TaskContext.get().partitionId() << _SPLIT_BITS
         done, rest, opened = [], [], 0
         columns = list(zip(*[iter(SCHEMA.replace(",", "").split())] * 2))
@@ -94,19 +93,15 @@ def pack(
         def table(pieces: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), schema)], schema=schema)
 
-        def split(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-            """(document, its words), after the words of the next ``GROUP`` characters were learnt together."""
-            held, size = [], 0
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = body.as_py()
-                held.append((doc, words(body)))
-                size += len(body or "")
-                if size >= GROUP:
-                    known.learn(set(chain.from_iterable(w for _, w in held)))
-                    yield from held
-                    held, size = [], 0
-            known.learn(set(chain.from_iterable(w for _, w in held)))
-            yield from held
+        def split(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+            """(document, its ids), for the texts of about ``GROUP`` bytes at a time."""
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                ids, n = known.of_texts(batch.column(1).slice(a, b - a))
+                stops = np.cumsum(n).tolist()
+                for doc, i, j in zip(batch.column(0).slice(a, b - a).to_pylist(), [0, *stops], stops):
+                    yield doc, ids[i:j].tobytes() + end
 
         def settle() -> None:
             nonlocal opened
@@ -121,8 +116,7 @@ def pack(
             rest.clear()
 
         for batch in batches:
-            for doc, own in split(batch):
-                ids = b"".join(map(ids_of, own)) + end
+            for doc, ids in split(batch):
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = capacity if n - start >= capacity else min(max_piece, n - start)

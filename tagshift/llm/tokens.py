@@ -22,6 +22,8 @@ _LETTERS = "a-zªµºß-öø-ÿĀ-ŉŊ-ſ"
 _PLAIN = re.compile("[!-~¡-¨«-±´¶-¸»¿-ÖØ-öø-ÿ×÷]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _ENDINGS = frozenset(".,;:!?)")
+# the same cut of many words, each behind a line end; what cuts one word does not hold a line end
+_LINES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|\n|[^{_LETTERS}0-9\n]+")
 
 
 def load(path: str):
@@ -137,33 +139,65 @@ class WordIds(Kept):
         return self.encode(word) if parts is None else b"".join(map(self.pieces.__getitem__, parts))
 
     def learn(self, words: set[str]) -> None:
-        """Finds the ids of what is new in ``words``: pre-tokens stand apart in one text, each ends with the end of a word."""
-        import numpy as np
-
+        """Finds the ids of what is new in ``words``."""
         new = words.difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
             new = words
-        cut = {w: pre_tokens(w) for w in new}
-        apart = {p for parts in cut.values() if parts for p in parts}
-        if len(self.pieces) + len(apart) > self.pieces.limit:
-            self.pieces.clear()
-        asked = list(apart.difference(self.pieces))
-        for i in range(0, len(asked), JOINED):
-            some = asked[i : i + JOINED]
+        self._learn(list(new))
+
+    def _learn(self, new: list[str]) -> None:
+        """Plain words are cut together and merged in one call: pre-tokens stand apart in one text, each ends with the end of a word."""
+        import numpy as np
+
+        plain = _PLAIN.fullmatch
+        cut = [w for w in new if w and plain(w) and "<|" not in w]
+        for i in range(0, len(cut), JOINED):
+            some = cut[i : i + JOINED]
+            lines = "\0".join(_LINES.findall("\n" + "\n".join(some).lower())) + "\0"
+            parts = lines.replace("\n\0", "")
+            marks = np.frombuffer(lines.replace("\n\0", "\n").encode(), np.uint8)
+            marks = marks[(marks == 0) | (marks == 10)]
+            # of each word, its pre-tokens and those of the words before
+            upto = np.append(np.cumsum(marks == 0)[marks == 10][1:], np.count_nonzero(marks == 0))
             if self.merger is None:
-                ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ids = np.array(self.library.encode_batch_fast([parts[:-1].replace("\0", " ")], add_special_tokens=False)[0].ids, "<u4")
             else:
-                ids = np.array(self.merger.encode_ordinary("\0".join(some) + "\0"), "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                ids = np.array(self.merger.encode_ordinary(parts), "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             # otherwise each is asked for by itself
-            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                self.pieces.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
-        piece = self.pieces.__getitem__
-        self.update({
-            w: self.encode(w) if parts is None else piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts)) for w, parts in cut.items()
-        })
+            if len(upto) == len(some) and len(stops) == upto[-1] and stops[-1] == 4 * len(ids):
+                raw, stops = ids.tobytes(), stops[upto - 1].tolist()
+                self.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        self.update({w: self.one(w) for w in new if w not in self})
+
+    def of_texts(self, texts) -> tuple:
+        """(ids of all texts of an Arrow string array, one after the other; number of ids of each text).
+
+        Each different word of the texts is looked up once.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if not len(split):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        coded = split.flatten().dictionary_encode()
+        places, own = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.get, own))
+        new = [w for w, r in zip(own, raw) if r is None]
+        if new:
+            if len(self) + len(new) > self.limit:
+                self.clear()
+            self._learn(new)
+            raw = [self[w] if r is None else r for w, r in zip(own, raw)]
+        pool, n = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        long = n[places]
+        upto = np.concatenate([[0], np.cumsum(long)])
+        at = np.repeat((np.cumsum(n) - n)[places] - upto[:-1], long)
+        at += np.arange(len(at))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return pool[at], np.diff(upto[ends])
 
 
 def word_ids(path: str) -> WordIds:

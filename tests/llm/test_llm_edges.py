@@ -233,6 +233,29 @@ def test_ngram_join_of_a_family(spark):
         assert [got[i] for i, _ in rows] == jaccard_components(rows, size, percent)[1]
 
 
+def test_ids_of_whole_batches_are_the_librarys(monkeypatch):
+    import pyarrow as pa
+
+    from tagshift.llm import tokens
+
+    library = load(PATH)
+    odd = ["a\x00b c\x00 it's We'Re 12,5%%%", "it's\r\nx\ty ½ ªº µ", "\n\n", "|||<>|<", "don'tt're'S 'LL x' y é\u0301", "É-Ça Straße"]
+    texts = [t for _, t in ROWS] + odd + [None, ""]
+    for limit, merged, joined in ((tokens.MAX_KEPT, True, tokens.JOINED), (50, True, 7), (tokens.MAX_KEPT, False, 100)):
+        monkeypatch.setattr(tokens, "JOINED", joined)
+        known = tokens.WordIds(PATH, limit)
+        known.merger = known.merger if merged else None
+        for _ in range(2):
+            ids, n = known.of_texts(pa.array(texts, pa.string()))
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert [len(x) for x in known.of_texts(pa.array([], pa.string()))] == [0, 0]
+    # words that are cut at once are not asked for one by one
+    known.pieces.clear()
+    known.of_texts(pa.array(["entirely newly madeup wordss"]))
+    assert not known.pieces
+
+
 def test_long_words_are_told_apart(spark):
     import numpy as np
 
