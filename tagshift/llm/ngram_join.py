@@ -1,19 +1,25 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows are documents with different n-gram sets (equal sets are one row), columns are n-grams, the
-rare ones first. Two sets of sizes a and b that reach the similarity share at least
-o = ceil(t (a + b) / (1 + t)) n-grams, so each must hold a shared one among its first a - ceil(t a) + 1
-columns, and the smaller one among its first a - ceil(2 t a / (1 + t)) + 1. Only that first block of
-columns is multiplied; its products name the candidate pairs. A column is an n-gram of one class of
-sizes; a row stands in the columns of its own class and, as the smaller one, in those of the next.
-
-The rest of the product is bounded before it is computed. The hash space is cut into blocks of
-columns, and a row carries a check sum for each. Blocks whose sums differ hold at least one n-gram
+Rows are documents with different n-gram sets (equal sets are one row), columns are n-grams, that is
+hashes. Two sets of sizes a and b that reach the similarity share at least o = ceil(t (a + b) / (1 + t))
+n-grams, so at most a + b - 2 o n-grams are in one of them only. The hash space is cut into more blocks
+of columns than that, so some block is the same in both rows; only rows that are the same in a block
+are multiplied there, and these products name the candidate pairs. How many blocks there are follows from
+the sizes: a window holds the sizes from one step to the next and what is similar above; sets meet in the
+window of the smaller one.
+
+A block is good for a row that holds at least ``_least`` n-grams of it. A row that may differ from others
+in d n-grams stands in its first d + 1 good blocks: of these at most d differ, so one is the same, and good, in
+the other row, which stands there too. A row that lacks so many good blocks stands in all of its window. What two unrelated
+rows share by chance is thus several n-grams and nothing beside them in a block, not one n-gram.
+
+The rest of the product is bounded before it is computed. A row carries check sums of a finer cut of the hash
+space. Blocks whose sums differ hold at least one n-gram
 that is not shared, so a pair with more of them than a + b - 2 o is discarded; so is one of sizes too
 far apart. ``MINI`` coarse blocks come first, then about one for each two n-grams of the row. For the
 pairs that stay the overlap is counted in full, on both texts.
 
-Links are only needed between rows that are not connected yet. First each entry of a column meets
+Links are only needed between rows that are not connected yet. First each entry of a block's content (called a column below) meets
 the next ``NEAR`` in an order of its own for each column; what the bounds leave connects families.
 Columns that still hold several families are multiplied in tiles of ``TILE`` x ``TILE`` rows without
 the pairs inside a family. All these pairs are counted; a family that falls apart is multiplied again.
@@ -32,8 +38,8 @@ compared by 64-bit hashes. Other columns of the input are not returned.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +54,10 @@ from tagshift.sources.store import materialize
 
 SIZE, PERCENT = 3, 90
 MINI, NEAR, TILE = 64, 6, 512
-#: columns that are ranked by their count; all others count as rare. Any order gives the same links.
-COMMON = 200_000
+#: bits that mark what a join asks for
+BITS = 25
+#: sizes of a window grow by a tenth up to this, then by the factor STEP
+SMALL, STEP = 64, 2
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
@@ -113,57 +121,65 @@ def _sets_of(rows: DataFrame, size: int, columns: str, make) -> DataFrame:
     return rows.mapInArrow(run, columns)
 
 
-def _light(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    ids, sizes, mini, sums = [], [], [], []
-    for s in sets:
-        own = _check_sums(s, max(6, (len(s) // 2).bit_length()))
-        ids.append(_set_id(s))
-        sizes.append(len(s))
-        mini.append(_folded(own, MINI).tobytes())
-        sums.append(own.tobytes())
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mini, pa.binary()), pa.array(sums, pa.binary())],
-                                     ["doc_id", "mark", "set_id", "n", "mini", "sums"])
-
-
-def _common(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """N-grams of at least three of the batch's texts, and one in a thousand."""
-    held = list(sets)
-    grams, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-    often = count >= max(3, len(held) // 1000)
-    yield pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(count[often])], ["gram", "n"])
-
-
-def _size_class(n: int, percent: int) -> int:
-    """Sizes near enough for the similarity are of one class or of two that follow each other."""
-    return int(math.log(n) / math.log(100.01 / percent))
-
-
-def _column(grams: np.ndarray, kind: int) -> np.ndarray:
-    """One column for each n-gram and size class."""
-    return mixed(grams ^ (np.array([kind + 1], np.uint64) * _FACTORS[5]))
-
-
-def _first_block(percent: int, shared):
+def _differing(total: int, percent: int) -> int:
+    """Most n-grams that are in one only of two similar sets whose sizes add up to ``total``, or of smaller ones."""
+    return total * (100 - percent) // (100 + percent)
+
+
+def _least(percent: int) -> int:
+    """N-grams of a good block; a window's largest sets hold (100 + percent) / (200 - 2 percent) a block."""
+    return max(1, min(4, 9 * (100 + percent) // (40 * max(1, 100 - percent))))
+
+
+def _windows(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(window, its blocks, blocks that a set of ``n`` n-grams stands in) where a similar set can differ."""
+    out, first = [], 1
+    while first <= n:
+        last = first + max(1, first // 10) - 1 if first < SMALL else STEP * first - 1
+        top = 100 * last // percent
+        if n <= top:
+            most = _differing(last + top, percent)
+            own = _differing(n + (100 * n // percent if n <= last else last), percent)
+            if own:
+                # some more than needed, as some are not good
+                out.append((first, int((most + 1) * (1 + 2.4 * (100 - percent) / (100 + percent))), own + 1))
+        first = last + 1
+    return out
+
+
+def _blocks(grams: np.ndarray, windows: list[tuple[int, int, int]], least: int) -> np.ndarray:
+    """Hashes of the contents of the blocks that a set stands in."""
+    out = [np.zeros(0, np.uint64)]
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams, dtype=np.uint64)])
+    for window, blocks, own in windows:
+        number = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        edge = np.searchsorted(number, np.arange(blocks + 1, dtype=np.uint64))
+        held = np.diff(edge)
+        at = np.flatnonzero(held >= least)[:own]
+        if len(at) < own:
+            at = np.arange(blocks)
+        place = mixed((at.astype(np.uint64) + np.uint64(1)) * _FACTORS[5] + np.uint64(window))
+        content = mixed((upto[edge[at + 1]] - upto[edge[at]]) * _FACTORS[4] + held[at].astype(np.uint64))
+        out.append(mixed(content * _FACTORS[3] + place))
+    return np.concatenate(out)
+
+
+def _light(percent: int):
     def make(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        grams, counts = shared.value
-        cols, rows, sizes = [], [], []
+        least, windows = _least(percent), cache(lambda n: _windows(n, percent))
+        ids, sizes, mini, sums, columns = [], [], [], [], []
         for s in sets:
-            if not len(s):
-                continue
-            n_of = np.zeros(len(s), np.int64)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-                n_of = np.where(grams[at] == s, counts[at], 0)
-            order = np.lexsort((s, n_of))
-            # among sets of its own size class, and as the smaller one among those of the next
-            own = s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
-            below = s[order[: len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1]]
-            kind = _size_class(len(s), percent)
-            cols += [_column(own, kind), _column(below, kind + 1)]
-            rows.append(np.full(len(own) + len(below), _set_id(s), np.int64))
-            sizes.append(np.full(len(own) + len(below), len(s), np.int64))
-        if cols:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).astype(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes))], ["gram", "set_id", "n"])
+            own = _check_sums(s, max(6, (len(s) // 2).bit_length()))
+            ids.append(_set_id(s))
+            sizes.append(len(s))
+            mini.append(_folded(own, MINI).tobytes())
+            sums.append(own.tobytes())
+            columns.append(_blocks(s, windows(len(s)), least).astype(np.int64))
+        ends = np.cumsum([0] + [len(c) for c in columns])
+        columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns) if columns else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mini, pa.binary()), pa.array(sums, pa.binary()), columns],
+            ["doc_id", "mark", "set_id", "n", "mini", "sums", "columns"])
 
     return make
 
@@ -259,25 +275,33 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(components(links).withColumnRenamed("node", "set_id"), "labels")
 
 
+def _thinned(rows: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """``rows`` without most of those whose hash ``key`` is not among ``of``, so that the join after it deals little.
+
+    The hashes are marked in 2 ** BITS bits, whatever their number: at most 4 MB to broadcast.
+    """
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << BITS) - 1))
+    marked = wanted.select(place(of).alias("_p")).select(F.bitmap_bucket_number("_p").alias("_bucket"), F.bitmap_bit_position("_p").alias("_bit"))
+    bits = marked.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    spread = rows.withColumn("_p", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_bit", F.bitmap_bit_position("_p"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return spread.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> DataFrame:
     """(set_id, label) of every linked set; links are exactly the pairs of the given similarity."""
-    spark = rows.sparkSession
-    common = _sets_of(rows, size, "gram long, n long", _common).groupBy("gram").agg(F.sum("n").alias("n"))
-    top = common.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()  # a ranked report of fixed length
-    grams, counts = top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[order], counts[order]))
-
-    # the first block of columns, without columns of one row
-    entries = materialize(_sets_of(rows, size, "gram long, set_id long, n long", _first_block(percent, shared)), "entries")
-    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1").select("gram")
-    entries = materialize(entries.join(often, "gram").distinct(), "entries")
+    # dealt once by column, for the count and for what it leaves; columns of one row go
+    dealt = light.where(F.size("columns") > 0).select(F.explode("columns").alias("gram"), "set_id").repartition("gram")
+    often = dealt.groupBy("gram").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("gram")
+    entries = dealt.join(often.hint("merge"), "gram").distinct()
+    entries = materialize(entries.join(light.where("n > 0").select("set_id", "n").distinct(), "set_id").select("gram", "set_id", "n"), "entries")
     # written, so that the join deals both sides anew and Spark can split a hot column
-    often = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1"), "columns")
+    often = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")), "columns")
     entries = entries.join(often, "gram").withColumn("turn", F.xxhash64("gram", "set_id"))
     entries = materialize(ordered_scan(entries, ["turn", "set_id"], by=["gram"]).select("gram", "set_id", "n", "rank", "n_in"), "entries")
-    sets = light.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark", "n", "mini", "sums")).alias("of"))
-    sets = materialize(sets.join(entries.select("set_id").distinct(), "set_id").select("set_id", "of.*"), "sets")
+    named = materialize(entries.select("set_id").distinct(), "named")
+    sets = _thinned(light.drop("columns"), "set_id", named, "set_id").join(named, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark", "n", "mini", "sums")).alias("of"))
+    sets = materialize(sets.select("set_id", "of.*"), "sets")
 
     # each entry and the next few of its column, if their sizes allow
     ahead = entries.select("gram", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.explode(F.array(*[F.col("rank") + k for k in range(1, NEAR + 1)])).alias("rank"))
@@ -291,7 +315,8 @@ def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> Dat
     # one text for each set that is in a pair; what later steps count is between these
     wanted = sets.select("set_id", "doc_id", "mark").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id")
     wanted = materialize(wanted.withColumnsRenamed({"doc_id": "of_id", "mark": "of_mark"}), "wanted")
-    held = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["of_id"]) & (rows["mark"] == wanted["of_mark"])).select("set_id", "text").dropDuplicates(["set_id"])
+    some = _thinned(rows, "mark", wanted, "of_mark")
+    held = some.join(wanted, some["doc_id"].eqNullSafe(wanted["of_id"]) & (some["mark"] == wanted["of_mark"])).select("set_id", "text").dropDuplicates(["set_id"])
     texts = materialize(held, "texts")
 
     def counted(of: DataFrame) -> DataFrame:
@@ -319,7 +344,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     ``mark`` is a hash of the text; ``stays`` holds for the first document, by id and mark, of each component.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
-    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long, mini binary, sums binary", _light), "light")
+    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long, mini binary, sums binary, columns array<long>", _light(percent)), "light")
     labels = connected(rows, light, size, percent)
     placed = light.where("n > 0").select("doc_id", "mark", "set_id", "n").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     of = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "mark")).alias("first"))

@@ -256,6 +256,38 @@ def test_ids_of_whole_batches_are_the_librarys(monkeypatch):
     assert not known.pieces
 
 
+def test_similar_sets_meet_in_a_block_and_chance_does_not_bring_others_together():
+    import numpy as np
+
+    from tagshift.llm.ngram_join import _blocks, _least, _windows
+
+    pick = np.random.default_rng(11)
+    columns = lambda s, p: set(_blocks(np.unique(s), _windows(len(s), p), _least(p)).tolist())
+    fresh = lambda n: pick.integers(0, 2**64, n, np.uint64)
+    for percent in (90, 80, 50):
+        for n in [*range(1, 80), 127, 128, 300, 1000, 4095]:
+            base = fresh(n)
+            for _ in range(3):
+                # as many n-grams lost and won as the similarity allows
+                lost = int(pick.integers(0, n * (100 - percent) // 100 + 1))
+                won = max(0, (100 * (n - lost) - percent * n) // percent)
+                other = np.concatenate([base[lost:], fresh(won)])
+                assert not (lost or won) or columns(base, percent) & columns(other, percent)
+    # of 44,850 pairs that hold the same fifth hardly any shares a block
+    same = fresh(60)
+    seen = [columns(np.concatenate([same, fresh(240)]), 90) for _ in range(300)]
+    assert sum(map(len, seen)) - len(set().union(*seen)) < 30
+
+
+def test_rows_are_thinned_before_they_are_dealt(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), "id")
+    wanted = rows.where("id % 400 < 2")
+    for some in (wanted, wanted.where("id = 1"), wanted.limit(0)):
+        left = {r.id for r in ngram_join._thinned(rows, "key", some.select(F.col("key").alias("other")), "other").collect()}
+        named = {r.id for r in some.collect()}
+        assert named <= left and len(left) <= len(named) + 20
+
+
 def test_long_words_are_told_apart(spark):
     import numpy as np
 
