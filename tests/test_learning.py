@@ -96,6 +96,14 @@ def test_settings_share_their_scans(three_classes, monkeypatch):
     assert models[0].loss < models[1].loss < models[2].loss < np.log(3)
 
 
+def test_the_sweep_trains_once(spark, monkeypatch):
+    asked, plain = [], SX.train
+    monkeypatch.setattr(SX, "train", lambda df, classes, l2, **more: asked.append(l2) or plain(df, classes, l2, **more))
+    rows = QUERIES["k06_sweep_in_one_scan"](spark, "/root/testdata/sf0.001").collect()
+    assert asked == [[0.0, 0.01, 0.1, 1.0, 1e6]]
+    assert [tuple(r) for r in rows] == [(h, True, True) for h in (0.0, 0.01, 0.1, 1.0)]
+
+
 def test_signed_weights_and_odd_tables(spark, three_classes):
     signed = three_classes.withColumn("train_weight", F.when(F.col("event_id") % 9 == 0, -1.0).otherwise(1.0))
     (model,) = SX.train(signed, 3, [1e-3])
