@@ -138,16 +138,8 @@ class WordIds(Kept):
         parts = pre_tokens(word)
         return self.encode(word) if parts is None else b"".join(map(self.pieces.__getitem__, parts))
 
-    def learn(self, words: set[str]) -> None:
-        """Finds the ids of what is new in ``words``."""
-        new = words.difference(self)
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = words
-        self._learn(list(new))
-
-    def _learn(self, new: list[str]) -> None:
-        """Plain words are cut together and merged in one call: pre-tokens stand apart in one text, each ends with the end of a word."""
+    def learn(self, new: list[str]) -> None:
+        """Finds the ids of ``new`` words. Plain words are cut together and merged in one call: pre-tokens stand apart in one text, each ends with the end of a word."""
         import numpy as np
 
         plain = _PLAIN.fullmatch
@@ -189,7 +181,7 @@ class WordIds(Kept):
         if new:
             if len(self) + len(new) > self.limit:
                 self.clear()
-            self._learn(new)
+            self.learn(new)
             raw = [self[w] if r is None else r for w, r in zip(own, raw)]
         pool, n = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         long = n[places]
