@@ -20,9 +20,11 @@ far apart. ``MINI`` coarse blocks come first, then about one for each two n-gram
 pairs that stay the overlap is counted in full, on both texts.
 
 Links are only needed between rows that are not connected yet. First each entry of a block's content (called a column below) meets
-the next ``NEAR`` in an order of its own for each column; what the bounds leave connects families.
-Columns that still hold several families are multiplied in tiles of ``TILE`` x ``TILE`` rows without
-the pairs inside a family. All these pairs are counted; a family that falls apart is multiplied again.
+the next ``NEAR`` of its column in one of ``ORDERS`` orders, the same in many columns, so that a row meets few others however many columns they
+share; what the bounds leave connects families. Columns that still hold several families are multiplied in tiles of ``TILE`` x ``TILE`` rows without
+the pairs inside a family. A tile takes the fine bounds itself (up to ``FINE`` check sums of a row), so what they discard is never a row. A first
+round names ``FIRST`` pairs of each row, which connects what belongs together; the second names all that are left.
+All these pairs are counted; a family that falls apart is multiplied again, within itself.
 A family of copies with small changes is thus joined by a few products for each row instead of all
 pairs, and no link between different components is lost.
 
@@ -54,6 +56,8 @@ from tagshift.sources.store import materialize
 
 SIZE, PERCENT = 3, 90
 MINI, NEAR, TILE = 64, 6, 512
+#: orders in which the rows of a column meet their next; most check sums of a row of a tile; pairs of a row in a first tiling
+ORDERS, FINE, FIRST = 2, 1 << 14, 2
 #: bits that mark what a join asks for
 BITS = 25
 #: sizes of a window grow by a tenth up to this, then by the factor STEP
@@ -167,19 +171,20 @@ def _blocks(grams: np.ndarray, windows: list[tuple[int, int, int]], least: int)
 def _light(percent: int):
     def make(batch: pa.RecordBatch, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         least, windows = _least(percent), cache(lambda n: _windows(n, percent))
-        ids, sizes, mini, sums, columns = [], [], [], [], []
+        ids, sizes, mini, sums, fine, columns = [], [], [], [], [], []
         for s in sets:
             own = _check_sums(s, max(6, (len(s) // 2).bit_length()))
             ids.append(_set_id(s))
             sizes.append(len(s))
             mini.append(_folded(own, MINI).tobytes())
             sums.append(own.tobytes())
+            fine.append(_folded(own, FINE).tobytes() if len(own) > FINE else None)
             columns.append(_blocks(s, windows(len(s)), least).astype(np.int64))
         ends = np.cumsum([0] + [len(c) for c in columns])
         columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns) if columns else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mini, pa.binary()), pa.array(sums, pa.binary()), columns],
-            ["doc_id", "mark", "set_id", "n", "mini", "sums", "columns"])
+            [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mini, pa.binary()), pa.array(sums, pa.binary()), pa.array(fine, pa.binary()), columns],
+            ["doc_id", "mark", "set_id", "n", "mini", "sums", "fine", "columns"])
 
     return make
 
@@ -202,29 +207,42 @@ def _bounded(percent: int):
     return run
 
 
-def _tile(percent: int):
-    """Pairs of a tile that lie in different components and that the bounds leave."""
+def _tile(percent: int, most: int | None):
+    """Pairs of a tile that lie in one family but in different components, and that the bounds leave; of each row the first ``most``."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        block, ids, n, label = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "label"))
-        sums = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(len(ids), MINI)
+        block, ids, n, label, family = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "label", "family"))
+        bodies = [np.frombuffer(x, np.uint8) for x in table.column("fine").to_pylist()]
+        held = np.array([len(x) for x in bodies])
+        mini = np.stack([_folded(x, MINI) for x in bodies])
+        # rows compare at the size of the shorter one's check sums
+        sizes = np.unique(held)
+        sums = [np.stack([_folded(x, size) if len(x) >= size else np.zeros(size, np.uint8) for x in bodies]) for size in sizes.tolist()]
         low = block == block.min()
-        left, right = np.flatnonzero(low), np.flatnonzero(~low) if (~low).any() else np.flatnonzero(low)
-        one = not (~low).any()
-        got_a, got_b = [], []
-        for i in left.tolist():
+        one = bool(low.all())
+        right = np.flatnonzero(low if one else ~low)
+        got_a, got_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(low).tolist():
             need = _required(n[i], n[right], percent)
-            ok = (label[right] != label[i]) & (need <= np.minimum(n[i], n[right]))
+            ok = (label[right] != label[i]) & (family[right] == family[i]) & (need <= np.minimum(n[i], n[right]))
             if one:
                 ok &= right > i
-            j = right[ok]
+            j, apart = right[ok], (n[i] + n[right] - 2 * need)[ok]
             if len(j):
-                j = j[(sums[j] != sums[i]).sum(1) <= n[i] + n[j] - 2 * need[ok]]
-                got_a.append(np.minimum(ids[i], ids[j]))
-                got_b.append(np.maximum(ids[i], ids[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_a, got_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                near = (mini[j] != mini[i]).sum(1) <= apart
+                j, apart = j[near], apart[near]
+            if len(j):
+                shorter = np.minimum(held[j], held[i])
+                near = np.zeros(len(j), bool)
+                for size, of in zip(sizes.tolist(), sums):
+                    at = np.flatnonzero(shorter == size)
+                    if len(at):
+                        near[at] = (of[j[at]] != of[i]).sum(1) <= apart[at]
+                j = j[near][:most]
+            got_a.append(np.minimum(ids[i], ids[j]))
+            got_b.append(np.maximum(ids[i], ids[j]))
+        return pa.table({"a": pa.array(np.concatenate(got_a), pa.int64()), "b": pa.array(np.concatenate(got_b), pa.int64())})
 
     return run
 
@@ -252,23 +270,29 @@ def _with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
 
+def _fine(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the fine bounds leave."""
+    return materialize(_with(pairs, sets, "n", "sums").mapInArrow(_bounded(percent), "a long, b long, apart long"), "pairs")
+
+
 def _left(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Different pairs that the coarse and then the fine bounds leave."""
     coarse = _with(pairs, sets, "n", "mini").mapInArrow(_bounded(percent), "a long, b long, apart long").select("a", "b")
-    return materialize(_with(coarse, sets, "n", "sums").mapInArrow(_bounded(percent), "a long, b long, apart long"), "pairs")
+    return _fine(coarse, sets, percent)
+
 
+def _tiled(wide: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Different pairs of one family and different components in the columns of ``wide`` (gram, set_id, n, rank, n_in, label, family).
 
-def _tiled(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the columns that the first step did not cover."""
-    wide = entries.where(F.col("n_in") > NEAR + 1).join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    wide = materialize(wide, "wide")
+    The bounds are taken inside a tile, so that what is far apart never becomes a row.
+    """
     several = wide.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
     block = F.floor(F.col("rank") / TILE).cast("int")
     last = F.floor((F.col("n_in") - 1) / TILE).cast("int")
-    tiled = wide.join(several, "gram").join(sets.select("set_id", "mini"), "set_id").select(
-        "gram", "set_id", "n", "mini", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    tiled = wide.join(several, "gram").join(sets.select("set_id", F.coalesce("fine", "sums").alias("fine")), "set_id").select(
+        "gram", "set_id", "n", "fine", "label", "family", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     tiled = tiled.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return tiled.groupBy("gram", "low", "high").applyInArrow(_tile(percent), "a long, b long").distinct()
+    return _fine(tiled.groupBy("gram", "low", "high").applyInArrow(_tile(percent, most), "a long, b long").distinct(), sets, percent)
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -297,10 +321,10 @@ def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> Dat
     entries = materialize(entries.join(light.where("n > 0").select("set_id", "n").distinct(), "set_id").select("gram", "set_id", "n"), "entries")
     # written, so that the join deals both sides anew and Spark can split a hot column
     often = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_in")), "columns")
-    entries = entries.join(often, "gram").withColumn("turn", F.xxhash64("gram", "set_id"))
+    entries = entries.join(often, "gram").withColumn("turn", F.xxhash64(F.pmod("gram", F.lit(ORDERS)), "set_id"))
     entries = materialize(ordered_scan(entries, ["turn", "set_id"], by=["gram"]).select("gram", "set_id", "n", "rank", "n_in"), "entries")
     named = materialize(entries.select("set_id").distinct(), "named")
-    sets = _thinned(light.drop("columns"), "set_id", named, "set_id").join(named, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark", "n", "mini", "sums")).alias("of"))
+    sets = _thinned(light.drop("columns"), "set_id", named, "set_id").join(named, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark", "n", "mini", "sums", "fine")).alias("of"))
     sets = materialize(sets.select("set_id", "of.*"), "sets")
 
     # each entry and the next few of its column, if their sizes allow
@@ -308,9 +332,16 @@ def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> Dat
     near = ahead.join(entries.select("gram", "rank", F.col("set_id").alias("y"), F.col("n").alias("n_y")), ["gram", "rank"]).where(
         100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     near = _left(near, sets, percent)
-    presumed = _labels(near)
-    across = _left(_tiled(entries, presumed, sets, percent), sets, percent)
-    pairs = materialize(near.unionByName(across), "pairs")
+    # what the first step did not cover; first a few pairs of each row, as families that are one after all have many
+    open_ = materialize(entries.where(F.col("n_in") > NEAR + 1), "open")
+
+    def wide(labels: DataFrame) -> DataFrame:
+        of = open_.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        return materialize(of.withColumn("family", F.lit(0).cast("long")), "wide")
+
+    pairs = near.unionByName(_tiled(wide(_labels(near)), sets, percent, FIRST)).select("a", "b").distinct()
+    presumed = _labels(pairs)
+    pairs = materialize(pairs.unionByName(_tiled(wide(presumed), sets, percent).select("a", "b")), "pairs")
 
     # one text for each set that is in a pair; what later steps count is between these
     wanted = sets.select("set_id", "doc_id", "mark").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id")
@@ -322,7 +353,7 @@ def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> Dat
     def counted(of: DataFrame) -> DataFrame:
         return materialize(_with(of, texts, "text").mapInArrow(_counted(size, percent), "a long, b long"), "links")
 
-    found = counted(pairs.select("a", "b"))
+    found = counted(pairs)
     labels = _labels(found)
     # sets that were presumed connected and are not: their other pairs were left out before
     apart = presumed.withColumnRenamed("label", "was").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
@@ -330,11 +361,8 @@ def connected(rows: DataFrame, light: DataFrame, size: int, percent: int) -> Dat
     again = materialize(apart.join(split, "was").select("set_id", "was", "label"), "split")
     if again.isEmpty():
         return labels
-    within = _tiled(entries.join(again.select("set_id"), "set_id"), again.select("set_id", "label"), sets, percent)
-    family = again.select("set_id", F.col("was").alias("label"))
-    within = within.join(family.select(F.col("set_id").alias("a"), F.col("label").alias("fa")), "a").join(
-        family.select(F.col("set_id").alias("b"), F.col("label").alias("fb")), "b").where("fa = fb").select("a", "b")
-    rest = _left(within, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    within = _tiled(materialize(open_.join(again.withColumnRenamed("was", "family"), "set_id"), "wide"), sets, percent)
+    rest = within.join(pairs, ["a", "b"], "left_anti")
     return _labels(found.unionByName(counted(rest.select("a", "b"))))
 
 
@@ -344,7 +372,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     ``mark`` is a hash of the text; ``stays`` holds for the first document, by id and mark, of each component.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
-    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long, mini binary, sums binary, columns array<long>", _light(percent)), "light")
+    light = materialize(_sets_of(rows, size, "doc_id long, mark long, set_id long, n long, mini binary, sums binary, fine binary, columns array<long>", _light(percent)), "light")
     labels = connected(rows, light, size, percent)
     placed = light.where("n > 0").select("doc_id", "mark", "set_id", "n").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     of = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "mark")).alias("first"))

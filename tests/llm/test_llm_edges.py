@@ -233,6 +233,64 @@ def test_ngram_join_of_a_family(spark):
         assert [got[i] for i, _ in rows] == jaccard_components(rows, size, percent)[1]
 
 
+def test_pairs_of_a_family_grow_as_its_rows(spark, monkeypatch):
+    """A row meets a few of its family, whatever the columns that they share; what tiles bound away is no row."""
+    from test_llm_queries import jaccard_components
+
+    met, joined_before = [], ngram_join._with
+
+    def joined(pairs, *more):
+        met.append(pairs.count())
+        return joined_before(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_with", joined)
+    pick, made = random.Random(8), []
+    words = [f"w{i}" for i in range(3000)]
+    for rows_of in (40, 200):
+        rows = []
+        for i in range(rows_of):
+            own = words[1000:1200]
+            for _ in range(pick.randint(2, 5)):
+                own[pick.randrange(200)] = pick.choice(words)
+            rows.append((i, " ".join(own)))
+        met.clear()
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i] for i, _ in rows] == jaccard_components(rows, 3, 90)[1]
+        made.append(sum(met))
+    assert made[1] < 10 * made[0]
+
+
+def test_a_tile_names_what_its_bounds_leave(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    pick, percent = np.random.default_rng(4), 90
+    base = pick.integers(0, 2**64, 3000, dtype=np.uint64, endpoint=False)
+    sets = []
+    for i in range(60):
+        own = base[: 900 + 40 * (i % 12)].copy()
+        at = pick.integers(0, len(own), int(pick.integers(0, 90)))
+        own[at] = pick.integers(0, 2**64, len(at), dtype=np.uint64, endpoint=False)
+        sets.append(np.unique(own))
+    n = np.array([len(x) for x in sets])
+    for cut in (1 << 14, 128):
+        fine = [ngram_join._check_sums(x, max(6, (len(x) // 2).bit_length())) for x in sets]
+        fine = [ngram_join._folded(x, min(len(x), cut)).tobytes() for x in fine]
+        rows = {"block": [i // 30 for i in range(60)], "set_id": range(60), "n": n, "label": [i // 2 for i in range(60)], "family": [i % 3 // 2 for i in range(60)], "fine": fine}
+        links = set()
+        for a in range(60):
+            for b in range(a + 1, 60):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (n[a] + n[b] - both) and a // 2 != b // 2 and (a % 3 == 2) == (b % 3 == 2) and a < 30 <= b:
+                    links.add((a, b))
+        table = pa.table({k: pa.array(list(v)) for k, v in rows.items()})
+        pairs = ngram_join._tile(percent, None)(table).to_pylist()
+        named = {(x["a"], x["b"]) for x in pairs}
+        assert links <= named and len(links) > 20 and len(named) == len(pairs)
+        few = [x["a"] for x in ngram_join._tile(percent, 2)(table).to_pylist()]
+        assert set(few) == {a for a, _ in named} and max(few.count(a) for a in few) == 2
+
+
 def test_ids_of_whole_batches_are_the_librarys(monkeypatch):
     import pyarrow as pa
 
