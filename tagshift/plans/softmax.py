@@ -2,13 +2,14 @@
 
 Every step is one scan of the training table for all settings of a sweep together: a task adds up loss and gradient of each
 setting's trial point over its Arrow batches, Spark adds up the tasks, and the driver, which holds one small vector
-per setting, takes the next step of limited-memory BFGS. Weights may be negative, as generators give them; the loss is the weighted
+per setting, takes the next step of limited-memory BFGS. Its first curvature is that of the loss where all classes are equally likely,
+which only needs the covariance of the features, so correlated features do not cost many steps. Weights may be negative, as generators give them; the loss is the weighted
 cross-entropy over the sum of weights, plus half of ``l2`` times the squared coefficients.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEMORY, ROUNDS, TOLERANCE = 10, 60, 1e-7
+LEAST_CURVATURE = 1e-3  # of the largest, in directions without any
 Point = np.ndarray
 Value = tuple[float, np.ndarray]
 
@@ -36,23 +38,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _spread(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean and width of each feature (1 where it does not vary) and the sum of weights, from one scan."""
+def _spread(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Mean and width of each feature (1 where it does not vary), the sum of weights and the features' correlations, from one scan."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = 0.0
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
-                sums = np.concatenate([[len(x), batch.column(1).to_numpy().sum()], x.sum(axis=0), (x * x).sum(axis=0)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["slot", "value"])
+                sums = sums + np.concatenate([[len(x), batch.column(1).to_numpy().sum()], x.sum(axis=0), (x * x).sum(axis=0), (x.T @ x).ravel()])
+        if np.size(sums) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["slot", "value"])
 
     rows = df.select("x", "w").mapInArrow(add, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
     sums = np.array([r.value for r in sorted(rows, key=lambda r: r.slot)])
     if not len(sums) or not sums[1] > 0:
         raise ValueError("training needs rows whose weights add up to more than 0")
-    x, xx = np.split(sums[2:] / sums[0], 2)
+    size = round(np.sqrt(len(sums) - 1)) - 1  # 2 + 2 k + k k numbers for k features
+    x, xx, products = np.split(sums[2:] / sums[0], [size, 2 * size])
     width = np.sqrt(np.maximum(xx - x * x, 0.0))
-    return x, np.where(width > 1e-9 * np.maximum(np.abs(x), 1.0), width, 1.0), float(sums[1])
+    width = np.where(width > 1e-9 * np.maximum(np.abs(x), 1.0), width, 1.0)
+    return x, width, float(sums[1]), (products.reshape(size, size) - np.outer(x, x)) / np.outer(width, width)
 
 
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray) -> Value:
@@ -92,8 +98,26 @@ def _evaluate(df: DataFrame, points: dict[int, np.ndarray], centre: np.ndarray,
     return {k: (s[0], s[1:].reshape(points[k].shape)) for k, s in out.items()}
 
 
-def _minimise(start: Point, rounds: int, tolerance: float) -> Generator[Point, Value, tuple[Point, float, int]]:
-    """Limited-memory BFGS that asks for values by yielding points; returns the best point, its value and the number of questions."""
+def _curvature(correlations: np.ndarray, classes: int, l2: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Divides a gradient by the curvature where all classes are equally likely; constants have that of a feature of width 1."""
+    if not np.isfinite(correlations).all():
+        return lambda g: g
+    size, vectors = np.linalg.eigh(correlations)
+    size = np.maximum(size, 0.0) / classes + l2
+    inverse = (vectors / np.maximum(size, LEAST_CURVATURE * max(size.max(initial=0.0), 1.0 / classes))) @ vectors.T
+
+    def divide(gradient: np.ndarray) -> np.ndarray:
+        g = gradient.reshape(classes, -1)
+        return np.hstack([g[:, :-1] @ inverse, classes * g[:, -1:]]).ravel()
+
+    return divide
+
+
+def _minimise(start: Point, rounds: int, tolerance: float, divide: Callable[[np.ndarray], np.ndarray] = lambda g: g) -> Generator[Point, Value, tuple[Point, float, int]]:
+    """Limited-memory BFGS that asks for values by yielding points; returns the best point, its value and the number of questions.
+
+    ``divide`` applies the inverse of a first, positive curvature.
+    """
     x = start.ravel()
     value, gradient = yield x.reshape(start.shape)
     gradient, asked = gradient.ravel(), 1
@@ -105,9 +129,10 @@ def _minimise(start: Point, rounds: int, tolerance: float) -> Generator[Point, V
         for s, g in reversed(steps):
             alphas.append(s @ q / (s @ g))
             q -= alphas[-1] * g
+        q = divide(q)
         if steps:
             s, g = steps[-1]
-            q *= s @ g / (g @ g)
+            q *= s @ g / (g @ divide(g))
         for (s, g), a in zip(steps, reversed(alphas)):
             q += (a - g @ q / (s @ g)) * s
         slope = gradient @ q
@@ -143,8 +168,8 @@ def train(
     The table is scanned once for each step of the slowest setting, so it should be a written one.
     """
     rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("long").alias("y"), F.col(weight).cast("double").alias("w"))
-    centre, width, total = _spread(rows)
-    runs = {k: _minimise(np.zeros((classes, len(centre) + 1)), rounds, tolerance) for k in range(len(l2))}
+    centre, width, total, correlations = _spread(rows)
+    runs = {k: _minimise(np.zeros((classes, len(centre) + 1)), rounds, tolerance, _curvature(correlations, classes, l2[k])) for k in range(len(l2))}
     points = {k: next(run) for k, run in runs.items()}
     done: dict[int, Softmax] = {}
     while points:
