@@ -13,7 +13,7 @@ from tagshift.functions.pairing import SELECTION, with_pairing
 from tagshift.operators import hist as H
 from tagshift.sources import fixtures as fx
 from tagshift.sources import tables as T
-from tagshift.sources.store import materialize, new_path
+from tagshift.sources.store import materialize, materialize_wide, new_path
 from tagshift.streaming.conversion import convert_new_files, converted, update_catalogue
 
 DELIVERIES = 3
@@ -77,7 +77,7 @@ def deliver_histograms(spark, root, events, replace=T.write_catalogue):
 def incremental_histograms(spark, d):
     """The catalogue after three deliveries holds the histograms of all events."""
     root = new_path(spark, "histograms")
-    wide = materialize(fx.wide_events(spark, d), "wide")
+    wide = materialize_wide(fx.wide_events(spark, d), "wide")
     for k in range(DELIVERIES):
         deliver_histograms(spark, root, wide.where(F.col("event_id") % DELIVERIES == k))
     return tidy(spark.read.parquet(f"{root}/catalogue").drop("sample"))

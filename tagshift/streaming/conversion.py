@@ -13,17 +13,20 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagshift.sources.store import short_methods
+
 Outputs = dict[str, Callable[[DataFrame], DataFrame]]
+BATCH_BYTES = 8 << 30  # of the files of one batch; a delivery of many small files is one batch
 
 
-def _new_files(spark: SparkSession, source: str, files_per_batch: int) -> DataFrame:
+def _new_files(spark: SparkSession, source: str, batch_bytes: int) -> DataFrame:
     schema = spark.read.parquet(source).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
 
 
 def convert_new_files(
     spark: SparkSession, source: str, root: str, progress: str, prepare: Callable[[DataFrame], DataFrame], outputs: Outputs,
-    files_per_batch: int = 8, after_write: Callable[[int], None] | None = None,
+    batch_bytes: int = BATCH_BYTES, after_write: Callable[[int], None] | None = None,
 ) -> None:
     """Feeds the files that arrived since the last call to every output: ``root``/name/batch=number.
 
@@ -42,7 +45,7 @@ def convert_new_files(
             after_write(number)
 
     query = (
-        _new_files(spark, source, files_per_batch).writeStream.foreachBatch(run).option("checkpointLocation", progress)
+        _new_files(spark, source, batch_bytes).writeStream.foreachBatch(run).option("checkpointLocation", progress)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -55,7 +58,7 @@ def converted(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def update_catalogue(
     spark: SparkSession, source: str, path: str, progress: str, log: str, count: Callable[[DataFrame], DataFrame], keys: list[str], bins: list[str],
-    replace: Callable[[DataFrame, str], None], files_per_batch: int = 8,
+    replace: Callable[[DataFrame, str], None], batch_bytes: int = BATCH_BYTES,
 ) -> None:
     """Keeps a stored table of bins up to date with the files that arrive.
 
@@ -75,8 +78,8 @@ def update_catalogue(
         if not new.isEmpty():
             replace(known.select(*keys, *bins, "latest.*"), path)
 
-    query = (
-        count(_new_files(spark, source, files_per_batch)).writeStream.outputMode("update").foreachBatch(run)
-        .option("checkpointLocation", progress).trigger(availableNow=True).start()
-    )
+    updates = count(_new_files(spark, source, batch_bytes)).writeStream.outputMode("update").foreachBatch(run)
+    # a stream keeps the settings that hold when it starts
+    with short_methods(spark):
+        query = updates.option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()

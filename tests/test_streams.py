@@ -79,3 +79,11 @@ def test_only_touched_groups_are_written(spark, sf_dir):
     got = spark.read.parquet(f"{root}/catalogue").select("region", "variable", "bin", "entries", F.round("sumw", 6).alias("sumw"))
     want = ST.count_bins(wide).select("region", "variable", "bin", "entries", F.round("sumw", 6).alias("sumw"))
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_a_delivery_of_many_files_is_one_batch(spark, sf_dir):
+    root = new_path(spark, "many")
+    wide = materialize(fx.wide_events(spark, sf_dir).where("tag = '4b' AND region IN ('CR', 'SR')"), "wide")
+    ST.deliver_histograms(spark, root, wide.repartition(20))
+    assert len(files(f"{root}/raw".removeprefix("file://"))) > 8
+    assert os.listdir(f"{root}/log".removeprefix("file://")) == ["batch=0"]
