@@ -7,10 +7,12 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tagshift.catalog import QUERIES
+from tagshift.catalog import QUERIES, models
+from tagshift.constants import METHOD_IDS
 from tagshift.operators import split as SP
 from tagshift.operators.metrics import auc
 from tagshift.plans import learning as L
+from tagshift.plans import models as M
 from tagshift.plans import softmax as SX
 
 
@@ -116,3 +118,38 @@ def test_signed_weights_and_odd_tables(spark, three_classes):
     for bad in (three_classes.where("event_id < 0"), three_classes.withColumn("train_weight", F.lit(-1.0))):
         with pytest.raises(ValueError, match="more than 0"):
             SX.train(bad, 3, [0.0])
+
+
+def test_correlated_features_cost_few_questions():
+    """The curvature of correlated features is known from the start; the optimum is the same without it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 1)) + 0.3 * rng.normal(size=(1500, 20))
+    y, w = np.clip(np.round(x[:, 0] + rng.normal(size=1500)) + 1, 0, 2).astype(int), np.ones(1500)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def asked(*more):
+        run = SX._minimise(np.zeros((3, 21)), 60, 1e-7, *more)
+        at = next(run)
+        while True:
+            loss, gradient = SX.loss_and_gradient(x, y, w, at)
+            free = at.copy()
+            free[:, -1] = 0
+            try:
+                at = run.send((loss / 1500 + 0.005 * (free * free).sum(), gradient / 1500 + 0.01 * free))
+            except StopIteration as end:
+                return end.value
+
+    (_, plain, many), (_, loss, few) = asked(), asked(SX._curvature(x.T @ x / 1500, 3, 0.01))
+    assert few < many and loss == pytest.approx(plain, abs=1e-8)
+
+
+def test_models_share_their_blocks_and_coupling(spark, sf_dir, monkeypatch):
+    found, plain = [], M.monotone_coupling
+    monkeypatch.setattr(M, "monotone_coupling", lambda *a: found.append(a) or plain(*a))
+    e = models.events(spark, sf_dir)
+    shared = models.all_models(e)
+    assert len(found) == 1
+    alone = {METHOD_IDS["ot5"]: M.ot_knn(e, 5, models.BLOCK), METHOD_IDS["comb"]: M.ot_classifier(e, models.scores(e), block_targets=models.BLOCK)}
+    for name, model in alone.items():
+        rows = lambda m: m.select("event_id", "region", F.round("model_weight", 9).alias("w"))
+        assert rows(model).exceptAll(rows(shared[name])).isEmpty()
