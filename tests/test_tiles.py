@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagshift.catalog import distances as DS
 from tagshift.operators import emd as E
 from tagshift.operators import neighbours as NN
+from tagshift.operators import proofs as PR
 from tagshift.sources import fixtures as fx
 
 FULL = 2 * math.pi
@@ -112,3 +113,40 @@ def test_wider_tiles_find_the_same(cr, wider):
     assert len(got) == 3 * tgt.count()
     assert (got.src_id.to_numpy() == want.src_id.to_numpy()).all()
     assert got.distance.to_numpy() == pytest.approx(want.distance.to_numpy())
+
+
+@pytest.mark.parametrize("steps", [101, 103])
+def test_scanned_turns_equal_each_by_itself(steps):
+    """Flows taken over from the turn beside are proven or solved again, so each turn has its own least cost and prices."""
+    a, b = (E.unpack(random_rows(30, s)[0]) for s in (8, 9))
+    b = tuple(np.vstack([y[:25], x[25:]]) for x, y in zip(a, b))
+    best, which, turn, flow, prices = E.best_orientation(a, b, FULL, "full", steps=steps, proof=True)
+    tried = E.variants("full", steps)
+    diff = a[0].sum(1) - b[0].sum(1)
+    masses = np.hstack([a[0], np.maximum(-diff, 0)[:, None], b[0], np.maximum(diff, 0)[:, None]])
+    values = []
+    for n, (flip_eta, flip_phi, by) in enumerate(tried):
+        turned = a[0], -a[1] if flip_eta else a[1], (-a[2] if flip_phi else a[2]) + by
+        values.append(E.transport_cost(turned, b, FULL)[0])
+        assert (masses * prices[:, n]).sum(1) == pytest.approx(values[-1])
+    assert best == pytest.approx(np.min(values, axis=0), abs=1e-8)
+    assert np.array(values)[which, np.arange(30)] == pytest.approx(best)
+    assert flow.sum(axis=(1, 2)) == pytest.approx(np.minimum(a[0].sum(1), b[0].sum(1)))
+
+
+def test_many_turns_take_few_calls(monkeypatch):
+    """The kernel is not called for each orientation of a few pairs."""
+    a, b = (E.unpack(random_rows(3, s)[0]) for s in (10, 11))
+    calls, whole = [], E.transport_cost
+    monkeypatch.setattr(E, "transport_cost", lambda *args, **options: (calls.append(1), whole(*args, **options))[1])
+    E.best_orientation(a, b, FULL, "full", steps=101)
+    assert len(calls) < 10
+
+
+def test_kernel_runs_once_for_a_proof(cr):
+    side = lambda p: cr.select(F.col("event_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("packed", "axis", "pz")])
+    pairs = side("src").limit(4).crossJoin(side("tgt").limit(4))
+    proven = PR.proven(pairs, "eta_flip")
+    assert proven._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = proven.collect()
+    assert len(rows) == 16 and all(r.flow_holds and r.nothing_cheaper for r in rows)
