@@ -150,3 +150,21 @@ def test_kernel_runs_once_for_a_proof(cr):
     assert proven._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     rows = proven.collect()
     assert len(rows) == 16 and all(r.flow_holds and r.nothing_cheaper for r in rows)
+
+
+@pytest.mark.parametrize("radius", [0.4, FULL])
+def test_turns_that_cost_more_are_not_solved(monkeypatch, radius):
+    """Of the four turns of an aligned distance those are solved that may be the least; the result is that of all four."""
+    (ap, ax, az), (bp, bx, bz) = random_rows(400, 12), random_rows(400, 13)
+    bp[:50], bx[:50], bz[:50] = ap[:50], ax[:50], az[:50]
+    a, b = E.unpack(ap), E.unpack(bp)
+    want = E.best_orientation(a, b, radius, "thrust", ax, bx, az, bz, proof=True)
+    solved, whole = [], E._augment
+    monkeypatch.setattr(E, "_augment", lambda supply, *args: (solved.append(supply.shape[1]), whole(supply, *args))[1])
+    E.best_orientation(a, b, radius, "thrust", ax, bx, az, bz, proof=True)
+    full = sum(solved)
+    solved.clear()
+    got = E.best_orientation(a, b, radius, "thrust", ax, bx, az, bz)
+    assert sum(solved) < 0.8 * full
+    assert got[0] == pytest.approx(want[0], abs=1e-9) and (got[1] == want[1]).all() and got[2] == pytest.approx(want[2])
+    assert got[3].sum(axis=(1, 2)) == pytest.approx(want[3].sum(axis=(1, 2)))
